@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, fresh, write_table
+from .common import WORD, write_table
 
 LEAF = ["domain", "lang", "source"]
 RANGE_DIGITS = 3  # hexadecimal digits of the order's ranges
@@ -125,11 +125,13 @@ def plan(rows: DataFrame, mix: Mix) -> DataFrame:
     return out.withColumn("times", (F.col("epochs") + F.col("more")).cast("long")).select(*rows.columns, "times")
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens (words) of docs."""
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    source = F.col(source_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(domain_of(source), F.lit("forum")).alias("domain"), F.col(lang_col).alias("lang"), source.alias("source"), tokens.alias("n_tokens"))
+def measure(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens (words) of docs, and all of a document as struct `row` if that is named."""
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("held"))
+    source = F.col("held.source")
+    tokens = F.regexp_count(F.coalesce(F.col("held.text"), F.lit("")), F.lit(WORD)).cast("long")
+    columns = [F.col("held.doc_id"), F.coalesce(domain_of(source), F.lit("forum")).alias("domain"), F.col("held.lang"), source, tokens.alias("n_tokens")]
+    return held.select(*columns, *([F.col("held").alias(row)] if row else []))
 
 
 def mix_plan(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
@@ -139,17 +141,5 @@ def mix_plan(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """docs as the plan reads them: a row for each epoch a document is read in, all columns as they were."""
-    mix = mix or Mix()
-    row, = fresh(docs, "row")
-    measured = measure(docs).columns
-    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(row))
-    names = {c: f"{row}.{c}" for c in ("doc_id", "text", "lang", "source")}
-    tokens = F.regexp_count(F.coalesce(F.col(names["text"]), F.lit("")), F.lit(WORD)).cast("long")
-    source = F.col(names["source"])
-    rows = held.select(
-        F.col(names["doc_id"]).alias("doc_id"), F.coalesce(domain_of(source), F.lit("forum")).alias("domain"),
-        F.col(names["lang"]).alias("lang"), source.alias("source"), tokens.alias("n_tokens"), row,
-    )
-    del measured
-    planned = plan(rows, mix)
-    return planned.where("times > 0").withColumn("epoch", F.explode(F.expr("sequence(1L, times)"))).select(f"{row}.*")
+    planned = plan(measure(docs, "row"), mix or Mix()).where("times > 0")
+    return planned.select("row", F.explode(F.expr("sequence(1L, times)"))).select("row.*")
