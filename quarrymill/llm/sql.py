@@ -23,7 +23,7 @@ def quality_measures(docs: str = "documents") -> str:
     """Common table expressions up to `judged`: every row of docs with its measures and kept."""
     metrics = ", ".join(f"('{m}', {m})" for m in METRICS)
     within = " AND ".join(f"{m} <= max_{m}" for m in METRICS)
-    pivot = ", ".join(f"max(CASE WHEN metric = '{m}' THEN greatest(least(fence, wide), {slack}) END) AS max_{m}" for m, slack in METRICS.items())
+    pivot = ", ".join(f"max(CASE WHEN o.metric = '{m}' THEN greatest(least(fence, wide), {slack}) END) AS max_{m}" for m, slack in METRICS.items())
     quart = "min(CASE WHEN upto * 4 >= total * {q} THEN bucket END)"
     fence = f"{quart.format(q=3)} + {FENCE} * ({quart.format(q=3)} - {quart.format(q=1)})"
     return rf"""
