@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct unigrams, bigrams and one-word skip-grams of a text's
-lower-cased words, hashed to 2**20 places. Training reads a bounded sample of the
+lower-cased words, hashed to 2**20 places; a unigram also counts by its stem, the
+first four bytes, so that unseen endings of a known word are known. Training reads a bounded sample of the
 labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN`` documents, chosen by hash); the
 per-coordinate rates and the L1 term leave few weights, which are broadcast.
 Scoring reads every whole text and nothing but the text.
@@ -23,19 +24,20 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import write_table
 
-BITS = 20
+BITS, STEM = 20, 4
 MAX_TOXIC, MAX_CLEAN = 5000, 10000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 2.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 2.0, 0.1, 4
 THRESHOLD = 0.7
 BIAS = 1 << BITS
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, feature) of every unigram, bigram and skip-gram; they may repeat."""
+    """(value, feature) of every unigram, stem, bigram and skip-gram; they may repeat."""
     data = textvec.LOWER[data]
     start, end, doc = textvec.spans(textvec.WORDLIKE[data], offsets)
     h = textvec.hashes(data, start, end)
-    docs, keys = [doc], [h]
+    stem = textvec.hashes(data, start, np.minimum(end, start + STEM))
+    docs, keys = [doc, doc], [h, stem]
     for gap, step in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
         if len(h) > gap:
             same = doc[:-gap] == doc[gap:]
