@@ -12,8 +12,9 @@ the exact test on the full sets.
 Sets that are equal are one class from the start, so copies never meet in pairs.
 In each bucket all classes are first tested against the least one; components of
 the links found then show which buckets still join different components, and only
-pairs across components are tested there. Together that finds the same
-components as testing every pair of every bucket.
+pairs across components are left there. Of those, sets with too many shingles of
+their own are ruled out, by an exact bound, before any pair is made. Together
+that finds the same components as testing every pair of every bucket.
 
 Defined results: null or empty texts have no shingles and link with nothing; a
 null id is a component of its own, null; rows that repeat an id are one node.
@@ -168,11 +169,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = sketched.join(grouped.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi")
     classes = write_table(reps.select(F.col("doc_id").alias("rep"), *key, "bands").dropDuplicates(["rep", *key]), "class-sketches")
 
-    def sets(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def full_sets(ids: DataFrame) -> DataFrame:
         some = bloom.semi_join(rows, ids, "doc_id").mapInArrow(_full_sets(words), "id long, shingles array<long>")
         return write_table(some.join(ids, "id", "left_semi").dropDuplicates(["id", "shingles"]), "full-sets")
 
+    def sets(pairs: DataFrame) -> DataFrame:
+        return full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
     banded = classes.select("rep", F.posexplode("bands").alias("band", "bits")).select(F.xxhash64("band", "bits").alias("bucket"), "rep")
     leads = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
     held = write_table(banded.join(leads, "bucket"), "buckets")
@@ -184,9 +187,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rest = held.where("rep <> lead AND c > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     rest = write_table(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "rest")
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = rest.join(mixed, "bucket", "left_semi").join(classes.select("rep", "n"), "rep")
-    left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n")]) for x in "ab")
-    close = f"rep_a < rep_b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    rest = write_table(rest.join(mixed, "bucket", "left_semi").join(classes.select("rep", "n"), "rep"), "mixed")
+
+    # Shingles that no other set there has can't be shared. A set with p of them has at most n - p in
+    # common with any, so some similarities can't be reached whatever the partner: those sets are done.
+    full = full_sets(rest.select(F.col("rep").alias("id")).distinct())
+    private = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep"))
+    private = private.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("p"))
+    rest = rest.join(private, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("p", F.lit(0)))
+    least = rest.groupBy("bucket").agg(F.min("n").alias("least"))
+    rest = rest.join(least, "bucket").where(f"100 * shared >= {percent} * (greatest(least, shared) + n - shared)")
+    rest = write_table(rest.select("bucket", "rep", "component", "n", "shared"), "open")
+
+    left, right = (rest.toDF("bucket", *[f"{c}_{x}" for c in ("rep", "component", "n", "shared")]) for x in "ab")
+    most = "least(shared_a, shared_b, n_a, n_b)"
+    close = f"rep_a < rep_b AND component_a <> component_b AND 100 * {most} >= {percent} * (n_a + n_b - {most})"
     across = left.join(right, "bucket").where(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     second = _confirmed(across, classes, sets, percent)
     if second.isEmpty():
