@@ -13,8 +13,9 @@ Sets that are equal are one class from the start, so copies never meet in pairs.
 In each bucket all classes are first tested against the least one; components of
 the links found then show which buckets still join different components, and only
 pairs across components are left there. Of those, sets with too many shingles of
-their own are ruled out, by an exact bound, before any pair is made. Together
-that finds the same components as testing every pair of every bucket.
+their own are ruled out, by an exact bound, before any pair is made; the others
+are compared pair by pair where a bucket is small and in array blocks of bounded
+size where it is large, without a row for a pair that isn't linked. Together that finds the same components as testing every pair of every bucket.
 
 Defined results: null or empty texts have no shingles and link with nothing; a
 null id is a component of its own, null; rows that repeat an id are one node.
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from .common import fresh, write_table
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Buckets up to SMALL rows are paired by a join, larger ones in blocks of about BLOCK rows.
+SMALL, BLOCK = 24, 256
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,6 +160,48 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return write_table(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
 
 
+def _block_links(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        rows = rows.sort_values(["block", "rep"])
+        reps, parts, blocks = (rows[c].to_numpy() for c in ("rep", "component", "block"))
+        sets = rows["shingles"].tolist()
+        counts = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.cumsum(counts) - counts
+        first, held = [], np.zeros(ids.max() + 1, bool)
+        against = np.arange(len(rows)) if i == j else np.flatnonzero(blocks == j)
+        low, high = starts[against[0]], starts[against[-1]] + counts[against[-1]]
+        there = ids[low:high]
+        for a in np.flatnonzero(blocks == i):
+            mine = ids[starts[a] : starts[a] + counts[a]]
+            held[mine] = True
+            common = np.add.reduceat(held[there], starts[against] - low, dtype=np.int64)
+            held[mine] = False
+            hit = against[(100 * common >= percent * (counts[a] + counts[against] - common)) & (parts[against] != parts[a])]
+            # One link to each other component is enough to join it.
+            for b in hit[np.unique(parts[hit], return_index=True)[1]]:
+                first.append((min(reps[a], reps[b]), max(reps[a], reps[b])))
+        return pd.DataFrame(first, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across the components of large buckets, one for each row, block and component at least.
+
+    A bucket is dealt into blocks of about BLOCK rows by hash, and every two
+    blocks meet in one group of bounded size, where sets are compared in arrays;
+    no row is made for a pair that isn't linked.
+    """
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
+    rows = rows.select("bucket", "rep", "component", "block", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    rows = rows.select("bucket", "rep", "component", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    met = rows.join(full.select(F.col("id").alias("rep"), "shingles"), "rep")
+    return met.groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -199,11 +245,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rest = rest.join(least, "bucket").where(f"100 * shared >= {percent} * (greatest(least, shared) + n - shared)")
     rest = write_table(rest.select("bucket", "rep", "component", "n", "shared"), "open")
 
-    left, right = (rest.toDF("bucket", *[f"{c}_{x}" for c in ("rep", "component", "n", "shared")]) for x in "ab")
+    sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rest = write_table(rest.join(sizes, "bucket"), "sized")
+    left, right = (rest.where(f"size <= {SMALL}").drop("size").toDF("bucket", *[f"{c}_{x}" for c in ("rep", "component", "n", "shared")]) for x in "ab")
     most = "least(shared_a, shared_b, n_a, n_b)"
     close = f"rep_a < rep_b AND component_a <> component_b AND 100 * {most} >= {percent} * (n_a + n_b - {most})"
     across = left.join(right, "bucket").where(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    second = _confirmed(across, classes, sets, percent)
+    second = write_table(_confirmed(across, classes, sets, percent).unionByName(_linked_in_blocks(rest.where(f"size > {SMALL}"), full, percent)).distinct(), "links")
     if second.isEmpty():
         found = joined
     else:
