@@ -36,7 +36,7 @@ from . import textvec
 SIZE = 1024
 STRETCH = 1 << 19
 SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 3, 10, 16
-CACHED = 1 << 19
+CACHED, JOINED = 1 << 20, 500
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _tokenizers: dict[str, Tokens] = {}
@@ -51,28 +51,46 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
+        # Every character of a byte-level token stands for one byte.
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or " ") for i in range(size)])
         self.ends = np.array([(self.tokenizer.id_to_token(i) or " ")[-1] in ".!?Ċ" for i in range(size)])
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate((self.flat, np.fromiter((x for y in ids for x in y), np.int32, int(count.sum()))))
-        keys, first, count = np.concatenate((self.keys, keys)), np.concatenate((self.first, first)), np.concatenate((self.count, count))
-        order = np.argsort(keys)
-        self.keys, self.first, self.count = keys[order], first[order], count[order]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, keys: np.ndarray, chunks: list[bytes], joins: np.ndarray) -> None:
+        """Ids of new chunks. Those that join (white space first and none last) are encoded many to a
+        text, whose tokens' byte lengths tell where each chunk ends."""
+        flat, counts = [], np.zeros(len(chunks), np.int64)
+        many = np.flatnonzero(joins)
+        runs = [many[k : k + JOINED] for k in range(0, len(many), JOINED)]
+        for run, ids in zip(runs, self._ids([b"".join([chunks[k] for k in run]).decode("utf-8") for run in runs]), strict=True):
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(chunks[k]) for k in run])) + 1
+            counts[run] = np.diff(ends, prepend=0)
+            flat.append(ids)
+        alone = np.flatnonzero(~joins)
+        for k, ids in zip(alone, self._ids([chunks[k].decode("utf-8") for k in alone]), strict=True):
+            counts[k] = len(ids)
+            flat.append(ids)
+        order = np.concatenate((many, alone))
+        keys, counts = keys[order], counts[order]
+        first = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate((self.flat, *flat))
+        keys, first, counts = np.concatenate((self.keys, keys)), np.concatenate((self.first, first)), np.concatenate((self.count, counts))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = keys[order], first[order], counts[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each value), an end token 0 after each value."""
         n = len(data)
-        starts = textvec.SPACE[data]
+        starts, wide = textvec.SPACE[data], _wide_space_ends(data)
         if n:
             starts[1:] &= ~textvec.SPACE[data[:-1]]
-            starts[1:] &= ~((data[:-1] >= 0x80) & _wide_space_ends(data)[:-1])
+            starts[1:] &= ~((data[:-1] >= 0x80) & wide[:-1])
             begins = offsets[:-1][offsets[:-1] < offsets[1:]]
             starts[begins] = True
         start = np.flatnonzero(starts)
@@ -87,7 +105,9 @@ class Tokens:
         new[inside] = self.keys[place[inside]] != h[inside]
         if new.any():
             raw = data.tobytes()
-            self._add(h[new], [raw[start[k] : end[k]].decode("utf-8") for k in at[new]])
+            fresh, last = at[new], end[at[new]] - 1
+            joins = textvec.SPACE[data[start[fresh]]] & ~textvec.SPACE[data[last]] & ~((data[last] >= 0x80) & wide[last])
+            self._add(h[new], [raw[start[k] : end[k]] for k in fresh], joins)
             place = np.searchsorted(self.keys, h)
         first, count = self.first[place][back], self.count[place][back]
         per_doc = np.bincount(doc, weights=count, minlength=len(offsets) - 1).astype(np.int64)
