@@ -170,6 +170,7 @@ def _block_links(percent: int):
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
         starts = np.cumsum(counts) - counts
         first, held = [], np.zeros(ids.max() + 1, bool)
+        parts = np.unique(parts, return_inverse=True)[1]
         against = np.arange(len(rows)) if i == j else np.flatnonzero(blocks == j)
         low, high = starts[against[0]], starts[against[-1]] + counts[against[-1]]
         there = ids[low:high]
@@ -179,16 +180,18 @@ def _block_links(percent: int):
             common = np.add.reduceat(held[there], starts[against] - low, dtype=np.int64)
             held[mine] = False
             hit = against[(100 * common >= percent * (counts[a] + counts[against] - common)) & (parts[against] != parts[a])]
-            # One link to each other component is enough to join it.
+            # One link to each other component is enough to join it; both are one from then on, so
+            # a group gives the links of a spanning forest of its components.
             for b in hit[np.unique(parts[hit], return_index=True)[1]]:
                 first.append((min(reps[a], reps[b]), max(reps[a], reps[b])))
+                parts[parts == parts[b]] = parts[a]
         return pd.DataFrame(first, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
 def _linked_in_blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across the components of large buckets, one for each row, block and component at least.
+    """Links (a, b) across the components of large buckets, enough in each two blocks to join all that links there join.
 
     A bucket is dealt into blocks of about BLOCK rows by hash, and every two
     blocks meet in one group of bounded size, where sets are compared in arrays;
