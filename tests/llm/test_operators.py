@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -255,3 +256,28 @@ def test_stages_take_odd_and_empty_tables(spark, docs, none, stage):
     out = f(spark, docs, "")
     assert stage == 4 or out.columns == docs.columns
     out.count()
+
+
+def test_block_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = [np.unique(np.where(rng.random(60) < rate, rng.integers(0, 1 << 40, 60), base)) for rate in rng.choice([0.02, 0.1, 0.15, 0.5], 80)]
+
+    def roots(pairs):
+        up = list(range(len(sets)))
+        for a, b in pairs:
+            a, b = up[a], up[b]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+        return up
+
+    common = lambda a, b: len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    near = [(a, b) for a in range(80) for b in range(a) if 100 * (c := common(a, b)) >= 80 * (len(sets[a]) + len(sets[b]) - c)]
+    rows = pd.DataFrame({"rep": range(80), "component": range(80), "block": [k % 2 for k in range(80)], "shingles": sets})
+    found = []
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        part = rows[rows["block"].isin((i, j))].assign(i=i, j=j)
+        links = near_dedup._block_links(80)(part)
+        assert len(links) < len(part)
+        found += list(links.itertuples(index=False, name=None))
+    assert {(max(p), min(p)) for p in found} <= set(near)
+    assert roots(found) == roots(near) and len(set(roots(near))) > 1
