@@ -3,9 +3,9 @@
 Trusted text is what the labels call good. Tokens are runs of word characters or
 of signs, lower-cased, kept as 32-bit hashes; a bigram is two of them in a long.
 Counts of all trusted text are combined in each task, then summed by key. The
-model is written as one change of log probability per bigram (those seen three
-times at least; the mass of rarer ones stays with the back-off), and one back-off
-weight and one continuation probability per word.
+model is one change of log probability per bigram that the trusted text holds,
+with the discount of its count (once, twice, more), and one back-off weight and
+one continuation probability per word.
 
 Scoring reads every whole text. The most frequent words and bigrams (bounded
 heads) and a bounded Bloom filter of all other modelled bigrams go to every task;
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from . import bloom, quality_rules, textvec
 from .common import write_table
 
-MIN_COUNT = 3
 HEAD_WORDS, HEAD_BIGRAMS = 1 << 19, 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
 HELD = 1 << 22
@@ -83,13 +82,12 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Tables words (w, uni, gamma), tail (key, delta) and what goes to every task."""
+    """Tables word_tail (w, uni, gamma), bigram_tail (key, delta) and what goes to every task."""
 
     def __init__(self, trusted: DataFrame):
         spark = trusted.sparkSession
         counts = trusted.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-        counts = counts.selectExpr("key", "shiftrightunsigned(key, 32) AS v", "key & 4294967295 AS w", "c")
-        counts = write_table(counts, "lm-bigrams")
+        counts = write_table(counts, "lm-bigrams").selectExpr("key", "shiftrightunsigned(key, 32) AS v", "key & 4294967295 AS w", "c")
         one = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count(F.lit(1)).alias("kinds")).first()
         n1, n2, n3, n4, kinds = (max(1, x) for x in one)
         y = n1 / (n1 + 2 * n2)
@@ -106,26 +104,35 @@ class Model:
         words = ahead.withColumn("uni", uni).join(after, F.col("w") == F.col("v"), "full")
         words = words.selectExpr("coalesce(w, v) AS w", f"ln(coalesce(uni, {self.unknown}D)) AS uni", "ln(coalesce(gamma, 1D)) AS gamma", "coalesce(c, 0) AS c", "`all`")
         words = write_table(words, "lm-model-words")
-        seen = counts.where(f"c >= {MIN_COUNT}").join(words.select(F.col("w").alias("v"), "gamma", "all"), "v").join(words.select("w", "uni"), "w")
-        delta = F.expr(f"ln((c - {d[2]}) / `all` + exp(gamma + uni)) - gamma - uni")
-        seen = write_table(seen.select("key", "c", delta.alias("delta")), "lm-model-bigrams")
-
         # Bounded heads, by count; everything rarer is the tail, found by joins.
-        word_cut, bigram_cut = _cut(words, HEAD_WORDS), _cut(seen, HEAD_BIGRAMS)
+        word_cut, bigram_cut = _cut(words, HEAD_WORDS), _cut(counts, HEAD_BIGRAMS)
         self.word_tail = words.where(F.col("c") < word_cut).select("w", "uni", "gamma")
-        self.bigram_tail = seen.where(F.col("c") < bigram_cut).select("key", "delta")
+        tail = counts.where(F.col("c") < bigram_cut)
+        self.bigram_tail = _deltas(tail, words, word_cut, d)
         head = words.where(F.col("c") >= word_cut).select("w", "uni", "gamma").orderBy("w").toArrow()
-        pairs = seen.where(F.col("c") >= bigram_cut).select("key", "delta").toArrow()
+        pairs = _deltas(counts.where(F.col("c") >= bigram_cut), words, word_cut, d).toArrow()
         keys = pairs.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.bits = bloom.filter_bits(self.bigram_tail.count())
+        self.bits = bloom.filter_bits(tail.count())
         filt = np.zeros((self.bits // bloom.BLOCK_BITS, bloom.BLOCK_BITS // 8), np.uint8)
-        for block, bitmap in bloom.build(self.bigram_tail.select("key").mapInArrow(_with_hash, "h long"), self.bits).collect():
+        for block, bitmap in bloom.build(tail.select("key").mapInArrow(_with_hash, "h long"), self.bits).collect():
             filt[block] = np.frombuffer(bitmap, np.uint8)
         arrays = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order], filt]
         self.shared = spark.sparkContext.broadcast(arrays)
 
 
+def _deltas(counts: DataFrame, words: DataFrame, word_cut: int, d: list[float]) -> DataFrame:
+    """key, delta of counts (key, v, w, c). Bigrams of two head words meet them in broadcasts, the others in joins by word."""
+    head = words.where(F.col("c") >= word_cut)
+    first = lambda t: t.select(F.col("w").alias("v"), "gamma", "all")
+    last = lambda t: t.select("w", "uni")
+    near = counts.join(F.broadcast(first(head)), "v", "left").join(F.broadcast(last(head)), "w", "left")
+    rest = near.where("gamma IS NULL OR uni IS NULL").select("key", "v", "w", "c")
+    both = near.where("gamma IS NOT NULL AND uni IS NOT NULL").unionByName(rest.join(first(words), "v").join(last(words), "w"))
+    discount = f"CASE c WHEN 1 THEN {d[0]}D WHEN 2 THEN {d[1]}D ELSE {d[2]}D END"
+    return both.select("key", F.expr(f"ln(greatest(c - {discount}, 0D) / `all` + exp(gamma + uni)) - gamma - uni").alias("delta"))
+
+
 def _cut(table: DataFrame, at_most: int) -> int:
     """The least count such that no more than at_most rows have it or more."""
     rows = table.groupBy(quality_rules.bucket(F.col("c")).alias("c")).count().orderBy(F.desc("c")).collect()  # some hundred buckets
