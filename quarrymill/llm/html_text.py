@@ -7,7 +7,9 @@ order and blocks whose paths share containers are tied by smoothness edges. The
 minimum cut, by augmenting paths, separates content from boilerplate. Blocks of
 the same container are one node with summed costs, so a page's graph is small.
 
-Scripts, styles, comments, heads and form fields hold no text at all.
+Scripts, styles, comments, titles and form fields hold no text at all. One whose
+end tag is missing takes the rest of the page only if its text is raw (a script,
+say); of others only the tag is skipped.
 
 Defined results: null or empty html gives empty text; repeated rows and null ids
 are taken row by row; broken and cut-off markup is read as far as it goes; an
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tags by their role.
-SKIPPED = "audio button canvas datalist embed head iframe input math noscript object option script select style svg template textarea title video".split()
+SKIPPED = "annotation annotation-xml audio button canvas datalist embed iframe input noscript object option script select style svg template textarea title video".split()
 BLOCKS = (
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
-VOID = "area base br col hr img input link meta source track wbr".split()
+VOID = "area base br col embed hr img input link meta source track wbr".split()
+RAW = "script style textarea title".split()
 CLOSED_BY = {"p": set(BLOCKS) - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 BAD_TAGS = "aside dialog fieldset footer form header menu nav".split()
 GOOD_TAGS = "article main".split()
@@ -40,6 +43,7 @@ BAD_HINTS = "ad ads advert advertisement banner bar breadcrumb breadcrumbs comme
 GOOD_HINTS = "article body content entry main post story text".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*"""
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -49,6 +53,17 @@ PRIOR, BAD, GOOD, HINT, LINKS, LONG = 0.4, 6.0, 2.5, 5.0, 3.0, 1.0
 TIE_NEXT, TIE_PATH = 0.35, 0.25
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a skipped tag ends, by where it starts; those without an end tag are left out."""
+    out, stack = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s>/])({_ATTRIBUTES})>", page, re.I):
+        if m[1] and stack:
+            out[stack.pop()] = m.end()
+        elif not m[1] and not m[2].rstrip().endswith("/"):
+            stack.append(m.start())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, tuple, int]]:
     """(text, path, link characters) of each block with text, in page order.
 
@@ -66,6 +81,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
         parts, linked = [], 0
 
     end = len(page)
+    ends: dict[str, dict[int, int]] = {}
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
@@ -91,8 +107,13 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             continue
         if tag in SKIPPED_SET and tag not in VOID:
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                if tag in RAW:
+                    close = re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.I).search(page, at)
+                    at = close.end() if close else end
+                else:
+                    if tag not in ends:
+                        ends[tag] = _ends(page, tag)
+                    at = ends[tag].get(m.start(), at)
             continue
         if tag == "br":
             parts.append("\n")

@@ -3,7 +3,9 @@
 import math
 from collections import Counter
 
-from quarrymill.llm import quality_lm
+import pytest
+
+from quarrymill.llm import html_text, quality_lm
 
 
 def kneser_ney(trusted, text):
@@ -37,3 +39,22 @@ def test_quality_model_counts_bigrams_seen_once_and_twice(spark, monkeypatch):
         monkeypatch.setattr(quality_lm, "HEAD_BIGRAMS", heads[1])
         got = {r["doc_id"]: r["log_perplexity"] for r in quality_lm.classify(docs, labels).collect()}
         assert all(abs(got[i] - want[i]) <= 1 for i in want), (got, want)
+
+
+@pytest.mark.parametrize(
+    "before",
+    ["<embed src='x.swf'>", "<button>", "<object data=x>", "<video src=x>", "<option>", "<svg>", "<button><button>skipped</button>", "<object><object>skipped</object>skipped</object>", "<select>skipped</select >"],
+)
+def test_html_after_unclosed_tags_is_read(before):
+    page = f"<html><body><article><p>First paragraph, long enough.</p>{before}<p>Second paragraph, long enough.</p><select><option>skipped</option></select></article></body></html>"
+    assert html_text.extract(page) == "First paragraph, long enough.\n\nSecond paragraph, long enough."
+
+
+def test_html_head_may_end_without_a_tag():
+    assert html_text.extract("<html><head><title>skipped</title><meta charset=utf-8><article><header><h1>Name</h1></header><p>Some text of the page.</p></article>").endswith("Some text of the page.")
+    assert html_text.extract("<html><head><script>skipped</script><body><article><p>Some text of the page.</p></article>") == "Some text of the page."
+    assert html_text.extract("<article><p>Some text of the page.</p><script>skipped</article>") == "Some text of the page."
+
+
+def test_html_formulas_are_text():
+    assert html_text.extract("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>") == "So x=1 holds."
