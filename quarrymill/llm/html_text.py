@@ -3,9 +3,10 @@
 A page is cut into blocks at block-level tags. Each block is a node; what a
 linear classifier thinks of it (its containers, hints in class and id, link
 density, length) becomes the capacities to the two terminals. Neighbours in page
-order and blocks whose paths share containers are tied by smoothness edges. The
-minimum cut, by augmenting paths, separates content from boilerplate. Blocks of
-the same container are one node with summed costs, so a page's graph is small.
+order are tied by smoothness edges; blocks of one container are tied through a
+node of the container, which has no opinion of its own and is tied to that of the
+container around it. The minimum cut, by Dinic's algorithm, separates content from
+boilerplate; a page's graph has edges in proportion to its blocks.
 
 Scripts, styles, comments, titles and form fields hold no text at all. One whose
 end tag is missing takes the rest of the page only if its text is raw (a script,
@@ -37,6 +38,7 @@ BLOCKS = (
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 RAW = "script style textarea title".split()
 CLOSED_BY = {"p": set(BLOCKS) - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+PLAIN = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th tr dd dt".split())
 BAD_TAGS = "aside dialog fieldset footer form header menu nav".split()
 GOOD_TAGS = "article main".split()
 BAD_HINTS = "ad ads advert advertisement banner bar breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -155,62 +157,82 @@ def cost(text: str, path: tuple, linked: int) -> float:
 
 
 def min_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source, by shortest augmenting paths."""
+    """Which nodes stay with the source, by blocking flows over shortest paths."""
     n = len(scores)
     s, t = n, n + 1
-    room: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    # Edge e leads to ends[e] with room[e] left; e ^ 1 is its reverse.
+    ends: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def edge(a: int, b: int, there: float, back: float) -> None:
+        for x, y, c in ((a, b, there), (b, a, back)):
+            out[x].append(len(ends))
+            ends.append(y)
+            room.append(c)
+
     for i, x in enumerate(scores):
-        a, b = (s, i) if x > 0 else (i, t)
-        room[a][b] = room[a].get(b, 0) + abs(x)
-        room[b].setdefault(a, 0.0)
+        edge(*((s, i) if x > 0 else (i, t)), abs(x), 0.0)
     for i, j, c in ties:
-        room[i][j] = room[i].get(j, 0) + c
-        room[j][i] = room[j].get(i, 0) + c
+        edge(i, j, c, c)
     while True:
-        back, queue = {s: s}, deque([s])
-        while queue and t not in back:
+        level, queue = {s: 0}, deque([s])
+        while queue:
             u = queue.popleft()
-            for v, c in room[u].items():
-                if c > 1e-9 and v not in back:
-                    back[v] = u
-                    queue.append(v)
-        if t not in back:
-            return [i in back for i in range(n)]
-        path, v = [], t
-        while v != s:
-            path.append((back[v], v))
-            v = back[v]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+            for e in out[u]:
+                if room[e] > 1e-9 and ends[e] not in level:
+                    level[ends[e]] = level[u] + 1
+                    queue.append(ends[e])
+        if t not in level:
+            return [i in level for i in range(n)]
+        at = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
+            if u == t:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                # Go on from the first edge that is full.
+                k = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                u = ends[path[k] ^ 1]
+                del path[k:]
+            edges = out[u]
+            while at[u] < len(edges) and not (room[edges[at[u]]] > 1e-9 and level.get(ends[edges[at[u]]]) == level[u] + 1):
+                at[u] += 1
+            if at[u] < len(edges):
+                path.append(edges[at[u]])
+                u = ends[path[-1]]
+            elif path:
+                u = ends[path.pop() ^ 1]
+                at[u] += 1
+            else:
+                break
 
 
 def extract(page: str | None) -> str:
     """The main text of a page: its content blocks, joined by two line ends."""
     found = blocks(page or "")
+    scores = [cost(*block) for block in found]
+    ties = [(i, i + 1, TIE_NEXT) for i in range(len(found) - 1)]
     nodes: dict[tuple, int] = {}
-    scores: list[float] = []
-    node_of = []
-    for text, path, linked in found:
-        # Plain blocks of one container are one node: the path without trailing paragraphs and list items.
+    for i, (_, path, _) in enumerate(found):
+        # The container of plain blocks: the path without trailing paragraphs and list items.
         k = len(path)
-        while k and path[k - 1][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "tr", "dd", "dt") and not path[k - 1][2]:
+        while k and path[k - 1][0] in PLAIN and not path[k - 1][2]:
             k -= 1
         key = tuple(x[1] for x in path[:k])
         if key not in nodes:
             nodes[key] = len(scores)
             scores.append(0.0)
-        scores[nodes[key]] += cost(text, path, linked)
-        node_of.append(nodes[key])
-    keys = list(nodes)
-    ties = [(a, b, TIE_NEXT) for a, b in zip(node_of, node_of[1:], strict=False) if a != b]
-    for i, key in enumerate(keys):
+        ties.append((i, nodes[key], TIE_PATH))
+    for key, i in nodes.items():
         parent = next((nodes[key[:k]] for k in range(len(key) - 1, 0, -1) if key[:k] in nodes), None)
         if parent is not None:
             ties.append((i, parent, TIE_PATH))
     keep = min_cut(scores, ties)
-    return "\n\n".join(b[0] for b, k in zip(found, node_of, strict=True) if keep[k])
+    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=False) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

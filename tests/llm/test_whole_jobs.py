@@ -1,6 +1,7 @@
 """Cases that earlier versions of the training-data operators cut short."""
 
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -58,3 +59,20 @@ def test_html_head_may_end_without_a_tag():
 
 def test_html_formulas_are_text():
     assert html_text.extract("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>") == "So x=1 holds."
+
+
+def test_html_blocks_of_one_container_are_told_apart():
+    """An advert of links only, in a plain paragraph beside the text; a menu and a text in cells of one table."""
+    text = "A paragraph of the text itself, which is long enough to count as content of the page. " * 2
+    texts = "\n\n".join([text.strip()] * 3)
+    advert = "<p><a href=/buy>Buy cheap things now</a></p>"
+    assert html_text.extract(f"<html><body><p>{text}</p><p>{text}</p><p>{text}</p>{advert}</body></html>") == texts
+    menu = "".join(f"<tr><td><a href=/{i}>Menu entry {i}</a></td></tr>" for i in range(6))
+    assert html_text.extract(f"<html><body><table>{menu}<tr><td><p>{text}</p><p>{text}</p><p>{text}</p></td></tr></table></body></html>") == texts
+
+
+def test_html_long_pages_are_cut_in_time():
+    page = "<body>" + "".join("<p>" + "Some plain words of a text. " * 4 + "</p>" if i % 9 < 6 else f"<p><a href=/{i}>link {i}</a></p><div class=comment><p>Word {i}</p></div>" for i in range(12000))
+    start = time.monotonic()
+    out = html_text.extract(page)
+    assert time.monotonic() - start < 20 and "Some plain words" in out and "Word 7" not in out
