@@ -121,14 +121,15 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    any_digit = re.compile("[0-9@]")
+    # What a base span needs, and what any candidate needs.
+    any_digit, any_mark = re.compile("[0-9@]"), re.compile(r"[0-9@]|\(at\)|\[at\]")
     schema = pa.schema({"doc_id": pa.int64(), "base": pa.list_(pa.string()), "found": pa.list_(pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64(), "is_base": pa.bool_(), "votes": pa.string()}))})
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             ids, base, found = [], [], []
             for doc, text in zip(batch.column(0).slice(i, 500).to_pylist(), batch.column(1).slice(i, 500).to_pylist(), strict=True):
                 spans = base_spans(text) if text and any_digit.search(text) else []
-                rows = candidates(text, spans) if text and any_digit.search(text) else []
+                rows = candidates(text, spans) if text and any_mark.search(text) else []
                 ids.append(doc)
                 base.append([f"{k}:{a}:{b}" for k, a, b in spans])
                 found.append([{"kind": k, "start": a, "end": b, "is_base": n < len(spans), "votes": ",".join(map(str, votes(k, text, a, b)))} for n, (k, a, b) in enumerate(rows)])

@@ -4,9 +4,10 @@ import math
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from quarrymill.llm import html_text, quality_lm
+from quarrymill.llm import html_text, pii, quality_lm
 
 
 def kneser_ney(trusted, text):
@@ -76,3 +77,14 @@ def test_html_long_pages_are_cut_in_time():
     start = time.monotonic()
     out = html_text.extract(page)
     assert time.monotonic() - start < 20 and "Some plain words" in out and "Word 7" not in out
+
+
+def test_personal_data_in_texts_without_a_digit(spark):
+    texts = ["write to john (at) example (dot) com", "write to john [at] example [dot] com", "at home (dot) com", "write to john (at) example (dot) com on day 3"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])
+    found = [x for b in pii._scan(iter([batch])) for x in b.column("found").to_pylist()]
+    assert [[(r["kind"], r["is_base"]) for r in rows] for rows in found] == [[("email", False)], [("email", False)], [], [("email", False)]]
+    assert found[0][0]["votes"] == found[3][0]["votes"]
+    rows = [(i, f"contact me by email: person{'x' * (i % 7)}@example.org") for i in range(40)] + [(100 + i, texts[0]) for i in range(20)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 60 and all(got[i]["n_email"] == 1 for i in range(40)) and all(got[100 + i]["n_email"] == 0 for i in range(20))
