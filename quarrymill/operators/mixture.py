@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,16 +49,49 @@ def schedule(sizes: Mapping[str, int], batch: int, weights: Mapping[str, float]
     return out
 
 
-def interleave(df: DataFrame, source: str, order: Sequence[str], blocks: Sequence[tuple[int, str, int, int, int]], seed: int | None = None) -> DataFrame:
-    """Rows by block: (block, slot) says where a row comes. With a seed each round has an order of its own."""
-    plan = df.sparkSession.createDataFrame(list(blocks), f"block long, {source} string, round long, first long, rows long")
-    if seed is None:
-        placed = ordinals(df, source, order)
-        return placed.join(plan, [source]).where("pos >= first AND pos < first + rows").withColumn("slot", F.col("pos") - F.col("first")).drop("first", "rows", "pos")
-    rounds = plan.select(source, "round").distinct()
-    shuffled = df.join(rounds, source).withColumn("__key", F.xxhash64(F.lit(seed), "round", *order)).withColumn("__lane", F.concat_ws("#", source, F.col("round").cast("string")))
-    placed = ordinals(shuffled, "__lane", ["__key", *order])
-    return placed.join(plan, [source, "round"]).where("pos >= first AND pos < first + rows").withColumn("slot", F.col("pos") - F.col("first")).drop("first", "rows", "pos", "__key", "__lane")
+def take_turns(df: DataFrame, source: str, order: Sequence[str], batch: int) -> DataFrame:
+    """source, order, turn, seat, slot: sources give batches of their rows in turn, until each has given all once."""
+    seats = df.select(source).distinct().withColumn("seat", (F.row_number().over(W.orderBy(source)) - 1).cast("long"))
+    placed = ordinals(df.select(source, *order), source, order).join(F.broadcast(seats), source)
+    return placed.select(source, *order, F.expr(f"pos DIV {batch}").alias("turn"), "seat", (F.col("pos") % batch).alias("slot"))
+
+
+def draws(spark: SparkSession, sizes: Mapping[str, int], source: str, batch: int, weights: Mapping[str, float], stop: str = "all_exhausted", seed: int = 0) -> DataFrame:
+    """block, source, round, part of each block of an epoch, as schedule has them for weights.
+
+    The source of a block hangs on a hash of seed and block, so tasks draw by
+    themselves. A source's draws are numbered by range sums: the number says round
+    and part, and the first draw past the parts uses the source up.
+    """
+    if any(weights[k] <= 0 for k in sizes):
+        raise ValueError("each source needs a weight above zero")
+    names, parts, total = list(sizes), {k: -(-n // batch) for k, n in sizes.items()}, sum(weights[k] for k in sizes)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "block"), F.lit(1 << 53)) / float(1 << 53) * total
+    name, count, upto = F.lit(names[-1]), F.lit(parts[names[-1]]), total
+    for k, after in zip(names[-2::-1], names[:0:-1], strict=True):
+        upto -= weights[after]
+        name = F.when(draw < upto, F.lit(k)).otherwise(name)
+        count = F.when(F.col(source) == k, F.lit(parts[k])).otherwise(count)
+    n = int(1.1 * max((parts[k] + 1) * total / weights[k] for k in names)) + 64
+    while True:
+        numbered = ordinals(spark.range(n).select(F.col("id").alias("block")).select("block", name.alias(source)), source, ["block"]).withColumn("parts", count)
+        used_up = [r["block"] for r in numbered.where("pos = parts").select("block").collect()]  # one for each source
+        if len(used_up) == len(names) or used_up and stop == "first_exhausted":
+            break
+        n *= 2
+    end = min(used_up) if stop == "first_exhausted" else max(used_up)
+    return numbered.where(F.col("block") < end).select("block", source, F.expr("pos DIV parts").alias("round"), (F.col("pos") % F.col("parts")).alias("part"))
+
+
+def interleave(df: DataFrame, source: str, order: Sequence[str], plan: DataFrame, batch: int, seed: int) -> DataFrame:
+    """source, round, order, block, slot: rows by the blocks of draws, in an order of its own for each round."""
+    last = plan.groupBy(source).agg(F.max("round").alias("__last"))
+    rounds = df.select(source, *order).join(F.broadcast(last), source).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), "__last")))
+    # The lane carries source and round, so ranges are counted over the very columns that are numbered.
+    laned = rounds.select(F.struct(source, "round").alias("__lane"), F.xxhash64(F.lit(seed), "round", *order).alias("__key"), *order)
+    placed = ordinals(laned, "__lane", ["__key", *order]).select(F.col(f"__lane.{source}").alias(source), "__lane.round", *order, "pos")
+    placed = placed.withColumn("part", F.expr(f"pos DIV {batch}"))
+    return placed.join(plan, [source, "round", "part"]).select(source, "round", *order, "block", (F.col("pos") % batch).alias("slot"))
 
 
 def stride(position: str, processes: int, slots: int, total: int) -> F.Column:

@@ -418,20 +418,15 @@ def chunk_order(t: Tables) -> DataFrame:
 r AS (SELECT *, dense_rank() OVER (ORDER BY lang) - 1 AS turn FROM p), m AS (SELECT max(ceil(n / 32.0)) AS blocks FROM r)
 SELECT doc_id, lang, (pos // 32)::BIGINT AS turn, turn AS seat, (pos % 32)::BIGINT AS slot FROM r""")
 def round_robin_interleave(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "lang")
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy("lang").collect()}
-    blocks = [b for b in mixture.schedule(sizes, 32) if b[2] == 0]
-    seats = {k: i for i, k in enumerate(sizes)}
-    rows = mixture.interleave(docs, "lang", ["doc_id"], blocks)
-    start = docs.sparkSession.createDataFrame([(b[0], b[3] // 32, seats[b[1]]) for b in blocks], "block long, turn long, seat long")
-    return rows.join(F.broadcast(start), "block").select("doc_id", "lang", "turn", "seat", "slot")
+    return mixture.take_turns(t.documents.select("doc_id", "lang"), "lang", ["doc_id"], 32).select("doc_id", "lang", "turn", "seat", "slot")
 
 
 @query()
 def weighted_shuffled_interleave(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "lang")
     sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy("lang").collect()}
-    return mixture.interleave(docs, "lang", ["doc_id"], mixture.schedule(sizes, 32, dict.fromkeys(sizes, 1.0), seed=3), seed=3)
+    plan = mixture.draws(t.spark, sizes, "lang", 32, dict.fromkeys(sizes, 1.0), seed=3)
+    return mixture.interleave(docs, "lang", ["doc_id"], plan, 32, seed=3)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id < (SELECT count(*) FROM documents) // 32 * 32 THEN doc_id - doc_id % 32 + (doc_id % 4) * 8 + (doc_id % 32) // 4 ELSE doc_id END AS place FROM documents")
