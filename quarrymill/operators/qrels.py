@@ -30,8 +30,18 @@ def conditional(local: DataFrame, n_global: int, ids: str = "candidate_ids") ->
 
 
 def private_candidates(queries: DataFrame, candidates: str, order: Sequence[str]) -> DataFrame:
-    """Candidates of each query with running numbers over all queries."""
+    """Candidates of each query with running numbers over all queries.
+
+    Ranges of the order are summed first and numbered within themselves, so no
+    task has to order all queries. Ranges hold nothing but order and size: both
+    reads of them are of one exchange.
+    """
     flat = queries.select(*order, F.posexplode(candidates).alias("pos", "text"))
-    sizes = queries.select(*order, F.size(candidates).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sizes = queries.select(*order, F.greatest(F.size(candidates), F.lit(0)).alias("n"))
+    parts = max(1, queries.sparkSession.sparkContext.defaultParallelism)
+    ranged = sizes.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("__part").agg(F.sum("n").alias("n")).select("__part", upto(W.orderBy("__part")).alias("start"))
+    before = ranged.withColumn("within", upto(W.partitionBy("__part").orderBy(*order))).join(F.broadcast(starts), "__part")
+    before = before.select(*order, (F.col("start") + F.col("within")).alias("before"))
     return flat.join(before, list(order)).select(*order, (F.col("before") + F.col("pos")).cast("long").alias("candidate_id"), "text")

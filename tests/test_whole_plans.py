@@ -3,8 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from quarrymill.operators import mixture
+from quarrymill.operators import mixture, qrels
 from quarrymill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,13 @@ def test_drawn_blocks_follow_the_sampler(spark, stop):
     for s, r in {(g[1], g[2]) for g in got}:
         once = [x["i"] for x in found if (x["s"], x["round"]) == (s, r)]
         assert len(set(once)) == len(once)
+
+
+def test_private_candidates_are_numbered_in_many_tasks(spark):
+    queries = spark.range(20_000).select("id", F.transform(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")), lambda x: F.concat_ws(":", "id", x)).alias("c"))
+    queries = queries.withColumn("c", F.when(F.col("id") % 5 > 0, F.col("c")).otherwise(F.array().cast("array<string>")))
+    out = qrels.private_candidates(queries, "c", ["id"])
+    want = [f"{i}:{j}" for i in range(20_000) if i % 5 for j in range(i % 4 + 1)]
+    assert [r["text"] for r in sorted(out.collect(), key=lambda r: r["candidate_id"])] == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(id" not in plan  # no window over all queries
