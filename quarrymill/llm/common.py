@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Word pattern of the operator contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,10 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Shuffle files of the plan are deleted once the table is complete, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -2,20 +2,29 @@
 
 Trusted text is what the labels call good. Tokens are runs of word characters or
 of signs, lower-cased, kept as 32-bit hashes; a bigram is two of them in a long.
-Counts of all trusted text are combined in each task, then summed by key. The
-model is one change of log probability per bigram that the trusted text holds,
-with the discount of its count (once, twice, more), and one back-off weight and
-one continuation probability per word.
-
-Scoring reads every whole text. The most frequent words and bigrams (bounded
-heads) and a bounded Bloom filter of all other modelled bigrams go to every task;
-a document's tail bigrams that pass the filter meet their counts in a join by
-key. Perplexity is then compared with the quantiles of the document's language.
+Counts of all trusted text are combined in each task, then summed by key. Both
+orders, bigrams and the words' continuation counts, have three discounts of their
+own (for counts of one, two, more); what a context's discounts free is its
+back-off weight, and what those of the words free is shared evenly by all words,
+the unknown one included, so the probabilities after any context sum to one.
+
+A token's log probability is a sum of features: its word's, its context's back-off
+weight, and for a bigram that the trusted text holds what that bigram changes. The
+most frequent words and bigrams (bounded heads) go to every task. All other
+features, the tail, are dealt to shards by hash; a bounded filter of each shard
+tells which of a text's features may be there, and only those are sent to it. There
+they meet the counts in one cogroup, and partial sums by document come back. A
+feature that many documents of a slice need is asked for once for all of them.
+Perplexity is then compared with the quantiles of the document's language.
+
+Where the tail has more than some ten million features the filters fill up and
+more features are sent that have no count; results are the same.
 
 Defined results: texts without a token have perplexity 0 and are kept; null
 language is a language of its own; repeated rows and null ids are judged row by
-row; without trusted text every token is unknown and all documents are kept
-alike; an empty table gives an empty result.
+row; texts of any length are read whole, a task holds one and its tokens at a
+time; without trusted text every token is unknown and all documents are kept
+alike; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, quality_rules, textvec
-from .common import write_table
+from . import quality_rules, textvec
+from .common import drop_table, write_table
 
 HEAD_WORDS, HEAD_BIGRAMS = 1 << 19, 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
-HELD = 1 << 22
+#: Tokens that a task holds at once, features of a shard, bits of all filters together.
+HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 21, 1 << 28
+#: A feature that more documents of a slice share is asked for once.
+SHARED = 256
 START = np.uint64(1)
 LOW = np.uint64(0xFFFFFFFF)
+BIGRAM, WORD, CONTEXT = 0, 1, 2
+_MARK = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,53 +85,149 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed()
 
 
-def _hash_keys(keys: np.ndarray) -> np.ndarray:
-    return textvec.mix64(keys)
+def feature(kind: int, keys: np.ndarray) -> np.ndarray:
+    """56-bit hash of the feature of a kind: a bigram, a last word or a context."""
+    return textvec.mix64(keys + _MARK[kind]) >> np.uint64(8)
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column(0).to_numpy().view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(_hash_keys(keys).view(np.int64))], names=["h"])
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the hash."""
+    return ((h >> np.uint64(24)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The two bits of a feature in its shard's filter of `size` bits, a power of two."""
+    return [((textvec.mix64(h) >> np.uint64(k)) & np.uint64(size - 1)).astype(np.int64) for k in (0, 32)]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes together and so on: small numbers then compress well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpack(packed: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, len(packed) // size).T).view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Sorted hashes, packed as differences."""
+    return pack(np.diff(h, prepend=np.zeros(1, np.uint64)))
+
+
+def _places(steps: bytes) -> np.ndarray:
+    return np.cumsum(unpack(steps, np.uint64), dtype=np.uint64)
+
+
+def _dealt(h: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """(shard, its part) of sorted hashes."""
+    which = shard_of(h, shards)
+    starts = textvec.groups(which)
+    for a, b in zip(starts, np.append(starts[1:], len(h)), strict=False):
+        yield int(which[a]), slice(a, b)
+
+
+def _packed(shards: int):
+    """Rows (kind, key, delta) as one row for each shard and run of HELD rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            h, delta = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h)
+            h, delta = h[order], delta[order]
+            out = [(s, _steps(h[part]), pack(delta[part])) for s, part in _dealt(h, shards)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "steps", "deltas"])
+
+        for batch in batches:
+            if batch.num_rows:
+                kind, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+                held.append((textvec.mix64(keys + _MARK[kind]) >> np.uint64(8), batch.column(2).to_numpy().astype(np.float32)))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield rows()
+                    held = []
+        if held:
+            yield rows()
+
+    return run
+
+
+def _merged(size: int):
+    """One row of a shard: its features in order, and its filter."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = np.concatenate([_places(x) for x in table.column("steps").to_pylist()])
+        delta = np.concatenate([unpack(x, np.float32) for x in table.column("deltas").to_pylist()])
+        order = np.argsort(h)
+        h = h[order]
+        filt = np.zeros(size, bool)
+        for at in _bits(h, size):
+            filt[at] = True
+        out = [[table.column("shard")[0].as_py()], [_steps(h)], [pack(delta[order])], [np.packbits(filt, bitorder="little").tobytes()]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "steps", "deltas", "filter"])
+
+    return run
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts of counts of one, two and more, from how many items have a count of 1 to 4."""
+    n1, n2, n3, n4 = (max(1, x) for x in n)
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(0.05, x), i + 0.95) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
+
+
+def _discount(count: str, d: list[float]) -> str:
+    return f"CASE {count} WHEN 1 THEN {d[0]}D WHEN 2 THEN {d[1]}D ELSE {d[2]}D END"
+
+
+def _how_many(table: DataFrame, count: str) -> list[int]:
+    """How many rows have a count of 1 to 4, how many there are, and the counts' sum."""
+    row = table.agg(*[F.count(F.when(F.col(count) == i, 1)) for i in (1, 2, 3, 4)], F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0))).first()
+    return list(row)
 
 
 class Model:
-    """Tables word_tail (w, uni, gamma), bigram_tail (key, delta) and what goes to every task."""
+    """The heads, which go to every task, and the table `features` of the tail: a row for each shard."""
 
     def __init__(self, trusted: DataFrame):
         spark = trusted.sparkSession
-        counts = trusted.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-        counts = write_table(counts, "lm-bigrams").selectExpr("key", "shiftrightunsigned(key, 32) AS v", "key & 4294967295 AS w", "c")
-        one = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count(F.lit(1)).alias("kinds")).first()
-        n1, n2, n3, n4, kinds = (max(1, x) for x in one)
-        y = n1 / (n1 + 2 * n2)
-        d = [min(max(0.05, x), i + 0.95) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
-        after = counts.groupBy("v").agg(F.sum("c").alias("all"), *[F.count(F.when(F.col("c") == i, 1)).alias(f"k{i}") for i in (1, 2)], F.count(F.when(F.col("c") > 2, 1)).alias("k3"))
-        after = after.selectExpr("v", "`all`", f"({d[0]} * k1 + {d[1]} * k2 + {d[2]} * k3) / `all` AS gamma")
-        ahead = counts.groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c"))
-        ahead = write_table(ahead, "lm-words")
-        size = ahead.count() + 1
-        # One discount for the words' continuation counts; what it frees is shared evenly, unknown words included.
-        self.unknown = d[0] * size / (kinds + 1) / size
-        self.unknown = float(min(self.unknown, 1.0))
-        uni = F.expr(f"greatest(kinds - {d[0]}, 0D) / {kinds} + {self.unknown}")
+        written = write_table(trusted.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")), "lm-bigrams")
+        counts = written.selectExpr("key", "shiftrightunsigned(key, 32) AS v", "key & 4294967295 AS w", "c")
+        *n, kinds, _ = _how_many(counts, "c")
+        d = discounts(n)
+        after = counts.groupBy("v").agg(F.sum("c").alias("all"), F.sum(F.expr(_discount("c", d))).alias("freed")).selectExpr("v", "`all`", "freed / `all` AS gamma")
+        ahead = write_table(counts.groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c")), "lm-words")
+        *n, size, _ = _how_many(ahead, "kinds")
+        e = discounts(n)
+        freed = ahead.agg(F.coalesce(F.sum(F.expr(_discount("kinds", e))), F.lit(1.0))).first()[0]
+        self.unknown = float(freed / max(1, kinds) / (size + 1))
+        uni = F.expr(f"(kinds - {_discount('kinds', e)}) / {max(1, kinds)} + {self.unknown}D")
         words = ahead.withColumn("uni", uni).join(after, F.col("w") == F.col("v"), "full")
         words = words.selectExpr("coalesce(w, v) AS w", f"ln(coalesce(uni, {self.unknown}D)) AS uni", "ln(coalesce(gamma, 1D)) AS gamma", "coalesce(c, 0) AS c", "`all`")
         words = write_table(words, "lm-model-words")
-        # Bounded heads, by count; everything rarer is the tail, found by joins.
+        drop_table(ahead)
+        # Bounded heads, by count; everything rarer is the tail.
         word_cut, bigram_cut = _cut(words, HEAD_WORDS), _cut(counts, HEAD_BIGRAMS)
-        self.word_tail = words.where(F.col("c") < word_cut).select("w", "uni", "gamma")
-        tail = counts.where(F.col("c") < bigram_cut)
-        self.bigram_tail = _deltas(tail, words, word_cut, d)
         head = words.where(F.col("c") >= word_cut).select("w", "uni", "gamma").orderBy("w").toArrow()
         pairs = _deltas(counts.where(F.col("c") >= bigram_cut), words, word_cut, d).toArrow()
         keys = pairs.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.bits = bloom.filter_bits(tail.count())
-        filt = np.zeros((self.bits // bloom.BLOCK_BITS, bloom.BLOCK_BITS // 8), np.uint8)
-        for block, bitmap in bloom.build(tail.select("key").mapInArrow(_with_hash, "h long"), self.bits).collect():
-            filt[block] = np.frombuffer(bitmap, np.uint8)
-        arrays = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order], filt]
+        rest = words.where(F.col("c") < word_cut)
+        tail = _deltas(counts.where(F.col("c") < bigram_cut), words, word_cut, d).selectExpr(f"{BIGRAM} AS kind", "key", "delta")
+        tail = tail.unionByName(rest.selectExpr(f"{WORD} AS kind", "w AS key", f"uni - ln({self.unknown}D) AS delta")).unionByName(rest.selectExpr(f"{CONTEXT} AS kind", "w AS key", "gamma AS delta"))
+        n_tail = kinds + 2 * size
+        self.shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tail // SHARD_FEATURES + 1)
+        size = 1 << max(10, (FILTER_BITS // self.shards).bit_length() - 1)
+        size = min(size, 1 << max(10, (16 * n_tail // self.shards).bit_length()))
+        packed = tail.mapInArrow(_packed(self.shards), "shard int, steps binary, deltas binary")
+        self.features = write_table(packed.groupBy("shard").applyInArrow(_merged(size), "shard int, steps binary, deltas binary, filter binary"), "lm-features")
+        drop_table(written)
+        drop_table(words)
+        filters = np.zeros((self.shards, size // 8), np.uint8)
+        for shard, filt in self.features.select("shard", "filter").collect():  # FILTER_BITS at most
+            filters[shard] = np.frombuffer(filt, np.uint8)
+        arrays = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order], filters]
         self.shared = spark.sparkContext.broadcast(arrays)
 
 
@@ -129,8 +239,7 @@ def _deltas(counts: DataFrame, words: DataFrame, word_cut: int, d: list[float])
     near = counts.join(F.broadcast(first(head)), "v", "left").join(F.broadcast(last(head)), "w", "left")
     rest = near.where("gamma IS NULL OR uni IS NULL").select("key", "v", "w", "c")
     both = near.where("gamma IS NOT NULL AND uni IS NOT NULL").unionByName(rest.join(first(words), "v").join(last(words), "w"))
-    discount = f"CASE c WHEN 1 THEN {d[0]}D WHEN 2 THEN {d[1]}D ELSE {d[2]}D END"
-    return both.select("key", F.expr(f"ln(greatest(c - {discount}, 0D) / `all` + exp(gamma + uni)) - gamma - uni").alias("delta"))
+    return both.select("key", F.expr(f"ln((c - {_discount('c', d)}) / `all` + exp(gamma + uni)) - gamma - uni").alias("delta"))
 
 
 def _cut(table: DataFrame, at_most: int) -> int:
@@ -152,62 +261,121 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _scorer(shared, bits: int, unknown: float):
+ASKED = "slice long, shard int, steps binary, docs binary, about binary"
+
+
+def _scorer(shared, shards: int, unknown: float):
+    """For each slice of documents, a row about them and a row for each shard that is asked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, uni, gamma, pairs, delta, filt = shared.value
-        row = TaskContext.get().partitionId() << 40
-        kind = pa.list_(pa.struct({"key": pa.int64(), "n": pa.int32()}))
+        words, uni, gamma, pairs, delta, filters = shared.value
+        size = filters.shape[1] * 8
+        number = TaskContext.get().partitionId() << 32
+        unseen = np.log(unknown)
+        meta: list[pa.RecordBatch] = []
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        first = tokens = 0
+
+        def scored(data: np.ndarray, offsets: np.ndarray, about: pa.RecordBatch) -> None:
+            nonlocal first, tokens
+            doc, keys = bigrams(data, offsets)
+            v, w = keys >> np.uint64(32), keys & LOW
+            log = np.full(len(keys), unseen)
+            parts = []
+            for kind, key, (at, known), value in ((WORD, w, _find(words, w), uni), (CONTEXT, v, _find(words, v), gamma), (BIGRAM, keys, _find(pairs, keys), delta)):
+                if len(value):
+                    log += np.where(known, value[at] - (unseen if kind == WORD else 0), 0)
+                h = feature(kind, key[~known])
+                where = shard_of(h, shards)
+                may = np.ones(len(h), bool)
+                for bit in _bits(h, size):
+                    may &= (filters[where, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                parts.append((h[may], doc[~known][may]))
+            asked.append((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) + first))
+            n = about.num_rows
+            logs = np.bincount(doc, weights=log, minlength=n)
+            meta.append(pa.RecordBatch.from_arrays([*about.columns, pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(logs)], names=["doc_id", "lang", "trusted", "n_tokens", "log"]))
+            first += n
+            tokens += len(keys)
+
+        def rows() -> pa.RecordBatch:
+            nonlocal number, first, tokens, meta, asked
+            h, doc = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            # A feature that many need is asked for once, as if by a document of its own.
+            starts = textvec.groups(h)
+            n = np.diff(np.append(starts, len(h)))
+            many = np.repeat(n > SHARED, n)
+            users, size = doc[many], n[n > SHARED]
+            once = h[starts[n > SHARED]]
+            h, doc = np.concatenate((h[~many], once)), np.concatenate((doc[~many], first + np.arange(len(once))))
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order].astype(np.uint32)
+            out = [(s, _steps(h[part]), pack(doc[part]), None) for s, part in _dealt(h, shards)]
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(meta)
+            table = table.replace_schema_metadata({b"users": pack(users.astype(np.uint32)), b"sizes": pack(size.astype(np.uint32))})
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            out.append((number % shards, None, None, sink.getvalue().to_pybytes()))
+            got = pa.RecordBatch.from_arrays([pa.array([number] * len(out)), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]], names=["slice", "shard", "steps", "docs", "about"])
+            number, first, tokens, meta, asked = number + 1, 0, 0, [], []
+            return got
+
         for batch in batches:
             for i, j, data, offsets in textvec.slices(batch.column(3)):
-                doc, keys = bigrams(data, offsets)
-                v, w = keys >> np.uint64(32), keys & LOW
-                log = np.zeros(len(keys))
-                at, known = _find(words, w)
-                log += np.where(known, uni[at] if len(uni) else 0, 0)
-                tails = [(doc[~known], w[~known].view(np.int64))]
-                at, known = _find(words, v)
-                log += np.where(known, gamma[at] if len(gamma) else 0, 0)
-                tails.append((doc[~known], -1 - v[~known].view(np.int64)))
-                at, known = _find(pairs, keys)
-                log += np.where(known, delta[at] if len(delta) else 0, 0)
-                h = _hash_keys(keys)
-                block, may = (h & np.uint64(bits // bloom.BLOCK_BITS - 1)).astype(np.int64), ~known
-                for shift in (49, 34):
-                    pos = ((h >> np.uint64(shift)) & np.uint64(bloom.BLOCK_BITS - 1)).astype(np.int64)
-                    may &= (filt[block, pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
-                pair_doc, pair_key = doc[may], keys[may].view(np.int64)
-                columns = []
-                for docs, found in ((np.concatenate([t[0] for t in tails]), np.concatenate([t[1] for t in tails])), (pair_doc, pair_key)):
-                    order = np.lexsort((found, docs))
-                    docs, found = docs[order], found[order]
-                    new = np.ones(len(docs), bool)
-                    new[1:] = (docs[1:] != docs[:-1]) | (found[1:] != found[:-1])
-                    first = np.flatnonzero(new)
-                    n = np.diff(np.append(first, len(docs))).astype(np.int32)
-                    ends = np.concatenate(([0], np.cumsum(np.bincount(docs[first], minlength=j - i)))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(found[first]), pa.array(n)], fields=list(kind.value_type))))
-                total = np.bincount(doc, weights=log, minlength=j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(j - i)), *[batch.column(k).slice(i, j - i) for k in (0, 1, 2)], pa.array(np.bincount(doc, minlength=j - i).astype(np.int64)), pa.array(total), *columns],
-                    names=["row", "doc_id", "lang", "trusted", "n_tokens", "log", "words", "pairs"],
-                )
-                row += j - i
+                scored(data, offsets, pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in (0, 1, 2)], names=["doc_id", "lang", "trusted"]))
+                if tokens >= HELD:
+                    yield rows()
+        if meta:
+            yield rows()
 
     return run
 
 
+def _answered(asked: pa.Table, features: pa.Table) -> pa.Table:
+    """What a shard's features add to each document that asked, by slice; rows about documents go through."""
+    h, delta = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    if features.num_rows:
+        h, delta = _places(features.column("steps")[0].as_py()), unpack(features.column("deltas")[0].as_py(), np.float32)
+    out = []
+    for number, steps, docs, about in zip(*(asked.column(c).to_pylist() for c in ("slice", "steps", "docs", "about")), strict=True):
+        if about is not None:
+            out.append((number, None, None, about))
+            continue
+        at, known = _find(h, _places(steps))
+        who, where = np.unique(unpack(docs, np.uint32)[known], return_inverse=True)
+        if len(who):
+            out.append((number, pack(who), pack(np.bincount(where, weights=delta[at[known]]).astype(np.float32)), None))
+    columns = zip(*out, strict=True) if out else ([],) * 4
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slice", "docs", "sums", "about"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The documents of a slice with all parts of their log probability."""
+    about = next(x for x in table.column("about").to_pylist() if x is not None)
+    docs = pa.ipc.open_stream(about).read_all()
+    users, sizes = (unpack(docs.schema.metadata[k], np.uint32).astype(np.int64) for k in (b"users", b"sizes"))
+    total = np.zeros(docs.num_rows + len(sizes))
+    for who, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist(), strict=True):
+        if who is not None:
+            total[unpack(who, np.uint32)] += unpack(sums, np.float32)
+    own = total[: docs.num_rows] + np.bincount(users, weights=np.repeat(total[docs.num_rows :], sizes), minlength=docs.num_rows)
+    log = docs.column("log").to_numpy() + own
+    return docs.replace_schema_metadata(None).set_column(4, "log", pa.array(log))
+
+
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, lang, trusted, text) with n_tokens and log_perplexity (thousandths) in place of text."""
-    item = "array<struct<key:bigint,n:int>>"
-    scored = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(_scorer(model.shared, model.bits, model.unknown), f"row long, doc_id long, lang string, trusted boolean, n_tokens long, log double, words {item}, pairs {item}")
-    scored = write_table(scored, "lm-scored")
-    words = scored.select("row", F.explode("words").alias("x")).selectExpr("row", "x.key >= 0 AS last", "CASE WHEN x.key >= 0 THEN x.key ELSE -1 - x.key END AS w", "x.n")
-    more = words.join(model.word_tail, "w", "left").selectExpr("row", f"n * CASE WHEN last THEN coalesce(uni, ln({model.unknown}D)) ELSE coalesce(gamma, 0D) END AS part")
-    pairs = scored.select("row", F.explode("pairs").alias("x")).selectExpr("row", "x.key AS key", "x.n AS n").join(model.bigram_tail, "key").selectExpr("row", "n * delta AS part")
-    parts = more.unionByName(pairs).groupBy("row").agg(F.sum("part").alias("part"))
-    out = scored.select("row", "doc_id", "lang", "trusted", "n_tokens", "log").join(parts, "row", "left")
-    bits = F.when(F.col("n_tokens") > 0, -(F.col("log") + F.coalesce("part", F.lit(0.0))) / F.col("n_tokens")).otherwise(0.0)
-    return out.select("doc_id", "lang", "trusted", "n_tokens", F.greatest(F.lit(0), F.round(1000 * bits)).cast("long").alias("log_perplexity"))
+    asked = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(_scorer(model.shared, model.shards, model.unknown), ASKED)
+    met = asked.groupBy("shard").cogroup(model.features.select("shard", "steps", "deltas").groupBy("shard"))
+    answers = write_table(met.applyInArrow(_answered, "slice long, docs binary, sums binary, about binary"), "lm-answers")
+    out = answers.groupBy("slice").applyInArrow(_summed, "doc_id long, lang string, trusted boolean, n_tokens long, log double")
+    bits = F.when(F.col("n_tokens") > 0, -F.col("log") / F.col("n_tokens")).otherwise(0.0)
+    out = write_table(out.select("doc_id", "lang", "trusted", "n_tokens", F.greatest(F.lit(0), F.round(1000 * bits)).cast("long").alias("log_perplexity")), "lm-perplexity")
+    drop_table(answers)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,7 +390,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         good = F.broadcast(good)
     marked = docs.select(F.col("doc_id").cast("long"), F.col("lang"), F.col("text").cast("string"))
     marked = marked.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    scored = write_table(perplexities(marked, Model(marked.where("trusted").select("text"))), "lm-perplexity")
+    model = Model(marked.where("trusted").select("text"))
+    scored = perplexities(marked, model)
+    drop_table(model.features)
 
     metric = ["log_perplexity"]
     fence = quality_rules.fences(quality_rules.sketch(scored, ["lang"], metric), ["lang"]).drop("metric")

@@ -14,20 +14,29 @@ def kneser_ney(trusted, text):
     """Mean negative log probability of text, by interpolated modified Kneser-Ney over all bigrams of trusted."""
     pairs = lambda t: list(zip(["<start>", *t.split()], t.split()))
     c = Counter(p for t in trusted for p in pairs(t))
-    n = [max(1, sum(x == i for x in c.values())) for i in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [min(max(0.05, i + 1 - (i + 2) * y * n[i + 1] / n[i] if i else 1 - 2 * y * n[1] / n[0]), i + 0.95) for i in range(3)]
-    unknown = d[0] / (len(c) + 1)
+
+    def discounts(counts):
+        n = [max(1, sum(x == i for x in counts)) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(0.05, i + 1 - (i + 2) * y * n[i + 1] / n[i] if i else 1 - 2 * y * n[1] / n[0]), i + 0.95) for i in range(3)]
+
+    d = discounts(c.values())
     ahead, total, freed = Counter(w for _, w in c), Counter(), Counter()
+    e = discounts(ahead.values())
+    less = lambda x: x - e[min(x, 3) - 1] if x else 0
+    unknown = sum(x - less(x) for x in ahead.values()) / len(c) / (len(ahead) + 1)
     for (v, _), x in c.items():
         total[v] += x
         freed[v] += d[min(x, 3) - 1]
-    log = 0.0
-    for v, w in pairs(text):
-        uni = max(ahead[w] - d[0], 0) / len(c) + unknown
+
+    def chance(v, w):
+        uni = less(ahead[w]) / len(c) + unknown
         x = c[v, w]
-        log += math.log((x - d[min(x, 3) - 1]) / total[v] + freed[v] / total[v] * uni if x else (freed[v] / total[v] if v in total else 1) * uni)
-    return -log / len(text.split())
+        return (x - d[min(x, 3) - 1]) / total[v] + freed[v] / total[v] * uni if x else (freed[v] / total[v] if v in total else 1) * uni
+
+    for v in [*total, "never seen"]:
+        assert abs(sum(chance(v, w) for w in [*ahead, "never seen"]) - 1) < 1e-9
+    return -sum(math.log(chance(v, w)) for v, w in pairs(text)) / len(text.split())
 
 
 def test_quality_model_counts_bigrams_seen_once_and_twice(spark, monkeypatch):
@@ -36,9 +45,10 @@ def test_quality_model_counts_bigrams_seen_once_and_twice(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
     want = {i: max(0, round(1000 * kneser_ney(trusted, t))) for i, t in enumerate(texts)}
-    for heads in ((1 << 19, 1 << 20), (4, 3)):  # all in the heads, then most by joins
+    for heads in ((1 << 19, 1 << 20, 256), (4, 3, 256), (2, 1, 1)):  # all in the heads, then most in the shards, then many asked for once
         monkeypatch.setattr(quality_lm, "HEAD_WORDS", heads[0])
         monkeypatch.setattr(quality_lm, "HEAD_BIGRAMS", heads[1])
+        monkeypatch.setattr(quality_lm, "SHARED", heads[2])
         got = {r["doc_id"]: r["log_perplexity"] for r in quality_lm.classify(docs, labels).collect()}
         assert all(abs(got[i] - want[i]) <= 1 for i in want), (got, want)
 
