@@ -78,3 +78,18 @@ def pow2_at_least(n: float) -> int:
 
 def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner", share: int = 10_000) -> DataFrame:
+    """Join of rows with groups, one row for each key, which has the column `size`: how many rows it has here.
+
+    Keys that hold a `share`-th of all rows or more are at most `share`, so they
+    meet their rows by broadcast; what is left to shuffle has no large key.
+    how: inner or left. groups is read three times; hand over a written table.
+    """
+    on = [on] if isinstance(on, str) else on
+    least = max(2, total // share)
+    large = groups.where(F.col(size) >= least)
+    hot = rows.join(F.broadcast(large), on)
+    cold = rows.join(F.broadcast(large.select(*on)), on, "left_anti")
+    return hot.unionByName(cold.join(groups.where(F.col(size) < least), on, how))

@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 from . import quality_rules, textvec
 from .common import drop_table, write_table
 
-HEAD_WORDS, HEAD_BIGRAMS = 1 << 19, 1 << 20
+HEAD_WORDS, HEAD_BIGRAMS = 1 << 18, 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
 #: Tokens that a task holds at once, features of a shard, bits of all filters together.
-HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 21, 1 << 28
+HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 28
 #: A feature that more documents of a slice share is asked for once.
 SHARED = 256
 START = np.uint64(1)
@@ -153,19 +153,25 @@ def _packed(shards: int):
     return run
 
 
-def _merged(size: int):
-    """One row of a shard: its features in order, and its filter."""
+def _merged(table: pa.Table) -> pa.Table:
+    """One row of a shard: its features in order."""
+    h = np.concatenate([_places(x) for x in table.column("steps").to_pylist()])
+    delta = np.concatenate([unpack(x, np.float32) for x in table.column("deltas").to_pylist()])
+    order = np.argsort(h)
+    out = [[table.column("shard")[0].as_py()], [_steps(h[order])], [pack(delta[order])]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "steps", "deltas"])
 
-    def run(table: pa.Table) -> pa.Table:
-        h = np.concatenate([_places(x) for x in table.column("steps").to_pylist()])
-        delta = np.concatenate([unpack(x, np.float32) for x in table.column("deltas").to_pylist()])
-        order = np.argsort(h)
-        h = h[order]
-        filt = np.zeros(size, bool)
-        for at in _bits(h, size):
-            filt[at] = True
-        out = [[table.column("shard")[0].as_py()], [_steps(h)], [pack(delta[order])], [np.packbits(filt, bitorder="little").tobytes()]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "steps", "deltas", "filter"])
+
+def _filters(size: int):
+    """The filter of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                filt = np.zeros(size, bool)
+                for at in _bits(_places(steps), size):
+                    filt[at] = True
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(filt, bitorder="little").tobytes()])], names=["shard", "filter"])
 
     return run
 
@@ -217,15 +223,17 @@ class Model:
         tail = _deltas(counts.where(F.col("c") < bigram_cut), words, word_cut, d).selectExpr(f"{BIGRAM} AS kind", "key", "delta")
         tail = tail.unionByName(rest.selectExpr(f"{WORD} AS kind", "w AS key", f"uni - ln({self.unknown}D) AS delta")).unionByName(rest.selectExpr(f"{CONTEXT} AS kind", "w AS key", "gamma AS delta"))
         n_tail = kinds + 2 * size
-        self.shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tail // SHARD_FEATURES + 1)
+        # Some for each task, so that tasks get about as much.
+        self.shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_tail // SHARD_FEATURES + 1)
         size = 1 << max(10, (FILTER_BITS // self.shards).bit_length() - 1)
         size = min(size, 1 << max(10, (16 * n_tail // self.shards).bit_length()))
-        packed = tail.mapInArrow(_packed(self.shards), "shard int, steps binary, deltas binary")
-        self.features = write_table(packed.groupBy("shard").applyInArrow(_merged(size), "shard int, steps binary, deltas binary, filter binary"), "lm-features")
+        packed = write_table(tail.mapInArrow(_packed(self.shards), "shard int, steps binary, deltas binary"), "lm-packed")
         drop_table(written)
         drop_table(words)
+        self.features = write_table(packed.groupBy("shard").applyInArrow(_merged, "shard int, steps binary, deltas binary"), "lm-features")
+        drop_table(packed)
         filters = np.zeros((self.shards, size // 8), np.uint8)
-        for shard, filt in self.features.select("shard", "filter").collect():  # FILTER_BITS at most
+        for shard, filt in self.features.select("shard", "steps").mapInArrow(_filters(size), "shard int, filter binary").collect():  # FILTER_BITS at most
             filters[shard] = np.frombuffer(filt, np.uint8)
         arrays = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order], filters]
         self.shared = spark.sparkContext.broadcast(arrays)
@@ -369,7 +377,7 @@ def _summed(table: pa.Table) -> pa.Table:
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, lang, trusted, text) with n_tokens and log_perplexity (thousandths) in place of text."""
     asked = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(_scorer(model.shared, model.shards, model.unknown), ASKED)
-    met = asked.groupBy("shard").cogroup(model.features.select("shard", "steps", "deltas").groupBy("shard"))
+    met = asked.groupBy("shard").cogroup(model.features.groupBy("shard"))
     answers = write_table(met.applyInArrow(_answered, "slice long, docs binary, sums binary, about binary"), "lm-answers")
     out = answers.groupBy("slice").applyInArrow(_summed, "doc_id long, lang string, trusted boolean, n_tokens long, log double")
     bits = F.when(F.col("n_tokens") > 0, -F.col("log") / F.col("n_tokens")).otherwise(0.0)
@@ -395,7 +403,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     drop_table(model.features)
 
     metric = ["log_perplexity"]
-    fence = quality_rules.fences(quality_rules.sketch(scored, ["lang"], metric), ["lang"]).drop("metric")
+    fence = quality_rules.fences(quality_rules.sketch(scored, ["lang"], metric), ["lang"], far=3).drop("metric", "rows")
     reach = scored.where("trusted").groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.99, 10000).alias("reach")).withColumnRenamed("lang", "l")
     limits = fence.join(reach, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("l"), F.greatest("fence", "reach").alias("limit"))
     out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left")

@@ -3,14 +3,20 @@
 Each metric of a document is a whole number, so a quantile sketch is a table of
 counts by bucket with seven leading binary digits (relative error below 1/64).
 Sketches of parts of the corpus merge by adding counts, in any order, to the same
-result; one sketch is kept for each language, source and metric. A document
-fails a metric when it lies beyond the far fence Q3 + 3 (Q3 - Q1) of its own
-language and source, and also beyond the slack that honest text is always given.
-Where junk makes up so much of a group that its own quartiles are junk, the
-tighter of the group's fence and its language's fence holds.
+result; one sketch is kept for each language, source and metric, over the rows that
+pass the base rules. A document fails a metric when it lies beyond the far fence
+Q3 + 6 (Q3 - Q1 + 1) of its own language and source, Q1 being the least and Q3 the
+largest value of its bucket. No cutoff is fixed: the metrics
+(marks, capitals, length of words) are chosen so that plain text has a spread in
+each. A group of fewer than MIN_ROWS rows takes its language's fence, a language of
+so few rows that of all rows. Where junk makes up so much of a group that its own
+quartiles are junk, the tighter of the group's fence and its language's holds.
 
 Defined results: null texts count as empty and fail the base rules; null language
-or source form groups of their own; repeated rows are judged one by one.
+or source form groups of their own; repeated rows are judged one by one, rows of
+equal text, language and source alike; a value equal to its limit passes; texts of
+any length are read whole, as one value in one task; an empty table gives an empty
+result; further columns are not read by judge and kept as they are by keep_good.
 """
 
 from __future__ import annotations
@@ -27,9 +33,11 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Metrics that the fences judge: name, slack that is always allowed. All in thousandths.
-METRICS = {"symbols": 300, "shouts": 300, "dup_lines": 500, "repeats": 500, "word_len": 11000}
-FENCE = 3
+#: Metrics that the fences judge, in thousandths: marks and capitals by characters of words, characters by words.
+METRICS = ("marks", "capitals", "word_len")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FENCE, MIN_ROWS = 6, 64
 
 
 def base_counts(text: Column) -> list[Column]:
@@ -73,10 +81,14 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
+def width(value: Column) -> Column:
+    """Width of the sketch's bucket that holds a value."""
+    return F.pow(F.lit(2), F.greatest(F.length(F.bin(value)) - 7, F.lit(0))).cast("long")
+
+
 def bucket(value: Column) -> Column:
     """Lower edge of the sketch's bucket: the value's seven leading binary digits."""
-    drop = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
-    return value - F.pmod(value, F.pow(F.lit(2), drop).cast("long"))
+    return value - F.pmod(value, width(value))
 
 
 def sketch(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -90,40 +102,41 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, fence: Q3 + FENCE * (Q3 - Q1) of each sketch. A sketch has some thousand buckets at most."""
+def fences(sketches: DataFrame, keys: list[str], far: int = FENCE) -> DataFrame:
+    """keys, metric, fence, rows: Q3 + far * (Q3 - Q1 + 1) of each sketch. A sketch has some thousand buckets at most."""
     whole = W.partitionBy(*keys, "metric")
-    ranked = sketches.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("all", F.sum("n").over(whole))
-    quart = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-    return ranked.groupBy(*keys, "metric").agg(quart(1).alias("q1"), quart(3).alias("q3")).select(*keys, "metric", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).alias("fence"))
+    ranked = sketches.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("rows", F.sum("n").over(whole))
+    quart = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.col("bucket")))
+    quarts = ranked.groupBy(*keys, "metric").agg(quart(1).alias("q1"), quart(3).alias("q3"), F.max("rows").alias("rows"))
+    most = F.col("q3") + width(F.col("q3")) - 1
+    return quarts.select(*keys, "metric", (most + far * (most - F.col("q1") + 1)).alias("fence"), "rows")
 
 
 def _measured(rows: DataFrame) -> DataFrame:
     """text, and what is wanted of it: base counts, base_failed and the metrics."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    bangs = F.length(text) - F.length(F.translate(text, "!", ""))
-    lines = F.greatest(F.size(F.split(text, "\n")), F.lit(1))
-    rows = rows.withColumns({c: x for c, x in zip(BASE, base_counts(F.col("text")), strict=True)}).withColumn("bangs", bangs).withColumn("lines", lines)
+    held = lambda signs: (F.length(text) - F.length(F.translate(text, signs, ""))).cast("long")
+    rows = rows.withColumns({c: x for c, x in zip(BASE, base_counts(F.col("text")), strict=True)}).withColumn("n_marks", held(MARKS)).withColumn("n_capitals", held(CAPITALS))
     return rows.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words")).selectExpr(
-        *[c for c in rows.columns if c not in ("bangs", "lines")],
+        *[c for c in rows.columns if c not in ("n_marks", "n_capitals")],
         "base_failed",
-        "1000 * n_symbols DIV greatest(n_words, 1) AS symbols",
-        "1000 * bangs DIV greatest(n_words, 1) AS shouts",
-        "1000 * n_dup_lines DIV lines AS dup_lines",
-        "1000 * n_repeat_words DIV greatest(n_words, 1) AS repeats",
+        "1000 * n_marks DIV greatest(word_chars, 1) AS marks",
+        "1000 * n_capitals DIV greatest(word_chars, 1) AS capitals",
         "1000 * word_chars DIV greatest(n_words, 1) AS word_len",
     )
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """lang, source and the limit of each metric: the tighter fence of the group and its language, at least the slack."""
-    fine = sketch(measured, ["lang", "source"], list(METRICS))
+    """lang, source and the limit of each metric: the tighter fence of the group and its language, each if it has rows enough."""
+    fine = sketch(measured.where("NOT base_failed"), ["lang", "source"], list(METRICS))
+    coarse = merge(fine, ["lang"])
     own = fences(fine, ["lang", "source"])
-    wide = fences(merge(fine, ["lang"]), ["lang"]).withColumnRenamed("fence", "wide")
-    wide = wide.select(F.col("lang").alias("l"), F.col("metric").alias("m"), "wide")
-    both = own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m")))
-    tight = F.least("fence", "wide")
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.greatest(tight, F.lit(slack)))).alias(f"max_{m}") for m, slack in METRICS.items()])
+    wide = fences(coarse, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.col("fence").alias("wide"), F.col("rows").alias("wide_rows"))
+    every = fences(merge(coarse, []), []).select(F.col("metric").alias("m2"), F.col("fence").alias("every"))
+    both = own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m"))).join(every, F.col("metric") == F.col("m2"))
+    wide = F.when(F.col("wide_rows") >= MIN_ROWS, F.col("wide")).otherwise(F.col("every"))
+    limit = F.when(F.col("rows") >= MIN_ROWS, F.least("fence", wide)).otherwise(wide)
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, limit)).alias(f"max_{m}") for m in METRICS])
 
 
 def _verdicts(measured: DataFrame) -> DataFrame:
@@ -137,7 +150,7 @@ def _verdicts(measured: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, the five metrics, kept."""
+    """One row per document: doc_id, the base counts, base_failed, the three metrics, kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     measured = write_table(_measured(rows).drop("text"), "measured")
     return _verdicts(measured).select("doc_id", *BASE, "base_failed", *METRICS, "kept")

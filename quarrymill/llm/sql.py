@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import Mix
-from .quality_rules import FENCE, METRICS, MIN_WORDS
+from .quality_rules import CAPITALS, FENCE, MARKS, METRICS, MIN_ROWS, MIN_WORDS
 from .url_filters import LISTED_NAMES, LISTED_SUFFIXES, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,9 +23,13 @@ def quality_measures(docs: str = "documents") -> str:
     """Common table expressions up to `judged`: every row of docs with its measures and kept."""
     metrics = ", ".join(f"('{m}', {m})" for m in METRICS)
     within = " AND ".join(f"{m} <= max_{m}" for m in METRICS)
-    pivot = ", ".join(f"max(CASE WHEN o.metric = '{m}' THEN greatest(least(fence, wide), {slack}) END) AS max_{m}" for m, slack in METRICS.items())
+    coarse_limit = f"CASE WHEN w.rows_ >= {MIN_ROWS} THEN w.fence ELSE e.fence END"
+    limit = f"CASE WHEN o.rows_ >= {MIN_ROWS} THEN least(o.fence, {coarse_limit}) ELSE {coarse_limit} END"
+    pivot = ", ".join(f"max(CASE WHEN o.metric = '{m}' THEN {limit} END) AS max_{m}" for m in METRICS)
+    signs = MARKS.replace("'", "''")
     quart = "min(CASE WHEN upto * 4 >= total * {q} THEN bucket END)"
-    fence = f"{quart.format(q=3)} + {FENCE} * ({quart.format(q=3)} - {quart.format(q=1)})"
+    most = "({q3} + (1::BIGINT << greatest(length(bin(({q3})::BIGINT)) - 7, 0)) - 1)".format(q3=quart.format(q=3))
+    fence = f"{most} + {FENCE} * ({most} - {quart.format(q=1)} + 1)"
     return rf"""
 texts AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS t FROM {docs}),
 worded AS (SELECT *, regexp_extract_all(t, '{WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM texts),
@@ -39,21 +43,22 @@ counted AS (
   FROM worded w LEFT JOIN covered c USING (rid)),
 measured AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         1000 * n_symbols // greatest(n_words, 1) AS symbols,
-         1000 * (length(t) - length(replace(t, '!', ''))) // greatest(n_words, 1) AS shouts,
-         1000 * n_dup_lines // len(string_split(t, chr(10))) AS dup_lines,
-         1000 * n_repeat_words // greatest(n_words, 1) AS repeats,
+         1000 * (length(t) - length(translate(t, '{signs}', ''))) // greatest(word_chars, 1) AS marks,
+         1000 * (length(t) - length(translate(t, '{CAPITALS}', ''))) // greatest(word_chars, 1) AS capitals,
          1000 * word_chars // greatest(n_words, 1) AS word_len
   FROM counted),
-metrics AS (SELECT rid, lang, source, metric, value FROM measured, LATERAL (VALUES {metrics}) AS m(metric, value)),
+metrics AS (SELECT rid, lang, source, metric, value FROM measured, LATERAL (VALUES {metrics}) AS m(metric, value) WHERE NOT base_failed),
 fine AS (SELECT lang, source, metric, value - value % (1::BIGINT << greatest(length(bin(value::BIGINT)) - 7, 0)) AS bucket, count(*) AS n FROM metrics GROUP BY ALL),
 coarse AS (SELECT lang, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL),
-own AS (SELECT lang, source, metric, {fence} AS fence FROM (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM fine) GROUP BY ALL),
-wider AS (SELECT lang, metric, {fence} AS wide FROM (
-  SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS total FROM coarse) GROUP BY ALL),
-limits AS (SELECT o.lang, o.source, {pivot} FROM own o JOIN wider w ON o.metric = w.metric AND o.lang IS NOT DISTINCT FROM w.lang GROUP BY ALL),
-judged AS (SELECT m.*, NOT base_failed AND {within} AS kept FROM measured m JOIN limits l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source)"""
+whole AS (SELECT metric, bucket, sum(n) AS n FROM fine GROUP BY ALL),
+own AS (SELECT lang, source, metric, {fence} AS fence, max(total) AS rows_ FROM (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM fine) GROUP BY lang, source, metric),
+wider AS (SELECT lang, metric, {fence} AS fence, max(total) AS rows_ FROM (
+  SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS total FROM coarse) GROUP BY lang, metric),
+widest AS (SELECT metric, {fence} AS fence FROM (
+  SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM whole) GROUP BY metric),
+limits AS (SELECT o.lang, o.source, {pivot} FROM own o JOIN wider w ON o.metric = w.metric AND o.lang IS NOT DISTINCT FROM w.lang JOIN widest e ON e.metric = o.metric GROUP BY o.lang, o.source),
+judged AS (SELECT m.*, NOT base_failed AND coalesce({within}, true) AS kept FROM measured m LEFT JOIN limits l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source)"""
 
 
 QUALITY_RULES = f"""

@@ -132,6 +132,23 @@ def test_quality_counts_equal_brute_force(docs):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_fences_follow_language_and_source(spark):
+    """One share of marks passes where such text is usual and fails where it isn't: no single cutoff gives that."""
+    rng = np.random.default_rng(6)
+
+    def text(marked):
+        words = [f"w{x}" + ("," if k < marked else "") for k, x in enumerate(rng.integers(0, 10**6, 100))]
+        return " ".join(rng.permutation(words))
+
+    rows = [(lang, src, text(usual + int(rng.integers(0, 8)))) for lang, src, usual in (("en", "a", 5), ("en", "b", 5), ("de", "a", 60), ("de", "b", 60)) for _ in range(80)]
+    odd = [("en", "a", text(70)), ("de", "a", text(70)), ("en", "small", text(70)), ("fr", "few", text(70)), ("en", "small", text(8))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + odd)], "doc_id long, lang string, source string, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and all(got[i]["kept"] for i in range(len(rows)))
+    assert [got[len(rows) + k]["kept"] for k in range(5)] == [False, True, False, True, True]
+    assert abs(got[len(rows)]["marks"] - got[len(rows) + 1]["marks"]) < 10
+
+
 def test_quantile_sketches_merge_to_the_same(spark):
     rows = spark.range(1000).selectExpr("CAST(id % 3 AS string) AS lang", "id * id AS m")
     whole = {tuple(r) for r in quality_rules.sketch(rows, ["lang"], ["m"]).collect()}
