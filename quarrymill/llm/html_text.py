@@ -10,11 +10,17 @@ boilerplate; a page's graph has edges in proportion to its blocks.
 
 Scripts, styles, comments, titles and form fields hold no text at all. One whose
 end tag is missing takes the rest of the page only if its text is raw (a script,
-say); of others only the tag is skipped.
+say); of others only the tag is skipped. Pages carry no labels, so the classifier's
+weights are set by hand; ties are of their size, so that a short paragraph of links
+between paragraphs of text goes with these, and a lone one at their end doesn't.
+
+Names on html, body, main and article describe the page, not a part of it, and say
+nothing; nor does a name such as has-sidebar. A header inside an article is its own.
 
 Defined results: null or empty html gives empty text; repeated rows and null ids
-are taken row by row; broken and cut-off markup is read as far as it goes; an
-empty table gives an empty result.
+are taken row by row; broken and cut-off markup is read as far as it goes; very long
+pages are read whole, one at a time; blocks of equal text are blocks of their own; an
+empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -49,10 +55,13 @@ _ATTRIBUTES = r"""(?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*"""
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Names that tell what a page has or hasn't, not what an element is.
+_ABOUT = re.compile(r"(?:has|have|hide|is|no|show|with|without)[-_]", re.I)
+UNNAMED = frozenset("html body main article".split())
 
 #: Costs in natural logarithms: the prior of a block, a container's say, and ties.
-PRIOR, BAD, GOOD, HINT, LINKS, LONG = 0.4, 6.0, 2.5, 5.0, 3.0, 1.0
-TIE_NEXT, TIE_PATH = 0.35, 0.25
+PRIOR, BAD, GOOD, HINT, LINKS, LONG = 0.4, 6.0, 2.5, 5.0, 3.0, 2.0
+TIE_NEXT, TIE_PATH = 0.8, 0.6
 
 
 def _ends(page: str, tag: str) -> dict[int, int]:
@@ -130,7 +139,8 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             links = 1
         if tag in BLOCK_SET and tag != "hr":
             number += 1
-            said = [w for h in _HINT.findall(m[3]) for w in _SPLIT.split("".join(h).lower())] if m[3] else []
+            names = [x for h in _HINT.findall(m[3]) for x in "".join(h).lower().split()] if m[3] and tag not in UNNAMED else []
+            said = [w for x in names if not _ABOUT.match(x) for w in _SPLIT.split(x)]
             stack.append((tag, number, frozenset(said + ["#hidden"] * bool(m[3] and _HIDDEN.search(m[3])))))
     flush()
     return out
@@ -145,8 +155,8 @@ def cost(text: str, path: tuple, linked: int) -> float:
     tags = [x[0] for x in path]
     inside = any(t in _GOOD_TAGS for t in tags)
     out = PRIOR + GOOD * inside
-    # A header inside an article heads that article only if nothing else is bad there.
-    out -= BAD * sum(t in _BAD_TAGS for t in tags)
+    own = tags.index("article") if "article" in tags else len(tags)
+    out -= BAD * sum(t in _BAD_TAGS and not (t == "header" and k > own) for k, t in enumerate(tags))
     for _, _, hints in path:
         if hints & _BAD_HINTS or "#hidden" in hints:
             out -= HINT + GOOD * inside
@@ -215,8 +225,8 @@ def extract(page: str | None) -> str:
     """The main text of a page: its content blocks, joined by two line ends."""
     found = blocks(page or "")
     scores = [cost(*block) for block in found]
-    ties = [(i, i + 1, TIE_NEXT) for i in range(len(found) - 1)]
     nodes: dict[tuple, int] = {}
+    ties, keys = [], []
     for i, (_, path, _) in enumerate(found):
         # The container of plain blocks: the path without trailing paragraphs and list items.
         k = len(path)
@@ -227,6 +237,12 @@ def extract(page: str | None) -> str:
             nodes[key] = len(scores)
             scores.append(0.0)
         ties.append((i, nodes[key], TIE_PATH))
+        if keys:
+            # Neighbours are tied the less, the farther apart their containers are.
+            last = keys[-1]
+            common = next((n for n, (x, y) in enumerate(zip(last, key, strict=False)) if x != y), min(len(last), len(key)))
+            ties.append((i - 1, i, TIE_NEXT / (1 + len(last) + len(key) - 2 * common)))
+        keys.append(key)
     for key, i in nodes.items():
         parent = next((nodes[key[:k]] for k in range(len(key) - 1, 0, -1) if key[:k] in nodes), None)
         if parent is not None:

@@ -1,6 +1,8 @@
 """Cases that earlier versions of the training-data operators cut short."""
 
 import math
+import random
+import re
 import time
 from collections import Counter
 
@@ -97,4 +99,91 @@ def test_personal_data_in_texts_without_a_digit(spark):
     assert found[0][0]["votes"] == found[3][0]["votes"]
     rows = [(i, f"contact me by email: person{'x' * (i % 7)}@example.org") for i in range(40)] + [(100 + i, texts[0]) for i in range(20)]
     got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(got) == 60 and all(got[i]["n_email"] == 1 for i in range(40)) and all(got[100 + i]["n_email"] == 0 for i in range(20))
+    assert len(got) == 60 and all(got[i]["n_email"] == 1 for i in range(40)) and all(got[100 + i]["n_email"] == 0 and got[100 + i]["n_added"] == 1 for i in range(20))
+
+
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(3)
+    pieces = ["a", "b.", "@", "@", ".", "..", "-", "%", "+", "+1", "7", "12", "255", "256", "(", ")", " ", "  ", "4111111111111111", "é", "\n", "c.d", "x@y.z", "10.0.0.1"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 24)))
+        want = [(k, *m.span()) for k in pii.KINDS for m in PLAIN[k].finditer(text) if pii.holds(k, m.group())]
+        assert pii.base_spans(text) == sorted(want, key=lambda s: (s[1], pii.KINDS.index(s[0]))), text
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1" * 5000 + ".1.1.1", "a" * 1_000_000, "x@" + "a" * 1_000_000, "1 " * 400_000, "1." * 400_000, "a@" * 400_000, "+1(" * 300_000, "(" * 1_000_000, "a at " * 200_000], ids=range(10))
+def test_personal_data_scans_take_time_by_length_only(text):
+    start = time.monotonic()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in pii._scan(iter([batch]))) == 1
+    assert time.monotonic() - start < 30
+
+
+def test_estimates_equal_plain_expectation_maximisation():
+    counts = [("phone", "1,1,1,1", 30), ("phone", "0,1,1,1", 8), ("phone", "-1,0,1,-1", 40), ("phone", "0,-1,-1,-1", 12), ("phone", "0,0,1,1", 9), ("ip", "1,0,1,1", 5)]
+    got = pii.estimate(counts, rounds=20)
+    for kind in ("phone", "ip"):
+        rows = [([int(x) for x in v.split(",")], n, v) for k, v, n in counts if k == kind]
+        p = [min(0.95, max(0.05, (sum(v) + 4) / 8)) for v, _, _ in rows]
+        for _ in range(20):
+            chance = []
+            for sure in (p, [1 - x for x in p]):
+                mass = sum(n * q for (_, n, _), q in zip(rows, sure, strict=True))
+                says = [{u: (sum(n * q for (v, n, _), q in zip(rows, sure, strict=True) if v[k] == u) + 0.5) / (mass + 1.5) for u in (-1, 0, 1)} for k in range(4)]
+                chance.append([(mass + 1) * math.prod(says[k][v[k]] for k in range(4)) for v, _, _ in rows])
+            p = [a / (a + b) for a, b in zip(*chance, strict=True)]
+        assert [got[kind, v] for _, _, v in rows] == pytest.approx(p)
+
+
+def test_wide_personal_data_is_judged_by_votes_and_features(spark):
+    """Labelers disagree: numbers without a country's code after cue words are taken, plain runs and references aren't."""
+    rng = random.Random(4)
+    two = lambda: f"{rng.randrange(200, 999)}"
+    four = lambda: f"{rng.randrange(1000, 9999)}"
+    texts = [f"please call phone: +1 {two()} {two()} {four()} today" for _ in range(60)]
+    texts += [f"his phone: {two()}-{two()}-{four()} is free" for _ in range(30)]
+    texts += [f"see order no {rng.randrange(10**7, 10**8)} of the list" for _ in range(60)] + [f"the run {rng.randrange(10**7, 10**8)} of it" for _ in range(60)]
+    texts += [f"write to ann{k} (at) example (dot) org please" for k in range(20)] + [f"mail: joe{k}@example.org now" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert all(got[i]["n_phone"] == 1 and got[i]["n_added"] == 0 for i in range(60))
+    assert all(got[i]["n_phone"] == 0 and got[i]["n_added"] == 1 for i in range(60, 90))
+    assert all(got[i]["n_added"] == 0 for i in range(90, 210))
+    assert all(got[i]["n_added"] == 1 and got[i]["spans"].startswith("email:9:") for i in range(210, 230))
+
+
+def test_html_names_of_the_page_and_an_articles_own_header():
+    text = "Some text of the page, which is long enough to count as content."
+    page = f"<html class=no-sidebar><body class='has-sidebar ads'><main class='with comments'><article id=post-comments><header><h1>Name</h1></header><p>{text}</p><footer>Tags</footer></article></main><div class='sidebar'><p>Other</p></div></body></html>"
+    assert html_text.extract(page) == f"Name\n\n{text}"
+    assert html_text.extract(f"<body><header><p>Site</p></header><div class='wrap with-share'><p>{text}</p></div></body>") == text
+
+
+def test_html_cut_changes_what_the_costs_alone_would_say():
+    """A short paragraph, half of it a link, between paragraphs of text: its own cost is against it."""
+    text = "A paragraph of the text itself, which is long enough to count as content of the page. " * 2
+    see = "<p>See <a href=/x>the report</a></p>"
+    page = f"<html><body><div><p>{text}</p>{see}<p>{text}</p></div></body></html>"
+    found = html_text.blocks(page)
+    assert [html_text.cost(*b) > 0 for b in found] == [True, False, True]
+    assert html_text.extract(page) == f"{text.strip()}\n\nSee the report\n\n{text.strip()}"
+
+
+def test_html_table_of_odd_pages(spark):
+    page = "<article><p>Some text of the page.</p></article>"
+    long = "<article>" + "<p>Some plain words of a text.</p>" * 20000 + "</article>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "v", None), (3, "v", ""), (4, "w", long), (5, "w", "<" * 100000), (6, "w", "&" * 1000 + "<p")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, n_chars string")
+    got = html_text.main_texts(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got if r["page_id"] not in (5, 6)) == [(0, 22), (1, 22), (1, 22), (2, 0), (3, 0), (4, 20000 * len("Some plain words of a text.") + 2 * 19999)]
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and {tuple(r)[:2] for r in got if r["page_id"] is None} == {(None, None)}
+    assert next(r for r in got if r["page_id"] == 4)["text"].count("Some plain words") == 20000
+    assert html_text.main_texts(pages.where("false")).count() == 0
