@@ -17,8 +17,14 @@ their own are ruled out, by an exact bound, before any pair is made; the others
 are compared pair by pair where a bucket is small and in array blocks of bounded
 size where it is large, without a row for a pair that isn't linked. Together that finds the same components as testing every pair of every bucket.
 
+Links are confirmed on full sets of 64-bit shingle hashes; a clash of two shingles
+within one pair of texts would count as shared, which has a chance of some 1e-13.
+
 Defined results: null or empty texts have no shingles and link with nothing; a
-null id is a component of its own, null; rows that repeat an id are one node.
+null id is a component of its own, null; rows that repeat an id are one node; texts of
+any length are read whole, one and its set at a time; an empty table gives an empty
+result; further columns are ignored by near_duplicates and kept by
+drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, graph, textvec
-from .common import fresh, write_table
+from .common import drop_table, fresh, join_groups, write_table
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -157,7 +163,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     near = write_table(near.where(F.col("similarity") >= least).select("a", "b", "na", "nb"), "near-pairs")
     full = sets(near)
     both = near.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return write_table(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    links = write_table(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    drop_table(near)
+    drop_table(full)
+    return links
 
 
 def _block_links(percent: int):
@@ -226,8 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         return full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "bits")).select(F.xxhash64("band", "bits").alias("bucket"), "rep")
-    leads = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    held = write_table(banded.join(leads, "bucket"), "buckets")
+    leads = write_table(banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1"), "leads")
+    entries = BANDS * classes.count()
+    held = write_table(join_groups(banded, leads, "bucket", "c", entries), "buckets")
+    drop_table(leads)
     stars = held.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     first = _confirmed(stars, classes, sets, percent)
     joined = write_table(graph.components(first), "components")
@@ -235,8 +246,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # What is left: buckets, without their leads, that still hold more than one component.
     rest = held.where("rep <> lead AND c > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     rest = write_table(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = write_table(rest.join(mixed, "bucket", "left_semi").join(classes.select("rep", "n"), "rep"), "mixed")
+    drop_table(held)
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
+    mixed = write_table(mixed, "mixed")
+    rest = write_table(join_groups(rest, mixed, "bucket", "size", entries).drop("size").join(classes.select("rep", "n"), "rep"), "still-mixed")
 
     # Shingles that no other set there has can't be shared. A set with p of them has at most n - p in
     # common with any, so some similarities can't be reached whatever the partner: those sets are done.
@@ -244,12 +257,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     private = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep"))
     private = private.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("p"))
     rest = rest.join(private, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("p", F.lit(0)))
-    least = rest.groupBy("bucket").agg(F.min("n").alias("least"))
-    rest = rest.join(least, "bucket").where(f"100 * shared >= {percent} * (greatest(least, shared) + n - shared)")
+    rest = write_table(rest, "shared")
+    least = write_table(rest.groupBy("bucket").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size")), "least")
+    rest = join_groups(rest, least, "bucket", "size", entries).where(f"100 * shared >= {percent} * (greatest(least, shared) + n - shared)")
     rest = write_table(rest.select("bucket", "rep", "component", "n", "shared"), "open")
 
-    sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    rest = write_table(rest.join(sizes, "bucket"), "sized")
+    sizes = write_table(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    rest = write_table(join_groups(rest, sizes, "bucket", "size", entries), "sized")
     left, right = (rest.where(f"size <= {SMALL}").drop("size").toDF("bucket", *[f"{c}_{x}" for c in ("rep", "component", "n", "shared")]) for x in "ab")
     most = "least(shared_a, shared_b, n_a, n_b)"
     close = f"rep_a < rep_b AND component_a <> component_b AND 100 * {most} >= {percent} * (n_a + n_b - {most})"
@@ -262,9 +276,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # Equal sets are linked too; only classes with company change a row's component.
     linked = grouped.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL")
-    linked = linked.select(*key, F.coalesce("component", "rep").alias("component"))
-    out = sketched.join(linked, key, "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("kept"))
+    linked = write_table(linked.select(*key, F.coalesce("component", "rep").alias("component"), "members"), "linked")
+    rows = sketched.select("doc_id", *key)
+    some = join_groups(rows.where("n > 0 AND doc_id IS NOT NULL"), linked, key, "members", sketched.count(), "left").select("doc_id", "n", "component")
+    alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    out = some.unionByName(alone).withColumn("component_id", F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
