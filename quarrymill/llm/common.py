@@ -64,14 +64,32 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete what write_table wrote, once nothing reads it any more."""
+    """Delete what write_table or write_buckets wrote, once nothing reads it any more."""
     path = getattr(df, "_written_to", None)
     if path:
+        if hasattr(df, "_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_buckets(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """df as a table in n buckets by key, in the shared folder: what is joined or grouped with it by key needs no shuffle of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{table}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.table(table)
+    out._written_to, out._table = path, table
+    return out
+
+
 def pow2_at_least(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, n))))
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules, textvec
-from .common import drop_table, write_table
+from .common import drop_table, write_buckets, write_table
 
 HEAD_WORDS, HEAD_BIGRAMS = 1 << 18, 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
@@ -46,6 +46,8 @@ MAX_BROADCAST_IDS = 1_000_000
 HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 28
 #: A feature that more documents of a slice share is asked for once.
 SHARED = 256
+#: Sums that come back are whole numbers of these parts.
+FINE = 1 << 14
 START = np.uint64(1)
 LOW = np.uint64(0xFFFFFFFF)
 BIGRAM, WORD, CONTEXT = 0, 1, 2
@@ -219,6 +221,8 @@ class Model:
         pairs = _deltas(counts.where(F.col("c") >= bigram_cut), words, word_cut, d).toArrow()
         keys = pairs.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
+        heads = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order]]
+        del head, pairs, keys, order
         rest = words.where(F.col("c") < word_cut)
         tail = _deltas(counts.where(F.col("c") < bigram_cut), words, word_cut, d).selectExpr(f"{BIGRAM} AS kind", "key", "delta")
         tail = tail.unionByName(rest.selectExpr(f"{WORD} AS kind", "w AS key", f"uni - ln({self.unknown}D) AS delta")).unionByName(rest.selectExpr(f"{CONTEXT} AS kind", "w AS key", "gamma AS delta"))
@@ -230,13 +234,13 @@ class Model:
         packed = write_table(tail.mapInArrow(_packed(self.shards), "shard int, steps binary, deltas binary"), "lm-packed")
         drop_table(written)
         drop_table(words)
-        self.features = write_table(packed.groupBy("shard").applyInArrow(_merged, "shard int, steps binary, deltas binary"), "lm-features")
+        merged = packed.groupBy("shard").applyInArrow(_merged, "shard int, steps binary, deltas binary")
+        self.features = write_buckets(merged, "lm-features", "shard", int(spark.conf.get("spark.sql.shuffle.partitions")))
         drop_table(packed)
         filters = np.zeros((self.shards, size // 8), np.uint8)
-        for shard, filt in self.features.select("shard", "steps").mapInArrow(_filters(size), "shard int, filter binary").collect():  # FILTER_BITS at most
+        for shard, filt in self.features.select("shard", "steps").mapInArrow(_filters(size), "shard int, filter binary").toLocalIterator():  # FILTER_BITS at most
             filters[shard] = np.frombuffer(filt, np.uint8)
-        arrays = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order], filters]
-        self.shared = spark.sparkContext.broadcast(arrays)
+        self.shared = spark.sparkContext.broadcast([*heads, filters])
 
 
 def _deltas(counts: DataFrame, words: DataFrame, word_cut: int, d: list[float]) -> DataFrame:
@@ -355,7 +359,8 @@ def _answered(asked: pa.Table, features: pa.Table) -> pa.Table:
         at, known = _find(h, _places(steps))
         who, where = np.unique(unpack(docs, np.uint32)[known], return_inverse=True)
         if len(who):
-            out.append((number, pack(who), pack(np.bincount(where, weights=delta[at[known]]).astype(np.float32)), None))
+            sums = np.round(np.bincount(where, weights=delta[at[known]]) * FINE).astype(np.int64)
+            out.append((number, _steps(who.astype(np.uint64)), pack((np.abs(sums) << 1 | (sums < 0)).astype(np.uint64)), None))
     columns = zip(*out, strict=True) if out else ([],) * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slice", "docs", "sums", "about"])
 
@@ -368,7 +373,8 @@ def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(docs.num_rows + len(sizes))
     for who, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist(), strict=True):
         if who is not None:
-            total[unpack(who, np.uint32)] += unpack(sums, np.float32)
+            sums = unpack(sums, np.uint64).astype(np.int64)
+            total[_places(who).astype(np.int64)] += np.where(sums & 1, -1, 1) * (sums >> 1) / FINE
     own = total[: docs.num_rows] + np.bincount(users, weights=np.repeat(total[docs.num_rows :], sizes), minlength=docs.num_rows)
     log = docs.column("log").to_numpy() + own
     return docs.replace_schema_metadata(None).set_column(4, "log", pa.array(log))
