@@ -7,7 +7,8 @@ with the list, which removes false positives.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no
 rule, and verdict allow. Repeated page ids are judged row by row. Rules that fit
-equally are told apart by their length; an empty list allows all.
+equally are told apart by their length; an empty list allows all; urls of any length
+are read whole; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ LISTED_SUFFIXES = ("example.com", "example.net", "example.org")
 
 def default_list(spark) -> DataFrame:
     """Canonical urls that block: the roots of known advertising, betting and spam hosts."""
-    return spark.createDataFrame([(f"{n}.{s}/",) for n in LISTED_NAMES for s in LISTED_SUFFIXES], "listed string")
+    names, suffixes = (F.array(*map(F.lit, x)) for x in (LISTED_NAMES, LISTED_SUFFIXES))
+    rows = spark.range(1).select(F.explode(names).alias("name"), suffixes.alias("s")).select("name", F.explode("s").alias("suffix"))
+    return rows.select(F.concat("name", F.lit("."), "suffix", F.lit("/")).alias("listed"))
 
 
 def _host(url: Column) -> Column:
