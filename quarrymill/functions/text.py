@@ -149,3 +149,71 @@ def side(x: Column) -> Column:
 def boolean(x: Column) -> Column:
     n = F.lower(F.trim(x))
     return F.when(n.isin("1", "true", "yes", "on"), True).when(n.isin("0", "false", "no", "off"), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), n)).cast("boolean"))
+
+
+def drop_prefix(x: Column, prefix: str) -> Column:
+    return F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 1 << 30)).otherwise(x)
+
+
+def alias(x: Column, names: dict[str, str]) -> Column:
+    """A name by its alias, others as they are."""
+    if not names:
+        return x
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), x), x)
+
+
+def extension(path: Column) -> Column:
+    """Lower-case extension with its dot, empty if there is none."""
+    return F.lower(F.regexp_extract(basename(path), r".(\.[^.]*)$", 1))
+
+
+def row_key(name: Column, row: Column) -> Column:
+    return F.concat(name, F.lit("#row="), row.cast("string"))
+
+
+def page_key(name: Column, page: Column) -> Column:
+    return F.concat(name, F.lit("#page="), page.cast("string"))
+
+
+def duration(start: Column, end: Column) -> Column:
+    """Length of a segment to a tenth, halves to the even digit."""
+    return F.bround(end - start, 1)
+
+
+def resolve_answer(answer: Column, options: Column) -> Column:
+    """The option that an answer names by letter, by place from 0 or by its own text; null if none does."""
+    bare = F.trim(answer.cast("string"))
+    place = F.array_position(F.transform(options, lambda o: F.lower(F.trim(o))), F.lower(bare))
+    letter = F.regexp_extract(bare, r"^\(?([A-Za-z])[).]?$", 1)
+    by_letter = F.try_element_at(options, F.ascii(F.upper(letter)) - 64)
+    by_place = F.try_element_at(options, F.when(bare.rlike(r"^[0-9]{1,6}$"), bare.cast("int") + 1))
+    return F.when(place > 0, F.try_element_at(options, place.cast("int"))).when(letter != "", by_letter).otherwise(by_place)
+
+
+def own_line(x: Column, token: str, has_media: Column) -> Column:
+    """The visual token on a line of its own where there is media, and nowhere where there is none."""
+    without = normalize_space(F.replace(x, F.lit(token), F.lit("")))
+    bare = F.regexp_replace(without, r"\A\n+|\n+\z", "")
+    return F.when(has_media, F.when(bare == "", F.lit(token)).otherwise(F.concat(F.lit(token + "\n"), bare))).otherwise(bare)
+
+
+def restore_if_empty(x: Column, fallback: Column) -> Column:
+    return F.when(blank(x), fallback).otherwise(x)
+
+
+def newline_once(x: Column, mark: str) -> Column:
+    """The first occurrence of a mark begins a line."""
+    at = F.locate(mark, x)
+    head = F.regexp_replace(F.substring(x, F.lit(1), at - 1), r"[ \t]+\z", "")
+    moved = F.concat(F.when((head == "") | head.endswith("\n"), head).otherwise(F.concat(head, F.lit("\n"))), F.substring(x, at, F.length(x)))
+    return F.when(at > 0, moved).otherwise(x)
+
+
+def horizontal_tail(x: Column) -> Column:
+    """Without blanks at the end of the last line; line ends stay."""
+    return F.regexp_replace(x, r"[ \t]+(\n*)\z", "$1")
+
+
+def sorted_json(x: Column) -> Column:
+    """A map of texts as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(x))))

@@ -58,3 +58,35 @@ def overlap_keys(qrels: DataFrame, queries: DataFrame, candidates: DataFrame) ->
     pairs = pairs.select("query_id", F.col("x.candidate_ids").alias("candidate_id"))
     joined = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("text").alias("q")), "query_id").join(candidates.select(F.col("id").alias("candidate_id"), F.col("text").alias("a")), "candidate_id")
     return joined.select(match_key(F.col("q")).alias("question"), match_key(F.col("a")).alias("answer")).distinct()
+
+
+def _normalized(df: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    return df.withColumns({f"__norm{i}": match_key(F.col(c)) for i, c in enumerate(on)})
+
+
+def exclude_normalized(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows whose columns, as normalized text, are none of the keys."""
+    marks = [f"__norm{i}" for i in range(len(on))]
+    return exclude(_normalized(df, on), _normalized(keys, on).select(*marks), *marks).select(*df.columns)
+
+
+def excluded_normalized(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    marks = [f"__norm{i}" for i in range(len(on))]
+    return excluded(_normalized(df, on), _normalized(keys, on).select(*marks), *marks).select(*df.columns)
+
+
+def exclude_any_pair(df: DataFrame, keys: DataFrame, key: str, question: str, answers: str) -> DataFrame:
+    """Rows none of whose (question, answer) pairs, as normalized text, is one of keys (two columns). key names a row."""
+    pairs = df.select(key, match_key(F.col(question)).alias("__q"), F.explode(answers).alias("__x")).select(key, "__q", match_key(F.col("__x")).alias("__a"))
+    names = keys.toDF("__q", "__a").select(match_key(F.col("__q")).alias("__q"), match_key(F.col("__a")).alias("__a")).distinct()
+    hit = pairs.join(names, ["__q", "__a"], "left_semi").select(key).distinct()
+    return df.join(hit, key, "left_anti")
+
+
+def path_keys(paths: Sequence[DataFrame], pattern: str) -> DataFrame:
+    """Distinct keys that the pattern's first group finds in paths, each table of one column; paths without a match give none."""
+    found = None
+    for df in paths:
+        keys = df.toDF("__path").select(F.regexp_extract("__path", pattern, 1).alias("key")).where("key <> ''")
+        found = keys if found is None else found.unionByName(keys)
+    return found.distinct()

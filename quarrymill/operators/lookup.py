@@ -33,11 +33,12 @@ def first_duplicates(df: DataFrame, key: Sequence[str], limit: int = 10) -> list
 
 
 def unique(df: DataFrame, *key: str) -> DataFrame:
-    """df, once it is known that no key occurs twice."""
-    twice = first_duplicates(df, key)
-    if twice:
-        raise ValueError(f"duplicate keys in {key}: {twice}")
-    return df
+    """df; a key that occurs twice raises when the rows are read, in the same grouping that joins need them by."""
+    rest = [c for c in df.columns if c not in key]
+    said = F.raise_error(F.concat(F.lit(f"duplicate keys in {', '.join(key)}: "), F.to_json(F.struct(*key))))
+    one = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest) if rest else F.lit(True)).alias("__row"))
+    checked = one.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(said.cast("boolean")))
+    return checked.select(*key, *([f"__row.{c}" for c in rest])).select(*df.columns)
 
 
 @dataclass(frozen=True)
@@ -61,16 +62,16 @@ def lookup(df: DataFrame, spec: Lookup) -> DataFrame:
     clash = set(names.values()) & set(df.columns)
     if clash or len(set(names.values())) < len(names):
         raise ValueError(f"column names collide: {sorted(clash) or list(names.values())}")
-    unique(spec.side.where(F.col(spec.side_key).isNotNull()), spec.side_key)
-    side = spec.side.select(F.col(spec.side_key).alias("__side_key"), *[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias("__found"))
+    columns = [F.col(spec.side_key).alias("__side_key"), *[F.col(c).alias(n) for c, n in names.items()]]
+    side = unique(spec.side.where(F.col(spec.side_key).isNotNull()).select(*columns), "__side_key").withColumn("__found", F.lit(True))
     key = F.col(spec.key) if isinstance(spec.key, str) else spec.key
     if spec.missing == "skip":
         key = F.when(F.trim(key.cast("string")) != "", key)
     joined = df.withColumn("__key", key).join(side, F.col("__key") == F.col("__side_key"), "left")
     if spec.missing == "error":
-        # The check is part of a column that stays, so no optimizer rule can prune it.
-        last = list(names.values())[0]
-        joined = joined.withColumn(last, F.when(F.col("__found"), F.col(last)).otherwise(F.raise_error(F.concat(F.lit("no match for key "), F.coalesce(F.col("__key").cast("string"), F.lit("null"))))))
+        # A filter on the rows themselves: it stays whatever columns are read later.
+        said = F.raise_error(F.concat(F.lit("no match for key "), F.coalesce(F.col("__key").cast("string"), F.lit("null"))))
+        joined = joined.where(F.coalesce(F.col("__found"), said.cast("boolean")))
     return joined.drop("__key", "__side_key", "__found")
 
 
@@ -108,3 +109,16 @@ def ordered_children(children: DataFrame, parent: str, order: Sequence[str], val
     """Each parent's values as one array in order."""
     packed = F.array_sort(F.collect_list(F.struct(*order, value)))
     return children.groupBy(parent).agg(F.transform(packed, lambda x: x[value]).alias(out))
+
+
+def class_names(df: DataFrame, number: str, names: DataFrame, out: str) -> DataFrame:
+    """df with the name of each row's class number, its place from 0 in names (one row, an array); others raise."""
+    listed = names.toDF("__names")
+    said = F.raise_error(F.concat(F.lit("no class "), F.coalesce(F.col(number).cast("string"), F.lit("null"))))
+    name = F.when((F.col(number) >= 0) & (F.col(number) < F.size("__names")), F.get("__names", F.col(number).cast("int"))).otherwise(said)
+    return df.join(F.broadcast(listed)).withColumn(out, name).drop("__names")  # one row
+
+
+def last_by_name(files: DataFrame, name: str, key: str, order: str) -> DataFrame:
+    """One key for each name, the last by order."""
+    return files.groupBy(name).agg(F.max_by(key, order).alias(key))

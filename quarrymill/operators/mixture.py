@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -140,3 +140,100 @@ def optimize_weights(sizes: Mapping[str, int], most: int, total: int = 100) -> d
         k = min((x for x in sizes if weights[x] > 1), key=lambda x: (sizes[x] / (weights[x] - 1), x))
         weights[k] -= 1
     return weights
+
+
+def contiguous(position: str, total: int, ranks: int) -> Column:
+    """Rank of a position when ranks hold runs of as equal a length as can be, the longer ones first."""
+    base, more = divmod(total, ranks)
+    pos = F.col(position)
+    if base == 0:
+        return pos.cast("long")
+    return F.when(pos < more * (base + 1), F.floor(pos / (base + 1))).otherwise(more + F.floor((pos - more * (base + 1)) / base)).cast("long")
+
+
+def restore_order(parts: DataFrame, position: str, total: int) -> DataFrame:
+    """Gathered rows in their first order; positions that aren't 0 to total - 1, each once, raise when read."""
+    n = F.count(F.lit(1))
+    seen = parts.agg(n.alias("n"), F.count_distinct(position).alias("d"), F.min(position).alias("low"), F.max(position).alias("high"))
+    right = F.expr(f"n = {total} AND d = {total} AND (n = 0 OR (low = 0 AND high = {total - 1}))")
+    check = seen.select(F.when(right, F.lit(True)).otherwise(F.raise_error(F.lit("positions are no permutation")).cast("boolean")).alias("__right"))
+    return parts.join(F.broadcast(check)).where("__right").drop("__right").orderBy(position)  # one row
+
+
+def locate(requests: DataFrame, sizes: DataFrame, name: str, size: str, position: str = "position") -> DataFrame:
+    """Source and place in it of global positions. sizes has a row for each source, so it goes to every task."""
+    spans = offsets(sizes, name, size).select(name, F.col("offset").alias("__from"), (F.col("offset") + F.col(size)).alias("__to"))
+    return requests.join(F.broadcast(spans), (F.col(position) >= F.col("__from")) & (F.col(position) < F.col("__to"))).withColumn("local", (F.col(position) - F.col("__from")).cast("long")).drop("__from", "__to")
+
+
+def fetch(requests: DataFrame, sources: DataFrame, name: str, local: str, request: str) -> DataFrame:
+    """The rows that (source, place) requests name, in the order of the requests."""
+    return requests.join(sources, [name, local]).orderBy(request)
+
+
+def named_union(parts: Mapping[str, DataFrame], column: str = "subset") -> DataFrame:
+    """Tables of one schema put together, each with its name."""
+    out = None
+    for name, df in parts.items():
+        tagged = df.withColumn(column, F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
+
+
+def rank_samples(df: DataFrame, order: Sequence[str], total: int, ranks: int, seed: int | None = None, drop_last: bool = False, consumed: int = 0) -> DataFrame:
+    """df dealt to ranks by turns, after a seeded shuffle if there is a seed: columns rank, step.
+
+    So that ranks get as many, the tail is dropped or the first rows are repeated,
+    as often as it takes. consumed: rows that all ranks together have read before.
+    """
+    if ranks < 1:
+        raise ValueError("ranks must be 1 or more")
+    each = max(0, -(-(total - ranks) // ranks)) if drop_last and total % ranks else -(-total // ranks)
+    size = each * ranks
+    shuffled = df.withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(seed)), *order)) if seed is not None else F.lit(""))
+    placed = ordinals(shuffled.withColumn("__all", F.lit(0)), "__all", ["__key", *order]).drop("__all", "__key")
+    if drop_last or total == 0:
+        placed = placed.where(F.col("pos") < size)
+    else:
+        # Row p takes the places p, p + total, ... that lie below the size.
+        turns = F.sequence(F.lit(0), F.floor((F.lit(size) - 1 - F.col("pos")) / total).cast("int"))
+        placed = placed.withColumn("__turn", F.explode(turns)).withColumn("pos", F.col("pos") + F.col("__turn") * total).drop("__turn")
+    out = placed.withColumn("rank", F.pmod("pos", F.lit(ranks)).cast("long")).withColumn("step", F.floor(F.col("pos") / ranks).cast("long"))
+    return out.where(F.col("step") >= consumed // ranks).drop("pos")
+
+
+def shuffled_chunks(df: DataFrame, position: str, chunk: int, total: int, seed: int, drop_last: bool = False) -> DataFrame:
+    """df with `place`: whole chunks in seeded order, order kept inside; a short last chunk comes last or is dropped."""
+    whole = total // chunk
+    numbers = df.sparkSession.range(whole).select(F.col("id").alias("__chunk"), F.md5(F.concat_ws(":", F.lit(str(seed)), "id")).alias("__key"))
+    order = ordinals(numbers.withColumn("__all", F.lit(0)), "__all", ["__key", "__chunk"]).select("__chunk", F.col("pos").alias("__at"))
+    marked = df.withColumn("__chunk", F.floor(F.col(position) / chunk).cast("long"))
+    out = marked.join(order, "__chunk", "left").withColumn("place", (F.coalesce("__at", F.lit(whole)) * chunk + F.pmod(position, F.lit(chunk))).cast("long"))
+    return (out.where(F.col("__at").isNotNull()) if drop_last else out).drop("__chunk", "__at")
+
+
+def batches(df: DataFrame, position: str, total: int, per_rank: int, ranks: int, steps: int, drop_last: bool = True) -> DataFrame:
+    """The rows that a training run of so many steps reads: columns step, rank, slot. Epochs follow each other.
+
+    A global batch is ranks * per_rank rows; a short last one is dropped or read as it is.
+    """
+    wide = per_rank * ranks
+    in_epoch = total // wide if drop_last else -(-total // wide)
+    if in_epoch == 0:
+        raise ValueError("a batch is larger than the data")
+    local = F.floor(F.col(position) / wide)
+    epochs = F.sequence(F.lit(0), F.floor((F.lit(steps - 1) - local) / in_epoch).cast("int"))
+    rows = df.where((local < in_epoch) & (local < steps)).withColumn("__epoch", F.explode(epochs))
+    at = F.pmod(position, F.lit(wide))
+    return rows.withColumn("step", (F.col("__epoch") * in_epoch + local).cast("long")).withColumn("rank", F.floor(at / per_rank).cast("long")).withColumn("slot", F.pmod(at, F.lit(per_rank)).cast("long")).drop("__epoch")
+
+
+def chunks(position: str, size: int) -> Column:
+    if size < 1:
+        raise ValueError("chunk size must be positive")
+    return F.floor(F.col(position) / size).cast("long")
+
+
+def by_length(df: DataFrame, length: str, order: Sequence[str]) -> DataFrame:
+    """Ascending length, ties in the order there was."""
+    return df.orderBy(length, *order)

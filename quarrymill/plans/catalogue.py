@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import analytics, dedup, exclude, lookup, mixture, qrels, quality
+from ..operators import analytics, dedup, exclude, lookup, mixture, qrels
 from . import retrieval
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, Query, Tables, query
 
 # Retrieval: every twentieth vector is a query against all others; equal labels are relevant.
 
@@ -56,35 +32,34 @@ def topk_neighbors(t: Tables) -> DataFrame:
     return _ranked(t)[1].select("query_id", "candidate_id", F.col("rank").cast("long"))
 
 
-METRICS_SQL = RANKED + """,
-marked AS (SELECT query_id, rank, CASE WHEN ql = cl THEN 1 ELSE 0 END AS gain FROM ranked),
-cum AS (SELECT *, sum(gain) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM marked),
-sizes AS (SELECT q.vec_id AS query_id, (SELECT count(*) FROM embeddings c WHERE c.label = q.label) - 1 AS n FROM embeddings q WHERE q.vec_id % 20 = 0),
-per AS (SELECT s.query_id, n,
-  max(gain)::DOUBLE AS hit_10, coalesce(1.0 / min(CASE WHEN gain > 0 THEN rank END), 0) AS mrr_10,
-  coalesce(sum(CASE WHEN gain > 0 THEN hits::DOUBLE / rank END), 0) / least(greatest(n, 1), 10) AS map_10,
-  coalesce(sum(gain / log2(rank + 1)), 0) / greatest((SELECT coalesce(sum(1 / log2(i + 1)), 0) FROM range(1, 11) r(i) WHERE i <= n), 1e-10) AS ndcg_10
-  FROM sizes s JOIN cum USING (query_id) GROUP BY s.query_id, n)
+# Relevant are vectors of the query's label in its seat of forty; the gain is 1, 2 or 3.
+GAINS = """,
+rel AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, 1.0 + c.vec_id % 3 AS gain FROM embeddings q JOIN embeddings c
+  ON q.vec_id % 20 = 0 AND q.label = c.label AND c.vec_id % 40 = q.vec_id // 20 % 40 AND c.vec_id <> q.vec_id),
+ideal AS (SELECT query_id, max(n) AS n, sum(gain / log2(i + 1)) FILTER (i <= 10) AS best FROM (
+  SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i, count(*) OVER (PARTITION BY query_id) AS n FROM rel) GROUP BY query_id),
+marked AS (SELECT r.query_id, r.ql AS label, rank, coalesce(gain, 0) AS gain FROM ranked r LEFT JOIN rel USING (query_id, candidate_id)),
+cum AS (SELECT *, sum(CASE WHEN gain > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM marked),
+per AS (SELECT query_id, label,
+  max(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_10, coalesce(1.0 / min(CASE WHEN gain > 0 THEN rank END), 0) AS mrr_10,
+  coalesce(sum(CASE WHEN gain > 0 THEN hits::DOUBLE / rank END), 0) / least(greatest(coalesce(max(n), 0), 1), 10) AS map_10,
+  coalesce(sum(gain / log2(rank + 1)), 0) / greatest(coalesce(max(best), 0), 1e-10) AS ndcg_10
+  FROM cum LEFT JOIN ideal USING (query_id) GROUP BY query_id, label)
 """
+METRICS_SQL = RANKED + GAINS
+TEN = ("hit@10", "mrr@10", "map@10", "ndcg@10")
+
+
+def _relevant(t: Tables) -> DataFrame:
+    e = t.embeddings
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.expr("vec_id DIV 20 % 40").alias("seat"))
+    pairs = q.join(e.select(F.col("vec_id").alias("candidate_id"), "label", (F.col("vec_id") % 40).alias("seat")), ["label", "seat"]).where("candidate_id <> query_id")
+    return qrels.group_pairs(pairs.withColumn("gain", 1.0 + F.col("candidate_id") % 3), "query_id", "candidate_id", "gain", ["candidate_id"])
 
 
 def _metrics(t: Tables) -> DataFrame:
     queries, ranked = _ranked(t)
-    pairs = ranked.select("query_id", "candidate_id")
-    labels = t.embeddings.select("vec_id", "label")
-    marked = pairs.join(labels.toDF("query_id", "ql"), "query_id").join(labels.toDF("candidate_id", "cl"), "candidate_id")
-    marked = ranked.join(marked, ["query_id", "candidate_id"]).withColumn("gain", (F.col("ql") == F.col("cl")).cast("double"))
-    # All relevant pairs of a label are a number here, not rows: the ideal ranking has that many ones.
-    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
-    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.when(i <= F.col("n"), 1 / F.log2(i + 1.0)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    marked = marked.withColumn("hits", F.sum("gain").over(w))
-    per = marked.groupBy("query_id", "ql").agg(
-        F.max("gain").alias("hit_10"), F.coalesce(1.0 / F.min(F.when(F.col("gain") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr_10"),
-        F.coalesce(F.sum(F.when(F.col("gain") > 0, F.col("hits") / F.col("rank"))), F.lit(0.0)).alias("ap"), F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0)).alias("dcg"),
-    )
-    out = per.join(sizes, per.ql == sizes.label)
-    return out.select("query_id", F.col("ql").alias("label"), "hit_10", "mrr_10", (F.col("ap") / F.least(F.greatest("n", F.lit(1)), F.lit(10))).alias("map_10"), (F.col("dcg") / F.greatest(ideal, F.lit(1e-10))).alias("ndcg_10"))
+    return retrieval.query_metrics(ranked, retrieval.relevance(_relevant(t)), queries.select(F.col("vec_id").alias("query_id")), [10])
 
 
 MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("hit_10", "mrr_10", "map_10", "ndcg_10"))
@@ -92,13 +67,54 @@ MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("hit_10", "mrr_10", "ma
 
 @query(METRICS_SQL + f"SELECT count(*) AS n_queries, {MEANS} FROM per")
 def retrieval_metrics(t: Tables) -> DataFrame:
-    return retrieval.mean_metrics(_metrics(t).drop("label"))
+    return retrieval.mean_metrics(_metrics(t))
 
 
-@query(METRICS_SQL + ", tasks AS (SELECT 'm' || (e.label % 2)::VARCHAR AS modality, 't' || (e.label % 4)::VARCHAR AS task, ndcg_10 FROM per JOIN embeddings e ON e.vec_id = per.query_id) SELECT coalesce(modality, 'all') AS modality, coalesce(task, 'all') AS task, round(avg(ndcg_10), 4) AS mean, count(*) AS n FROM tasks GROUP BY GROUPING SETS ((modality, task), (modality), ())")
+@query(METRICS_SQL + ", tasks AS (SELECT 'm' || (label % 2)::VARCHAR AS modality, 't' || (label % 4)::VARCHAR AS task, CASE label % 2 WHEN 0 THEN ndcg_10 ELSE hit_10 END AS value FROM per) SELECT coalesce(modality, 'all') AS modality, coalesce(task, 'all') AS task, round(avg(value), 4) AS mean, count(*) AS n FROM tasks GROUP BY GROUPING SETS ((modality, task), (modality), ())")
 def benchmark_summary(t: Tables) -> DataFrame:
-    rows = _metrics(t).select(F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("modality"), F.concat(F.lit("t"), (F.col("label") % 4).cast("string")).alias("task"), "ndcg_10")
-    return analytics.summary(rows, "modality", "task", "ndcg_10")
+    """The metric that counts depends on the modality."""
+    label = F.col("label")
+    rows = _metrics(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    rows = rows.select(F.concat(F.lit("m"), (label % 2).cast("string")).alias("modality"), F.concat(F.lit("t"), (label % 4).cast("string")).alias("task"), F.when(label % 2 == 0, F.col("ndcg_10")).otherwise(F.col("hit_10")).alias("value"))
+    return analytics.summary(rows, "modality", "task", "value")
+
+
+MODES = "CASE WHEN query_id % 60 = 0 THEN 'exhaustive' WHEN query_id % 60 = 20 THEN 'sparse' END"
+
+
+@query(RANKED.replace("WHERE rank <= 10)", "WHERE rank <= 5)") + f""",
+own AS (SELECT s.query_id, s.candidate_id, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.candidate_id) AS rank FROM scored s WHERE candidate_id % 25 = query_id // 20 % 25)
+SELECT query_id, candidate_id, rank::BIGINT AS rank FROM ranked WHERE coalesce({MODES}, 'sparse') = 'sparse' UNION ALL SELECT query_id, candidate_id, rank::BIGINT FROM own WHERE {MODES} = 'exhaustive' AND rank <= 5""")
+def modes_ranking(t: Tables) -> DataFrame:
+    """Sparse and exhaustive queries in one plan; a null mode is sparse."""
+    e = t.embeddings
+    vectors = e.select("vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.expr("vec_id DIV 20 % 25").alias("seat"))
+    pairs = asked.join(e.select(F.col("vec_id").alias("c"), (F.col("vec_id") % 25).alias("seat")), "seat").where("c <> query_id")
+    own = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("candidate_ids"))
+    found = retrieval.rank_by_mode(vectors.where("vec_id % 20 = 0"), vectors, own.withColumn("mode", F.expr(MODES)), 5, skip_self=True)
+    return found.select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(METRICS_SQL.replace("coalesce(gain, 0) AS gain", "CASE WHEN gain IS NULL THEN 0 ELSE 1 END AS gain").replace("sum(gain / log2(i + 1)) FILTER (i <= 10)", "sum(1 / log2(i + 1)) FILTER (i <= 10)") + "SELECT query_id, round(hit_10, 6) AS hit_10, round(mrr_10, 6) AS mrr_10, round(map_10, 6) AS map_10, round(ndcg_10, 6) AS ndcg_10 FROM per")
+def metrics_of_vectors(t: Tables) -> DataFrame:
+    """From vectors and lists of relevant ids, some of which no candidate has."""
+    vectors = t.embeddings.select("vec_id", "embedding")
+    listed = _relevant(t).select("query_id", F.concat("candidate_ids", F.array(F.lit(-1).cast("long"))).alias("candidate_ids"))
+    per = retrieval.vector_metrics(vectors.where("vec_id % 20 = 0"), vectors, listed, TEN, skip_self=True)
+    return per.select("query_id", *[F.round(c, 6).alias(c) for c in per.columns[1:]])
+
+
+@query("""WITH c AS (SELECT label, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY label),
+s AS (SELECT e.vec_id, e.label, c.label AS k, round(list_sum(list_transform(list_zip(e.embedding, c.v), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score FROM embeddings e, c WHERE e.label IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k) AS rank FROM s)
+SELECT vec_id AS query_id, max(CASE WHEN k = label AND rank <= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy_1, max(CASE WHEN k = label AND rank <= 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy_3 FROM r GROUP BY vec_id""")
+def label_accuracy(t: Tables) -> DataFrame:
+    """Each vector against one vector of each class."""
+    e = t.embeddings
+    classes = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).select(F.col("label").cast("long"), "v")
+    labels = e.where("label IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("label"))
+    return retrieval.label_accuracy(e.select("vec_id", "embedding"), classes, labels, (1, 3))
 
 
 POOL = "JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id % 50 = q.label % 50"
@@ -159,10 +175,13 @@ def ordered_children(t: Tables) -> DataFrame:
     return lookup.ordered_children(t.conversations, "conv_id", ["turn"], "role", "roles")
 
 
-@query("SELECT user_id, count(*) AS n, (floor((count(*) - 1) * 1.0 / 3))::BIGINT AS second FROM events GROUP BY user_id")
+@query("""SELECT user_id, CASE WHEN len(ids) >= 4 THEN [ids[1], ids[1 + ((len(ids) - 1) * 1 // 3)], ids[1 + ((len(ids) - 1) * 2 // 3)], ids[len(ids)]]
+  ELSE list_transform(range(4), lambda i: ids[1 + CASE WHEN i = 3 THEN len(ids) - 1 ELSE floor(i * (len(ids) - 1) / 3.0)::BIGINT END]) END AS sampled FROM (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id)""")
 def sampled_children(t: Tables) -> DataFrame:
-    n = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("user_id", "n", F.get(arrays.uniform_indices(F.col("n"), 4), F.lit(1)).alias("second"))
+    """Four of each parent's children, spread evenly over their order."""
+    kids = lookup.ordered_children(t.events, "user_id", ["ts", "event_id"], "event_id", "ids")
+    at = arrays.uniform_indices(F.size("ids").cast("long"), 4)
+    return kids.select("user_id", F.transform(at, lambda i: F.get("ids", i.cast("int"))).alias("sampled"))
 
 
 # Exclusion.
@@ -240,11 +259,16 @@ def merge_shards(t: Tables) -> DataFrame:
     return dedup.merge_shards([rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'")], ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "shard")
 
 
-@query("""SELECT user_id, answer, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, seen) AS rn FROM (
-  SELECT user_id, event_type AS answer, sum(length(event_type)) AS total, min(event_id) AS seen FROM events GROUP BY user_id, event_type)) WHERE rn = 1""")
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN ' Unanswerable' WHEN event_id % 5 = 0 THEN ' ' || upper(event_type) || ' ' ELSE event_type END AS answer,
+  CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS w FROM events),
+v AS (SELECT user_id, lower(trim(answer)) AS form, sum(w) AS total, min(event_id) AS seen, min_by(trim(answer), event_id) AS answer FROM e WHERE w > 0 AND lower(trim(answer)) <> 'unanswerable' GROUP BY user_id, form)
+SELECT user_id, answer, total::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, seen) AS rn FROM v) WHERE rn = 1""")
 def weighted_vote(t: Tables) -> DataFrame:
-    rows = t.events.select("user_id", "event_type", "event_id", F.length("event_type").cast("long").alias("w"))
-    return dedup.weighted_vote(rows, "user_id", "event_type", "w", "event_id")
+    id = F.col("event_id")
+    answer = F.when(id % 7 == 0, " Unanswerable").when(id % 5 == 0, F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "))).otherwise(F.col("event_type"))
+    said = F.element_at(F.array(F.lit(" Yes"), F.lit("maybe"), F.lit("no")), (id % 3 + 1).cast("int"))
+    rows = t.events.select("user_id", "event_id", answer.alias("answer"), dedup.confidence(said).cast("long").alias("w"))
+    return dedup.weighted_vote(rows, "user_id", "answer", "w", "event_id")
 
 
 # Relevance tables.
@@ -255,14 +279,16 @@ def qrels_from_pairs(t: Tables) -> DataFrame:
     return qrels.group_pairs(t.lineitem, "l_orderkey", "l_partkey", "l_quantity", ["l_linenumber"], ["l_returnflag"])
 
 
-CONDITIONAL = "(SELECT o_custkey AS query_id, list(o_orderstatus ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey), (SELECT count(DISTINCT o_orderstatus) AS g FROM orders)"
+CONDITIONAL = "(SELECT o_custkey AS query_id, list(CASE WHEN o_orderkey % 97 = 0 THEN '?' ELSE o_orderstatus END ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey), (SELECT list_sort(list(DISTINCT o_orderstatus)) AS g FROM orders)"
+SAME = "list_sort(list_distinct(ids)) = g"
 
 
-@query(f"SELECT query_id, CASE WHEN len(list_distinct(ids)) = g THEN 'sparse' ELSE 'exhaustive' END AS mode, CASE WHEN len(list_distinct(ids)) = g THEN ids[1:1] ELSE ids END AS candidate_ids FROM {CONDITIONAL}")
+@query(f"SELECT query_id, CASE WHEN {SAME} THEN 'sparse' ELSE 'exhaustive' END AS mode, CASE WHEN {SAME} THEN ids[1:1] ELSE ids END AS candidate_ids, CASE WHEN {SAME} THEN [1.0::DOUBLE] ELSE list_transform(range(len(ids)), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END AS candidate_scores FROM {CONDITIONAL}")
 def conditional_qrels(t: Tables) -> DataFrame:
-    n = t.orders.select("o_orderstatus").distinct().count()
-    local = qrels.group_pairs(t.orders.withColumn("s", F.lit(1.0)), "o_custkey", "o_orderstatus", "s", ["o_orderkey"])
-    return qrels.conditional(local, n).drop("candidate_scores")
+    """Some queries have a candidate that the global table lacks: as many as there are isn't the same as all there are."""
+    status = F.when(F.col("o_orderkey") % 97 == 0, "?").otherwise(F.col("o_orderstatus"))
+    local = qrels.group_pairs(t.orders.withColumn("s", F.lit(1.0)).withColumn("status", status), "o_custkey", "status", "s", ["o_orderkey"])
+    return qrels.conditional(local, t.orders.select("o_orderstatus"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id, i) - 1 AS candidate_id, words[i] AS text FROM (SELECT doc_id, words, unnest(range(1, 3)) AS i FROM (SELECT doc_id, [lang, source] AS words FROM documents))")
@@ -328,60 +354,6 @@ def segment_key(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", text.segment_key(F.concat(F.lit("v"), F.col("l_orderkey").cast("string")), q, q + 10).alias("key"))
 
 
-# Data quality.
-
-
-def _findings(t: Tables) -> DataFrame:
-    return quality.bundle(
-        quality.required_fields(t.documents.select("doc_id", "text", "lang"), ["text", "lang"], "sample", "doc_id"),
-        quality.duplicate_ids(t.conversations, "conv_id", ["turn"], "sample"),
-        quality.dangling(t.labels, "doc_id", t.documents.where("lang <> 'en'"), "doc_id", "relation", "doc_id"),
-        quality.prefix(t.part, "p_name", "part_", "asset"),
-        quality.empty_text(t.pages, "html", "asset", "page_id"),
-    )
-
-
-FINDINGS = """
-WITH found AS (
-  SELECT 'required_field' AS reason_code, 'error' AS severity, 'drop' AS hint, 'sample' AS target_type, doc_id::VARCHAR AS target_id FROM documents, (VALUES (1), (2)) v(i) WHERE trim(coalesce(CASE WHEN i = 1 THEN text ELSE lang END, '')) = ''
-  UNION ALL SELECT 'duplicate_id', 'error', 'quarantine', 'sample', conv_id::VARCHAR FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n > 1
-  UNION ALL SELECT 'dangling_reference', 'error', 'block', 'relation', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')
-  UNION ALL SELECT 'invalid_prefix', 'warning', 'keep', 'asset', p_name FROM part WHERE NOT starts_with(p_name, 'part_')
-  UNION ALL SELECT 'empty_text', 'warning', 'drop', 'asset', page_id::VARCHAR FROM pages WHERE trim(coalesce(html, '')) = '')"""
-
-
-@query(FINDINGS + " SELECT reason_code, severity, hint AS decision_hint, target_type, target_id FROM found")
-def quality_findings(t: Tables) -> DataFrame:
-    return _findings(t).drop("message")
-
-
-@query(FINDINGS + " SELECT reason_code, count(*) AS n FROM found GROUP BY reason_code")
-def findings_by_reason(t: Tables) -> DataFrame:
-    return quality.by_reason(_findings(t))
-
-
-@query(FINDINGS + """ SELECT target_type, target_id, CASE max(CASE hint WHEN 'keep' THEN 0 WHEN 'drop' THEN 1 ELSE 2 END) WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' ELSE 'quarantine' END AS action,
-  list_sort(list(DISTINCT reason_code)) AS reasons, count(*) AS n_findings FROM found GROUP BY ALL""")
-def quality_decisions(t: Tables) -> DataFrame:
-    return quality.decisions(_findings(t))
-
-
-@query(FINDINGS + " SELECT count(*) AS n_findings, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, NOT coalesce(bool_or(severity = 'error' AND hint <> 'keep'), false) AS ready FROM found")
-def audit_rollup(t: Tables) -> DataFrame:
-    return quality.audit(_findings(t))
-
-
-@query(FINDINGS + """, decided AS (SELECT target_type, target_id, CASE max(CASE hint WHEN 'keep' THEN 0 WHEN 'drop' THEN 1 ELSE 2 END) WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' ELSE 'quarantine' END AS action FROM found GROUP BY ALL)
-  SELECT a.action, b.target_type, count(d.target_id) AS n FROM (VALUES ('keep'), ('drop'), ('quarantine')) a(action) JOIN (VALUES ('sample'), ('asset'), ('relation')) b(target_type) ON true LEFT JOIN decided d ON d.action = a.action AND d.target_type = b.target_type GROUP BY ALL""")
-def decision_buckets(t: Tables) -> DataFrame:
-    return quality.buckets(quality.decisions(_findings(t)))
-
-
-@query("SELECT count(*) AS n FROM pages")
-def media_decode(t: Tables) -> DataFrame:
-    return quality.broken_media(t.pages, "html", "asset", "page_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 # Mixture, sharding and reports.
 
 
@@ -409,9 +381,57 @@ def shard_assignment(t: Tables) -> DataFrame:
     return mixture.ordinals(t.documents.select("doc_id", "source"), "source", ["doc_id"]).withColumn("rank", mixture.shard("pos", 8, 4))
 
 
-@query("SELECT doc_id, chunk::BIGINT AS chunk, md5('7:' || chunk::VARCHAR) AS chunk_key FROM (SELECT doc_id, doc_id // 16 AS chunk FROM documents)")
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), c AS (SELECT k, row_number() OVER (ORDER BY md5('7:' || k::VARCHAR), k) - 1 AS spot FROM (SELECT unnest(range(n // 16)) AS k FROM n))
+SELECT doc_id, (coalesce(spot, (SELECT n // 16 FROM n)) * 16 + doc_id % 16)::BIGINT AS place FROM documents LEFT JOIN c ON k = doc_id // 16""")
 def chunk_order(t: Tables) -> DataFrame:
-    return mixture.chunk_order(t.documents.select("doc_id"), "doc_id", 16, 7)
+    """Whole chunks of 16 in seeded order, the short one last."""
+    return mixture.shuffled_chunks(t.documents.select("doc_id"), "doc_id", 16, t.documents.count(), 7).select("doc_id", "place")
+
+
+@query("""WITH s AS (SELECT event_id, row_number() OVER (ORDER BY md5('5:' || event_id::VARCHAR), event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
+p AS (SELECT event_id, pos + k * n AS spot FROM s, range(0, 2) r(k) WHERE pos + k * n < ceil(n / 7.0) * 7)
+SELECT event_id, (spot % 7)::BIGINT AS rank, (spot // 7)::BIGINT AS step FROM p WHERE spot // 7 >= 3""")
+def rank_samples(t: Tables) -> DataFrame:
+    """Shuffled rows dealt to seven ranks, the first repeated so that all have as many, after three steps."""
+    return mixture.rank_samples(t.events.select("event_id"), ["event_id"], t.events.count(), 7, seed=5, consumed=21)
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT event_id, event_id // 24 AS local, n // 24 AS whole FROM events, n)
+SELECT event_id, (k * whole + local)::BIGINT AS step, (event_id % 24 // 8)::BIGINT AS rank, (event_id % 8)::BIGINT AS slot FROM e, range(0, 3) r(k) WHERE local < whole AND k * whole + local < whole * 2 + 5""")
+def simulated_batches(t: Tables) -> DataFrame:
+    """Two epochs and five steps of batches of eight for three ranks."""
+    n = t.events.count()
+    return mixture.batches(t.events.select("event_id"), "event_id", n, 8, 3, n // 24 * 2 + 5)
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT doc_id, (CASE WHEN doc_id < (n % 7) * (n // 7 + 1) THEN doc_id // (n // 7 + 1) ELSE n % 7 + (doc_id - (n % 7) * (n // 7 + 1)) // (n // 7) END)::BIGINT AS rank FROM documents, n")
+def contiguous_shards(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", mixture.contiguous("doc_id", t.documents.count(), 7).alias("rank"))
+
+
+@query("""WITH s AS (SELECT lang, n, sum(n) OVER (ORDER BY lang) - n AS off FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang))
+SELECT d.doc_id AS position, s.lang, (d.doc_id - off)::BIGINT AS local FROM documents d JOIN s ON d.doc_id >= off AND d.doc_id < off + n""")
+def global_index(t: Tables) -> DataFrame:
+    """Which source a global position lies in, and where in it."""
+    sizes = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return mixture.locate(t.documents.select(F.col("doc_id").alias("position")), sizes, "lang", "n").select("position", "lang", "local")
+
+
+@query("SELECT doc_id, lang FROM documents")
+def restored_order(t: Tables) -> DataFrame:
+    """Rows gathered from ranks, back in their order; positions are checked."""
+    n = t.documents.count()
+    parts = t.documents.select("doc_id", "lang").withColumn("rank", mixture.contiguous("doc_id", n, 5)).repartition(5, "rank")
+    return mixture.restore_order(parts, "doc_id", n).select("doc_id", "lang")
+
+
+@query("SELECT n_nationkey AS request, CASE n_nationkey % 2 WHEN 0 THEN 'region' ELSE 'nation' END AS subset, CASE n_nationkey % 2 WHEN 0 THEN r_name ELSE n_name END AS name FROM nation LEFT JOIN region ON r_regionkey = n_nationkey % 5")
+def union_fetch(t: Tables) -> DataFrame:
+    """Named subsets put together, and rows fetched from them by subset and place."""
+    both = mixture.named_union({"region": t.region.select(F.col("r_regionkey").alias("local"), F.col("r_name").alias("name")), "nation": t.nation.select(F.col("n_nationkey").alias("local"), F.col("n_name").alias("name"))})
+    odd = F.col("n_nationkey") % 2 == 1
+    wanted = t.nation.select(F.col("n_nationkey").alias("request"), F.when(odd, "nation").otherwise("region").alias("subset"), F.when(odd, F.col("n_nationkey")).otherwise(F.col("n_nationkey") % 5).alias("local"))
+    return mixture.fetch(wanted, both, "subset", "local", "request").select("request", "subset", "name")
 
 
 @query("""WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents),
@@ -457,14 +477,41 @@ def flops_language(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", arrays.language_flops(F.col("n_chars"), 2, 64, 256).alias("flops"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / 0.5 AS s
-  FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id // 20 = q.vec_id // 20), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS m FROM s)
-  SELECT query_id, round(ln(sum(exp(s - m))) + max(m) - max(CASE WHEN candidate_id = query_id THEN s END), 6) AS loss FROM m GROUP BY query_id""")
+IN_BATCH = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / 0.5 AS s
+  FROM embeddings q JOIN embeddings c ON c.vec_id // 20 = q.vec_id // 20), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS m FROM s),
+  l AS (SELECT query_id, ln(sum(exp(s - m))) + max(m) - max(CASE WHEN candidate_id = query_id THEN s END) AS loss FROM m GROUP BY query_id)"""
+
+
+def _in_batch(t: Tables) -> DataFrame:
+    e = t.embeddings.select(F.expr("vec_id DIV 20").alias("batch"), "vec_id", "embedding")
+    return analytics.in_batch_scores(e, e, "batch", "vec_id", "embedding")
+
+
+@query(IN_BATCH + " SELECT query_id, round(loss, 6) AS loss FROM l")
 def contrastive_loss(t: Tables) -> DataFrame:
-    e = t.embeddings.select("vec_id", "embedding", F.floor(F.col("vec_id") / 20).alias("batch"))
-    pairs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "batch").join(e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("c"), "batch"), "batch")
-    scored = pairs.select("query_id", "candidate_id", arrays.dot(F.col("q"), F.col("c")).alias("score"), F.col("query_id").alias("positive"))
-    return analytics.contrastive_loss(scored, "query_id", "candidate_id", "score", "positive", 0.5).select("query_id", F.round("loss", 6).alias("loss"))
+    """The loss of every row among the twenty of its batch."""
+    return analytics.contrastive_loss(_in_batch(t), "query", "candidate", "score", "positive", 0.5).select(F.col("query").alias("query_id"), F.round("loss", 6).alias("loss"))
+
+
+@query(IN_BATCH + " SELECT round(avg(loss), 5) AS mean, round(sum(loss), 2) AS total FROM l")
+def contrastive_loss_reduced(t: Tables) -> DataFrame:
+    loss = lambda how: analytics.contrastive_loss(_in_batch(t), "query", "candidate", "score", "positive", 0.5, how)
+    return loss("mean").select(F.round("loss", 5).alias("mean")).join(loss("sum").select(F.round("loss", 2).alias("total")))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, i AS place, 2 * list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS s
+  FROM embeddings q, range(0, 4) r(i) JOIN embeddings c ON c.vec_id = q.vec_id // 4 * 4 + (q.vec_id + i) % 4), m AS (SELECT *, max(s) OVER (PARTITION BY query) AS m FROM s)
+  SELECT query, round(ln(sum(exp(s - m))) + max(m) - max(CASE WHEN place = 0 THEN s END), 6) AS loss, arg_max(place, (round(s, 12), -place))::BIGINT AS pick, arg_max(place, (round(s, 12), -place)) = 0 AS correct FROM m GROUP BY query""")
+def choice_loss(t: Tables) -> DataFrame:
+    """Four candidates for each query, of which the first, here itself, is right."""
+    e = t.embeddings.select("vec_id", "embedding")
+    asked = e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("place"))
+    asked = asked.withColumn("vec_id", F.expr("query DIV 4 * 4 + (query + place) % 4"))
+    scored = asked.join(e, "vec_id").select("query", "place", F.round(arrays.dot(F.col("q"), F.col("embedding")), 12).alias("score"))
+    return analytics.choice_loss(scored, "query", "place", "score", 2.0).select("query", F.round("loss", 6).alias("loss"), "pick", "correct")
+
+
+from . import catalogue_more, catalogue_quality  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

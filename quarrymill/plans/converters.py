@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import exclude, lookup, qrels
+from ..operators import dedup, exclude, lookup, qrels
+
+# Extensions of files that count as videos.
+VIDEOS = (".mp4", ".mkv", ".webm", ".avi", ".mov", ".m4v", ".flv", ".wmv", ".mpg", ".mpeg")
 
 
 def _none(rows: DataFrame, what: str) -> None:
@@ -26,7 +30,7 @@ def beir_bundle(queries: DataFrame, corpus: DataFrame, judged: DataFrame, order:
     """
     for df, key in ((queries, "query-id"), (corpus, "corpus-id")):
         _none(df.where(F.col(key).isNull()).select(key), f"null {key}")
-        lookup.unique(df, key)
+        _none(dedup.duplicate_keys(df, key).select(key), f"duplicate {key}")
         _none(judged.select(key).join(df.select(key), key, "left_anti"), f"unknown {key}")
     _none(queries.select("query-id").join(judged.select("query-id"), "query-id", "left_anti"), "queries without judgments")
     _none(corpus.where("image.bytes IS NULL").select("corpus-id"), "candidates without a picture")
@@ -104,3 +108,112 @@ def question_rows(rows: DataFrame, qa: str = "QA") -> DataFrame:
 def decoded_only(rows: DataFrame, key: str, units: DataFrame) -> DataFrame:
     """Rows whose frame unit is there."""
     return rows.join(units.select(F.col("frame_unit_key").alias(key)).distinct(), key, "left_semi")
+
+
+def without_empty_sides(rows: DataFrame, query: Sequence[str], positive: Sequence[str], strict: bool = False) -> DataFrame:
+    """Rows whose query side and positive side each have something; null and the empty text are nothing. strict raises instead."""
+    empty = lambda columns: F.coalesce(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]), F.lit("")) == ""
+    lacks = empty(query) | empty(positive)
+    if strict:
+        return rows.where(F.when(~lacks, F.lit(True)).otherwise(F.raise_error(F.lit("a side of a row is empty")).cast("boolean")))
+    return rows.where(~lacks)
+
+
+def single_evidence(rows: DataFrame, pages: str, document: str, documents: DataFrame) -> DataFrame:
+    """rows with `page`, the one page that the JSON list of pages holds, and `reason`, why a row can't be used (else null).
+
+    documents: one column, the documents that are there.
+    """
+    listed = F.from_json(pages, "array<int>")
+    known = documents.toDF(document).distinct().withColumn("__there", F.lit(True))
+    n = F.coalesce(F.size(listed), F.lit(0))
+    reason = F.when(n < 1, "no page").when(n > 1, "several pages").when(F.get(listed, F.lit(0)).isNull(), "no page").when(F.col("__there").isNull(), "no document")
+    return rows.join(known, document, "left").withColumn("reason", reason).withColumn("page", F.when(n == 1, F.get(listed, F.lit(0)))).drop("__there")
+
+
+def trim_elements(rows: DataFrame, key: str, keys: str, parallel: Sequence[str], valid: DataFrame) -> DataFrame:
+    """Arrays without the elements whose key isn't valid, parallel ones alike; rows with none left go. key names a row.
+
+    valid: one column of keys, of any size.
+    """
+    names = [keys, *parallel]
+    zipped = F.arrays_zip(*[F.col(c) for c in names])
+    flat = rows.select(key, F.posexplode(zipped).alias("__at", "__x")).withColumn("__key", F.col("__x")[keys])
+    kept = flat.join(valid.toDF("__key").distinct(), "__key", "left_semi")
+    packed = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", *[F.col("__x")[c].alias(c) for c in names]))).alias("__p"))
+    arrays = packed.select(key, *[F.col(f"__p.{c}").alias(c) for c in names])
+    return rows.drop(*names).join(arrays, key).select(*rows.columns)
+
+
+def real_candidates(candidates: Column, drop: bool = False) -> Column:
+    """Candidates none of which is blank. A blank one raises; with drop it goes, unless it is the first, the positive."""
+    lacks = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = lacks(F.get(candidates, F.lit(0))) if drop else F.exists(candidates, lacks)
+    return F.when(bad, F.raise_error(F.lit("blank candidate"))).otherwise(F.filter(candidates, lambda c: ~lacks(c)))
+
+
+def video_files(files: DataFrame, path: str) -> DataFrame:
+    return files.where(text.extension(F.col(path)).isin(*VIDEOS))
+
+
+def guarded(train: DataFrame, evaluation: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, excluded) rows of a training split, by the keys of an evaluation split."""
+    return exclude.exclude(train, evaluation, *on), exclude.excluded(train, evaluation, *on)
+
+
+def candidate_pool(queries: DataFrame, pool: DataFrame, task: int, eval_queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, excluded, candidates) of one task: its queries with the text of the candidate they name first.
+
+    queries: qid, query_txt, task_id, pos_cand_list; pool: did, txt. A query without
+    candidates and a first candidate that the pool lacks raise when they are read.
+    Candidates are those of the pool that some query names first.
+    """
+    own = queries.where(F.col("task_id") == task).select(F.col("qid").cast("string").alias("qid"), "query_txt", F.transform("pos_cand_list", lambda x: x.cast("string")).alias("pos_cand_list"))
+    first = F.get("pos_cand_list", F.lit(0))
+    own = own.withColumn("first_positive", F.coalesce(first, F.raise_error(F.concat(F.lit("no positive candidate: "), F.col("qid")))))
+    side = pool.select(F.col("did").cast("string").alias("did"), "txt")
+    keys = (eval_queries if eval_queries is not None else own.where("false")).select(F.col("qid").cast("string").alias("qid"))
+    joined = lookup.lookup(own, lookup.Lookup(side, "first_positive", "did", {"txt": "positive_txt"}))
+    joined = joined.withColumn("did", F.col("first_positive")).drop("first_positive")
+    kept, gone = guarded(joined, keys, "qid")
+    return kept, gone, side.join(own.select(F.col("first_positive").alias("did")).distinct(), "did", "left_semi")
+
+
+def voted_answers(rows: DataFrame, key: str) -> DataFrame:
+    """rows (answers: array of answer, answer_confidence; answerable) with selected_answer, null where no vote counts."""
+    flat = rows.where("answerable").select(key, F.posexplode("answers").alias("__at", "__a"))
+    flat = flat.select(key, "__at", F.col("__a.answer").alias("__answer"), dedup.confidence(F.col("__a.answer_confidence")).cast("long").alias("__weight"))
+    won = dedup.weighted_vote(flat.withColumnRenamed("__answer", "answer"), key, "answer", "__weight", "__at")
+    won = won.select(key, F.col("answer").alias("selected_answer"))
+    return rows.join(won, key, "left")
+
+
+def voted_rows(rows: DataFrame, key: str, eval_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, excluded) rows that are answerable and have an answer; pairs (question, answer) of an evaluation are excluded, as normalized."""
+    voted = voted_answers(rows, key).where("answerable AND coalesce(selected_answer, '') <> ''")
+    keys = eval_pairs.toDF("question", "selected_answer")
+    return exclude.exclude_normalized(voted, keys, "question", "selected_answer"), exclude.excluded_normalized(voted, keys, "question", "selected_answer")
+
+
+@dataclass(frozen=True)
+class Samples:
+    """How rows of a training source become samples.
+
+    query: the body's column; instruction: by the value of `kind`, with a default;
+    join: how instruction and body meet; lookups: side tables to extend rows by.
+    """
+
+    query: str
+    default: str
+    kind: str = ""
+    instruction: Mapping[str, str] = field(default_factory=dict)
+    join: str = "newline"
+    lookups: Sequence[lookup.Lookup] = ()
+
+
+def samples(rows: DataFrame, spec: Samples) -> DataFrame:
+    """rows with the column query: the instruction of each row's kind and its body."""
+    said = F.lit(spec.default)
+    for name, instruction in spec.instruction.items():
+        said = F.when(F.col(spec.kind) == name, instruction).otherwise(said)
+    return lookup.lookup_chain(rows, list(spec.lookups)).withColumn("query", text.join_texts(said, F.col(spec.query), spec.join))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import dot
 
-#: Queries of one block: their vectors are what a scan of the candidates carries.
-BLOCK = 16384
+#: Queries of a block, candidates of a group, candidates that are scored at once.
+BLOCK, GROUP, RUN = 16384, 1 << 18, 2048
+# The metrics of a benchmark by default.
+DEFAULTS = tuple(f"{f}@{k}" for f in ("hit", "mrr", "map", "ndcg") for k in (1, 5, 10))
 FAMILIES = ("hit", "mrr", "map", "ndcg")
 
 
@@ -30,22 +32,35 @@ def _bad(name: str) -> bool:
     raise ValueError(f"unknown metric {name!r}")
 
 
-def _scorer(ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            there, v = batch["id"].to_numpy(), np.stack(batch["vector"].to_numpy()).astype(float)
-            for a in range(0, len(ids), 1024):
-                part = ids[a : a + 1024]
-                scores = np.round(vectors[a : a + 1024] @ v.T, 9)
-                if skip_self:
-                    scores[part[:, None] == there[None, :]] = -np.inf
-                # All that reach the k-th best score go on, so ties are settled by id later.
-                n = min(k, scores.shape[1])
-                floor = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-                q, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-                yield pd.DataFrame({"query_id": part[q], "candidate_id": there[c], "score": scores[q, c]})
+def _best(ids: np.ndarray, vectors: np.ndarray, there: np.ndarray, others: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of query, id, score) of the k best of each query, ties by id; candidates pass in runs, the best so far with them."""
+    n = len(ids)
+    top, who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    order = np.argsort(there, kind="stable")
+    there, others = there[order], others[order]
+    for a in range(0, len(there), RUN):
+        for q in range(0, n, 256):
+            scores = np.round(vectors[q : q + 256] @ others[a : a + RUN].T, 9)
+            names = np.broadcast_to(there[a : a + RUN], scores.shape)
+            if skip_self:
+                scores[ids[q : q + 256, None] == names] = -np.inf
+            scores, names = np.hstack((top[q : q + 256], scores)), np.hstack((who[q : q + 256], names))
+            # Candidates come in the order of their ids, so a stable sort settles ties.
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            top[q : q + 256], who[q : q + 256] = np.take_along_axis(scores, best, 1), np.take_along_axis(names, best, 1)
+    q, c = np.nonzero(top > -np.inf)
+    return q, who[q, c], top[q, c]
+
+
+def _group_best(k: int, skip_self: bool):
+    def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "candidate_id", "score"]
+        if asked.empty or there.empty:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "candidate_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        ids = asked["id"].to_numpy()
+        matrix = lambda x: np.stack(x["vector"].to_numpy()).astype(float)
+        q, c, score = _best(ids, matrix(asked), there["id"].to_numpy(), matrix(there), k, skip_self)
+        return pd.DataFrame(dict(zip(names, (ids[q], c, score), strict=True)))
 
     return run
 
@@ -53,23 +68,23 @@ def _scorer(ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """query_id, candidate_id, score, rank of the k best candidates of each query, ties by id.
 
-    queries and candidates: (id long, vector array). Queries go in blocks of
-    fixed size, each carried by one scan of the candidates that keeps only the k
-    best of every batch; the rest is one grouped limit.
+    queries and candidates: (id long, vector array). Queries are dealt to blocks
+    and candidates to groups, both of bounded size; every block meets every group
+    in one task, which gives the k best of its group; a grouped limit merges those.
+    Nothing passes through the driver.
     """
     queries = queries.toDF("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL")
-    n_blocks = max(1, -(-queries.count() // BLOCK))
     candidates = candidates.toDF("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL")
-    found = None
-    for b in range(n_blocks):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).orderBy("id").toPandas()
-        if block.empty:
-            continue
-        run = _scorer(block["id"].to_numpy(), np.stack(block["vector"].to_numpy()).astype(float), k, skip_self)
-        part = candidates.mapInPandas(run, "query_id long, candidate_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, candidate_id long, score double")
+    n_queries, n = queries.count(), candidates.count()
+    blocks = max(1, -(-n_queries // BLOCK))
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n // GROUP), min(spread, n // RUN))
+    deal = lambda df, many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
+    copies = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    asked = queries.withColumn("block", deal(queries, blocks)).withColumn("part", copies(groups))
+    there = candidates.withColumn("part", deal(candidates, groups)).withColumn("block", copies(blocks))
+    met = asked.groupBy("block", "part").cogroup(there.groupBy("block", "part"))
+    found = met.applyInPandas(_group_best(k, skip_self), "query_id long, candidate_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -82,13 +97,64 @@ def score_pool(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, k: i
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def relevance(qrels: DataFrame) -> DataFrame:
-    """query_id, candidate_id, gain of the positive pairs; of repeated pairs the last counts."""
-    flat = qrels.select("query_id", F.posexplode(F.arrays_zip("candidate_ids", "candidate_scores")).alias("pos", "x"))
+def relevance(qrels: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """query_id, candidate_id, gain of the positive pairs; of repeated pairs the last counts.
+
+    Null ids are left out, null scores are 0. Arrays of unequal length raise, and
+    so does a candidate that isn't among candidates (column id), if those are given.
+    """
+    same = F.size("candidate_ids") == F.size("candidate_scores")
+    said = F.raise_error(F.concat(F.lit("ids and scores of unequal length for query "), F.col("query_id").cast("string"))).cast("boolean")
+    flat = qrels.where(F.when(F.coalesce(same, F.col("candidate_scores").isNull()), F.lit(True)).otherwise(said))
+    flat = flat.select("query_id", F.posexplode(F.arrays_zip("candidate_ids", F.coalesce("candidate_scores", F.transform("candidate_ids", lambda x: F.lit(0.0))).alias("candidate_scores"))).alias("pos", "x"))
     flat = flat.select("query_id", "pos", F.col("x.candidate_ids").alias("candidate_id"), F.coalesce("x.candidate_scores", F.lit(0.0)).alias("gain")).where("candidate_id IS NOT NULL")
+    if candidates is not None:
+        known = candidates.select(F.col("id").alias("candidate_id"), F.lit(True).alias("__known")).distinct()
+        lost = F.raise_error(F.concat(F.lit("unknown candidate "), F.col("candidate_id").cast("string"))).cast("boolean")
+        flat = flat.join(known, "candidate_id", "left").where(F.coalesce("__known", lost)).drop("__known")
     return flat.groupBy("query_id", "candidate_id").agg(F.max_by("gain", "pos").alias("gain")).where("gain > 0")
 
 
+def rank_by_mode(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """Rankings of queries by the mode of their qrels (query_id, mode, candidate_ids): sparse ones, and those without
+    a mode, among all candidates, exhaustive ones among their own; other modes raise."""
+    mode = F.coalesce("mode", F.lit("sparse"))
+    said = F.raise_error(F.concat(F.lit("unknown mode "), mode))
+    modes = qrels.select("query_id", F.when(mode.isin("sparse", "exhaustive"), mode).otherwise(said).alias("mode"), "candidate_ids")
+    queries = queries.toDF("id", "vector")
+    pick = lambda m: queries.join(modes.where(F.col("mode") == m).select(F.col("query_id").alias("id")), "id", "left_semi")
+    own = modes.where("mode = 'exhaustive'").select("query_id", F.explode(F.array_distinct("candidate_ids")).alias("candidate_id"))
+    everywhere = top_k(pick("sparse"), candidates, k, skip_self)
+    return everywhere.unionByName(score_pool(pick("exhaustive"), candidates, own, k))
+
+
+def evaluate(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, metrics: Iterable[str] = DEFAULTS, skip_self: bool = False) -> DataFrame:
+    """Metrics of each query of a dataset, from vectors and qrels; ranks beyond the pool add nothing."""
+    named = parse_metrics(metrics)
+    ks = sorted({k for _, k in named})
+    ranked = rank_by_mode(queries, candidates, qrels, max(ks), skip_self)
+    relevant = relevance(qrels, candidates.toDF("id", "vector"))
+    per = query_metrics(ranked, relevant, queries.toDF("query_id", "vector").select("query_id"), ks)
+    return per.select("query_id", *[f"{f}_{k}" for f, k in named])
+
+
+def vector_metrics(queries: DataFrame, candidates: DataFrame, relevant: DataFrame, metrics: Iterable[str] = DEFAULTS, skip_self: bool = False) -> DataFrame:
+    """The same from lists of relevant ids (query_id, candidate_ids), all of gain 1; ids that aren't candidates are left out."""
+    named = parse_metrics(metrics)
+    ks = sorted({k for _, k in named})
+    pairs = relevant.select("query_id", F.explode(F.array_distinct("candidate_ids")).alias("candidate_id"), F.lit(1.0).alias("gain"))
+    pairs = pairs.join(candidates.toDF("candidate_id", "vector").select("candidate_id"), "candidate_id", "left_semi")
+    per = query_metrics(top_k(queries, candidates, max(ks), skip_self), pairs, queries.toDF("query_id", "vector").select("query_id"), ks)
+    return per.select("query_id", *[f"{f}_{k}" for f, k in named])
+
+
+def label_accuracy(queries: DataFrame, classes: DataFrame, labels: DataFrame, ks: Sequence[int] = (1, 5)) -> DataFrame:
+    """Of each query, whether its label (query_id, label) is among the k nearest classes (id, vector)."""
+    ranked = top_k(queries, classes, max(ks)).join(labels, "query_id")
+    hits = [F.max(((F.col("candidate_id") == F.col("label")) & (F.col("rank") <= k)).cast("double")).alias(f"accuracy_{k}") for k in ks]
+    return ranked.groupBy("query_id").agg(*hits)
+
+
 def query_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, ks: Sequence[int]) -> DataFrame:
     """hit, mrr, map and ndcg at each k for every query; queries without positives score 0."""
     most = max(ks)
