@@ -43,11 +43,11 @@ from .common import drop_table, write_buckets, write_table
 HEAD_WORDS, HEAD_BIGRAMS = 1 << 18, 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
 #: Tokens that a task holds at once, features of a shard, bits of all filters together.
-HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 28
+HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 27
 #: A feature that more documents of a slice share is asked for once.
 SHARED = 256
-#: Sums that come back are whole numbers of these parts.
-FINE = 1 << 14
+#: Tail features, and sums that come back, are whole numbers of these parts.
+FINE_DELTA, FINE_SUM = 1 << 11, 1 << 14
 START = np.uint64(1)
 LOW = np.uint64(0xFFFFFFFF)
 BIGRAM, WORD, CONTEXT = 0, 1, 2
@@ -112,6 +112,17 @@ def unpack(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, len(packed) // size).T).view(kind).ravel()
 
 
+def whole(x: np.ndarray, parts: int) -> np.ndarray:
+    """Numbers in whole parts, the sign in the lowest bit."""
+    n = np.round(x * parts).astype(np.int64)
+    return (np.abs(n) << 1 | (n < 0)).astype(np.uint64)
+
+
+def real(n: np.ndarray, parts: int) -> np.ndarray:
+    n = n.astype(np.int64)
+    return np.where(n & 1, -1.0, 1.0) * (n >> 1) / parts
+
+
 def _steps(h: np.ndarray) -> bytes:
     """Sorted hashes, packed as differences."""
     return pack(np.diff(h, prepend=np.zeros(1, np.uint64)))
@@ -145,7 +156,7 @@ def _packed(shards: int):
         for batch in batches:
             if batch.num_rows:
                 kind, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-                held.append((textvec.mix64(keys + _MARK[kind]) >> np.uint64(8), batch.column(2).to_numpy().astype(np.float32)))
+                held.append((textvec.mix64(keys + _MARK[kind]) >> np.uint64(8), whole(batch.column(2).to_numpy(), FINE_DELTA)))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield rows()
                     held = []
@@ -158,7 +169,7 @@ def _packed(shards: int):
 def _merged(table: pa.Table) -> pa.Table:
     """One row of a shard: its features in order."""
     h = np.concatenate([_places(x) for x in table.column("steps").to_pylist()])
-    delta = np.concatenate([unpack(x, np.float32) for x in table.column("deltas").to_pylist()])
+    delta = np.concatenate([unpack(x, np.uint64) for x in table.column("deltas").to_pylist()])
     order = np.argsort(h)
     out = [[table.column("shard")[0].as_py()], [_steps(h[order])], [pack(delta[order])]]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "steps", "deltas"])
@@ -348,9 +359,9 @@ def _scorer(shared, shards: int, unknown: float):
 
 def _answered(asked: pa.Table, features: pa.Table) -> pa.Table:
     """What a shard's features add to each document that asked, by slice; rows about documents go through."""
-    h, delta = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    h, delta = np.zeros(0, np.uint64), np.zeros(0)
     if features.num_rows:
-        h, delta = _places(features.column("steps")[0].as_py()), unpack(features.column("deltas")[0].as_py(), np.float32)
+        h, delta = _places(features.column("steps")[0].as_py()), real(unpack(features.column("deltas")[0].as_py(), np.uint64), FINE_DELTA)
     out = []
     for number, steps, docs, about in zip(*(asked.column(c).to_pylist() for c in ("slice", "steps", "docs", "about")), strict=True):
         if about is not None:
@@ -359,8 +370,7 @@ def _answered(asked: pa.Table, features: pa.Table) -> pa.Table:
         at, known = _find(h, _places(steps))
         who, where = np.unique(unpack(docs, np.uint32)[known], return_inverse=True)
         if len(who):
-            sums = np.round(np.bincount(where, weights=delta[at[known]]) * FINE).astype(np.int64)
-            out.append((number, _steps(who.astype(np.uint64)), pack((np.abs(sums) << 1 | (sums < 0)).astype(np.uint64)), None))
+            out.append((number, _steps(who.astype(np.uint64)), pack(whole(np.bincount(where, weights=delta[at[known]]), FINE_SUM)), None))
     columns = zip(*out, strict=True) if out else ([],) * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slice", "docs", "sums", "about"])
 
@@ -373,8 +383,7 @@ def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(docs.num_rows + len(sizes))
     for who, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist(), strict=True):
         if who is not None:
-            sums = unpack(sums, np.uint64).astype(np.int64)
-            total[_places(who).astype(np.int64)] += np.where(sums & 1, -1, 1) * (sums >> 1) / FINE
+            total[_places(who).astype(np.int64)] += real(unpack(sums, np.uint64), FINE_SUM)
     own = total[: docs.num_rows] + np.bincount(users, weights=np.repeat(total[docs.num_rows :], sizes), minlength=docs.num_rows)
     log = docs.column("log").to_numpy() + own
     return docs.replace_schema_metadata(None).set_column(4, "log", pa.array(log))
