@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_space(x: Column, final_newline: bool = False) -> Column:
     """Line ends to LF, no blanks at line ends or around the text; blank text becomes empty."""
     x = F.regexp_replace(x, r"\r\n|\r", "\n")
@@ -193,8 +198,8 @@ def resolve_answer(answer: Column, options: Column) -> Column:
 def own_line(x: Column, token: str, has_media: Column) -> Column:
     """The visual token on a line of its own where there is media, and nowhere where there is none."""
     without = normalize_space(F.replace(x, F.lit(token), F.lit("")))
-    bare = F.regexp_replace(without, r"\A\n+|\n+\z", "")
-    return F.when(has_media, F.when(bare == "", F.lit(token)).otherwise(F.concat(F.lit(token + "\n"), bare))).otherwise(bare)
+    shown = lambda b: F.when(has_media, F.when(b == "", F.lit(token)).otherwise(F.concat(F.lit(token + "\n"), b))).otherwise(b)
+    return let(F.regexp_replace(without, r"\A\n+|\n+\z", ""), shown)
 
 
 def restore_if_empty(x: Column, fallback: Column) -> Column:
