@@ -317,7 +317,7 @@ def _scorer(shared, shards: int, unknown: float):
             asked.append((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) + first))
             n = about.num_rows
             logs = np.bincount(doc, weights=log, minlength=n)
-            meta.append(pa.RecordBatch.from_arrays([*about.columns, pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(logs)], names=["doc_id", "lang", "trusted", "n_tokens", "log"]))
+            meta.append(pa.RecordBatch.from_arrays([*about.columns, pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(logs.astype(float))], names=["doc_id", "lang", "trusted", "n_tokens", "log"]))
             first += n
             tokens += len(keys)
 
