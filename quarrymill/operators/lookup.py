@@ -107,7 +107,7 @@ def positional(df: DataFrame, requests: DataFrame, position: str = "row_pos", re
 
 def ordered_children(children: DataFrame, parent: str, order: Sequence[str], value: str, out: str = "items") -> DataFrame:
     """Each parent's values as one array in order."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, value)))
+    packed = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, value]))))
     return children.groupBy(parent).agg(F.transform(packed, lambda x: x[value]).alias(out))
 
 
