@@ -8,8 +8,10 @@ per-coordinate rates and the L1 term leave few weights, which are broadcast.
 Scoring reads every whole text and nothing but the text.
 
 Defined results: null and empty texts are scored by the bias alone; a null id is
-never held out; labels of one id that disagree count as toxic; with no labelled
-rows at all every score is 0.5.
+never held out; labels of one id that disagree count as toxic; repeated documents
+are scored one by one, alike, and learned from as often as they are drawn; texts of
+any length are read whole; with no labelled rows at all every score is 0.5; an empty
+table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
