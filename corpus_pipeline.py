@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; run() writes each result to the shared folder and reads it again.
+
+Defined results: null texts count as empty and go with the quality rules, as empty
+ones do; null ids, languages and sources are values like others; of rows that repeat
+a text the one with the largest id stays, of rows that repeat id and text one by a
+digest; an empty table gives an empty result; further columns are kept by all stages
+but the last; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -50,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Near dedup and packing can't be said in SQL; tests hold them against brute force.
+#: Near dedup and packing can't be said in SQL; a test holds run() against its stages said plainly.
 ORACLE_SQL = None
 
 
