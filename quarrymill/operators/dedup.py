@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by order; combined in each task before the shuffle."""
@@ -17,18 +19,9 @@ def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def first_seen_ids(df: DataFrame, key: Sequence[str], order: Sequence[str], id_name: str = "id") -> DataFrame:
-    """Distinct keys numbered 0, 1, ... in the order in which they first occur.
-
-    Ranges of the order are counted first and numbered within themselves, so no
-    task has to order all keys.
-    """
+    """Distinct keys numbered 0, 1, ... in the order in which they first occur; keys that begin together go by key."""
     seen = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("__first"))
-    n = max(1, seen.sparkSession.sparkContext.defaultParallelism)
-    ranged = seen.repartitionByRange(n, "__first").withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").count()
-    before = sizes.select("__part", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(W.partitionBy("__part").orderBy("__first"))
-    return ranged.withColumn("__n", within).join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__n") - 1).cast("long").alias(id_name), *key)
+    return numbered(seen, ["__first", *key], place=id_name).select(id_name, *key)
 
 
 def collisions(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

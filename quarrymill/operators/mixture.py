@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def offsets(sizes: DataFrame, name: str, size: str) -> DataFrame:
     """Where each source begins when all are put one after another; runs over sources, not rows."""
@@ -16,12 +18,7 @@ def offsets(sizes: DataFrame, name: str, size: str) -> DataFrame:
 
 def ordinals(df: DataFrame, source: str, order: Sequence[str]) -> DataFrame:
     """Each row's place in its source, from 0: ranges are counted first, so no task orders a whole source."""
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(n, source, *order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part", source).count()
-    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(W.partitionBy(source).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = F.row_number().over(W.partitionBy("__part", source).orderBy(*order))
-    return ranged.withColumn("__n", within).join(before, ["__part", source]).withColumn("pos", (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__part", "__n", "__before")
+    return numbered(df, order, [source])
 
 
 def schedule(sizes: Mapping[str, int], batch: int, weights: Mapping[str, float] | None = None, stop: str = "all_exhausted", seed: int = 0) -> list[tuple[int, str, int, int, int]]:
@@ -56,17 +53,22 @@ def take_turns(df: DataFrame, source: str, order: Sequence[str], batch: int) ->
     return placed.select(source, *order, F.expr(f"pos DIV {batch}").alias("turn"), "seat", (F.col("pos") % batch).alias("slot"))
 
 
+def digest(seed: int | None, *columns: str) -> Column:
+    """What a seeded order sorts by."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
 def draws(spark: SparkSession, sizes: Mapping[str, int], source: str, batch: int, weights: Mapping[str, float], stop: str = "all_exhausted", seed: int = 0) -> DataFrame:
     """block, source, round, part of each block of an epoch, as schedule has them for weights.
 
-    The source of a block hangs on a hash of seed and block, so tasks draw by
+    The source of a block hangs on a digest of seed and block, so tasks draw by
     themselves. A source's draws are numbered by range sums: the number says round
     and part, and the first draw past the parts uses the source up.
     """
     if any(weights[k] <= 0 for k in sizes):
         raise ValueError("each source needs a weight above zero")
     names, parts, total = list(sizes), {k: -(-n // batch) for k, n in sizes.items()}, sum(weights[k] for k in sizes)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "block"), F.lit(1 << 53)) / float(1 << 53) * total
+    draw = F.conv(F.substring(digest(seed, "block"), 1, 13), 16, 10).cast("long") / float(1 << 52) * total
     name, count, upto = F.lit(names[-1]), F.lit(parts[names[-1]]), total
     for k, after in zip(names[-2::-1], names[:0:-1], strict=True):
         upto -= weights[after]
@@ -87,9 +89,7 @@ def interleave(df: DataFrame, source: str, order: Sequence[str], plan: DataFrame
     """source, round, order, block, slot: rows by the blocks of draws, in an order of its own for each round."""
     last = plan.groupBy(source).agg(F.max("round").alias("__last"))
     rounds = df.select(source, *order).join(F.broadcast(last), source).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), "__last")))
-    # The lane carries source and round, so ranges are counted over the very columns that are numbered.
-    laned = rounds.select(F.struct(source, "round").alias("__lane"), F.xxhash64(F.lit(seed), "round", *order).alias("__key"), *order)
-    placed = ordinals(laned, "__lane", ["__key", *order]).select(F.col(f"__lane.{source}").alias(source), "__lane.round", *order, "pos")
+    placed = numbered(rounds.withColumn("__key", digest(seed, "round", *order)), ["__key", *order], [source, "round"]).drop("__key", "__last")
     placed = placed.withColumn("part", F.expr(f"pos DIV {batch}"))
     return placed.join(plan, [source, "round", "part"]).select(source, "round", *order, "block", (F.col("pos") % batch).alias("slot"))
 
@@ -110,7 +110,7 @@ def shard(position: str, block: int, world: int) -> F.Column:
 def chunk_order(df: DataFrame, position: str, chunk: int, seed: int) -> DataFrame:
     """Chunks in seeded order, rows inside as they were: adds chunk and chunk_key to sort by."""
     c = F.floor(F.col(position) / chunk).cast("long")
-    return df.withColumn("chunk", c).withColumn("chunk_key", F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string"))))
+    return df.withColumn("chunk", c).withColumn("chunk_key", digest(seed, "chunk"))
 
 
 def sample(df: DataFrame, n: int, order: Sequence[str], seed: int | None = None) -> DataFrame:
@@ -190,8 +190,7 @@ def rank_samples(df: DataFrame, order: Sequence[str], total: int, ranks: int, se
         raise ValueError("ranks must be 1 or more")
     each = max(0, -(-(total - ranks) // ranks)) if drop_last and total % ranks else -(-total // ranks)
     size = each * ranks
-    shuffled = df.withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(seed)), *order)) if seed is not None else F.lit(""))
-    placed = ordinals(shuffled.withColumn("__all", F.lit(0)), "__all", ["__key", *order]).drop("__all", "__key")
+    placed = numbered(df, order) if seed is None else numbered(df.withColumn("__key", digest(seed, *order)), ["__key", *order]).drop("__key")
     if drop_last or total == 0:
         placed = placed.where(F.col("pos") < size)
     else:
@@ -205,8 +204,8 @@ def rank_samples(df: DataFrame, order: Sequence[str], total: int, ranks: int, se
 def shuffled_chunks(df: DataFrame, position: str, chunk: int, total: int, seed: int, drop_last: bool = False) -> DataFrame:
     """df with `place`: whole chunks in seeded order, order kept inside; a short last chunk comes last or is dropped."""
     whole = total // chunk
-    numbers = df.sparkSession.range(whole).select(F.col("id").alias("__chunk"), F.md5(F.concat_ws(":", F.lit(str(seed)), "id")).alias("__key"))
-    order = ordinals(numbers.withColumn("__all", F.lit(0)), "__all", ["__key", "__chunk"]).select("__chunk", F.col("pos").alias("__at"))
+    numbers = df.sparkSession.range(whole).select(F.col("id").alias("__chunk"), digest(seed, "id").alias("__key"))
+    order = numbered(numbers, ["__key", "__chunk"], place="__at").drop("__key")
     marked = df.withColumn("__chunk", F.floor(F.col(position) / chunk).cast("long"))
     out = marked.join(order, "__chunk", "left").withColumn("place", (F.coalesce("__at", F.lit(whole)) * chunk + F.pmod(position, F.lit(chunk))).cast("long"))
     return (out.where(F.col("__at").isNotNull()) if drop_last else out).drop("__chunk", "__at")

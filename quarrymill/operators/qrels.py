@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .dedup import first_rows
+from .numbering import numbered
+
 
 def group_pairs(pairs: DataFrame, query: str, candidate: str, score: str, order: Sequence[str], extras: Sequence[str] = ()) -> DataFrame:
     """query_id, candidate_ids, candidate_scores and extras as aligned arrays in order."""
@@ -62,24 +64,10 @@ def aligned(qrels: DataFrame, queries: DataFrame, position: str = "pos", query:
 
 def global_pool(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key by order, with its place among them as id."""
-    from .dedup import first_rows, first_seen_ids
-
-    return first_rows(rows, [key], order).join(first_seen_ids(rows, [key], order), key)
+    return numbered(first_rows(rows, [key], order), [*order, key], place="id")
 
 
 def private_candidates(queries: DataFrame, candidates: str, order: Sequence[str]) -> DataFrame:
-    """Candidates of each query with running numbers over all queries.
-
-    Ranges of the order are summed first and numbered within themselves, so no
-    task has to order all queries. Ranges hold nothing but order and size: both
-    reads of them are of one exchange.
-    """
-    flat = queries.select(*order, F.posexplode(candidates).alias("pos", "text"))
-    sizes = queries.select(*order, F.greatest(F.size(candidates), F.lit(0)).alias("n"))
-    parts = max(1, queries.sparkSession.sparkContext.defaultParallelism)
-    ranged = sizes.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = ranged.groupBy("__part").agg(F.sum("n").alias("n")).select("__part", upto(W.orderBy("__part")).alias("start"))
-    before = ranged.withColumn("within", upto(W.partitionBy("__part").orderBy(*order))).join(F.broadcast(starts), "__part")
-    before = before.select(*order, (F.col("start") + F.col("within")).alias("before"))
-    return flat.join(before, list(order)).select(*order, (F.col("before") + F.col("pos")).cast("long").alias("candidate_id"), "text")
+    """Candidates of each query with running numbers over all queries."""
+    flat = queries.select(*order, F.posexplode(candidates).alias("__at", "text"))
+    return numbered(flat, [*order, "__at"], place="candidate_id").select(*order, "candidate_id", "text")

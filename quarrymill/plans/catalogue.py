@@ -441,7 +441,14 @@ def round_robin_interleave(t: Tables) -> DataFrame:
     return mixture.take_turns(t.documents.select("doc_id", "lang"), "lang", ["doc_id"], 32).select("doc_id", "lang", "turn", "seat", "slot")
 
 
-@query()
+@query("""WITH s AS (SELECT lang, (n + 31) // 32 AS parts, row_number() OVER (ORDER BY lang) - 1 AS seat, count(*) OVER () AS k, max(n) OVER () AS most FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)),
+blocks AS (SELECT any_value(k) AS k, unnest(range(0, 64 + any_value(k) * any_value(most))) AS block FROM s),
+drawn AS (SELECT block, floor(('0x' || substr(md5('3:' || block), 1, 13))::BIGINT / 4503599627370496.0 * k)::BIGINT AS seat FROM blocks),
+dealt AS (SELECT block, lang, parts, row_number() OVER (PARTITION BY lang ORDER BY block) - 1 AS pos FROM drawn JOIN s USING (seat)),
+plan AS (SELECT block, lang, pos // parts AS round, pos % parts AS part FROM dealt WHERE block < (SELECT max(block) FROM dealt WHERE pos = parts)),
+rounds AS (SELECT doc_id, lang, unnest(range(0, m + 1)) AS round FROM documents JOIN (SELECT lang, max(round) AS m FROM plan GROUP BY lang) USING (lang)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang, round ORDER BY md5('3:' || round || ':' || doc_id), doc_id) - 1 AS pos FROM rounds)
+SELECT p.lang, p.round::BIGINT AS round, doc_id, block::BIGINT AS block, (pos % 32)::BIGINT AS slot FROM placed p JOIN plan ON p.lang = plan.lang AND p.round = plan.round AND part = pos // 32""")
 def weighted_shuffled_interleave(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "lang")
     sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy("lang").collect()}
