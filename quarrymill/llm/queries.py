@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, near_dedup, packing, pii, quality_lm, quality_rules, sql, toxicity, url_filters
+from . import exact_dedup, fill_middle, filter_audit, html_text, mixing, multi_index, near_dedup, packing, pii, quality_lm, quality_rules, sql, toxicity, url_filters
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours_of_every(read(spark, sf_dir, "embeddings"), 100, 10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE_SQL = {
@@ -71,6 +86,8 @@ ORACLE_SQL = {
     "op4_mixing": sql.MIXING,
     "op6_url_filters": sql.URL_FILTERS,
     "op10_exact_dedup": sql.EXACT_DEDUP,
+    "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
+    "op12_filter_audit": sql.FILTER_AUDIT,
 }
 
 

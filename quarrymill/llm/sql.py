@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .fill_middle import KEPT_PERCENT, MIDDLE, PREFIX, SEED, SPM_PERCENT, SUFFIX
+from .filter_audit import CAPITALS_PERCENT, DISTINCT_PERCENT, FILTERS
+from .filter_audit import MIN_WORDS as AUDIT_WORDS
+from .filter_audit import SIGNS
 from .mixing import Mix
 from .quality_rules import CAPITALS, FENCE, MARKS, METRICS, MIN_ROWS, MIN_WORDS
 from .url_filters import LISTED_NAMES, LISTED_SUFFIXES, RULES
@@ -119,3 +123,32 @@ planned AS (SELECT *, (epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGI
 
 
 MIXING = f"WITH {mixing_plan()} SELECT doc_id, domain, lang, source, n_tokens, times FROM planned"
+
+
+FILL_IN_MIDDLE = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+u AS (SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS c2,
+  CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') OR ('0x' || h[17:24])::BIGINT % 100 >= {KEPT_PERCENT} THEN 'plain'
+       WHEN ('0x' || h[25:32])::BIGINT % 100 < {SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM t),
+cut AS (SELECT *, array_to_string(units[1:least(c1, c2)], '') AS p, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(units[greatest(c1, c2) + 1:], '') AS s FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{PREFIX}' || p || '{SUFFIX}' || s || '{MIDDLE}' || m ELSE '{SUFFIX}' || s || '{PREFIX}' || p || '{MIDDLE}' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM cut"""
+
+FILTER_AUDIT = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, len(w) < {AUDIT_WORDS} AS a, 100 * len(list_distinct(w)) < {DISTINCT_PERCENT} * len(w) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {CAPITALS_PERCENT} * length(text) AS c, regexp_matches(text, '[{SIGNS}]') AS d,
+  coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS e FROM t LEFT JOIN said ON said.doc_id = t.doc_id),
+masks AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['{"', '".join(FILTERS)}']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, list_transform(string_split(filter_order[1:step], ''), lambda x: ascii(x) - 64) AS upto FROM orders, range(1, 6) r(step)),
+met AS (SELECT part, filter_order, step, own, n, good, bad, fails[ascii(own) - 64] AS failing, len(list_filter(upto[1:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS how_many FROM masks, steps),
+counted AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failing AND how_many = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN bad ELSE 0 END) AS toxic_lost FROM met GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted"""
