@@ -111,3 +111,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: s
     hot = rows.join(F.broadcast(large), on)
     cold = rows.join(F.broadcast(large.select(*on)), on, "left_anti")
     return hot.unionByName(cold.join(groups.where(F.col(size) < least), on, how))
+
+
+def join_values(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Left join_groups by columns of any type in which a null is a value like others; of groups the other columns are added."""
+    keys = fresh(rows, *on)
+    as_key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    groups = groups.select(*[as_key(c).alias(k) for c, k in zip(on, keys, strict=True)], *[c for c in groups.columns if c not in on])
+    return join_groups(rows.withColumns({k: as_key(c) for c, k in zip(on, keys, strict=True)}), groups, keys, size, total, "left").drop(*keys)

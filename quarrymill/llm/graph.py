@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import drop_table, join_groups, write_table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One step over edges (a, b): link neighbours to the least node around, larger ones (large) or smaller ones."""
     if large:
         ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         ways = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = ways.join(least, "u")
+    least = write_table(ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")), "least")
+    linked = join_groups(ways, least, "u", "degree", n_edges)  # a hub meets its edges by broadcast
     if large:
         out = linked.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
@@ -32,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = digest(edges)
     while before[0]:
-        stepped = write_table(_star(_star(edges, True), False), "edges")
+        stars = write_table(_star(edges, True, 2 * before[0]), "edges")
+        stepped = write_table(_star(stars, False, before[0]), "edges")
+        drop_table(stars)
         drop_table(edges)
         edges, now = stepped, digest(stepped)
         if now == before:

@@ -45,6 +45,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Buckets up to SMALL rows are paired by a join, larger ones in blocks of about BLOCK rows.
 SMALL, BLOCK = 24, 256
+#: Pairs of one class that are confirmed together, where no more of its pairs are a larger share of all.
+PART = 2048
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,16 +158,28 @@ def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the similarity."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"r{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = write_table(pairs, "pairs")
+    # The lead of a large bucket is in all its pairs: such a class meets them by broadcast of its registers.
+    partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).join(side("a"), "a")
+    partners, n_pairs = write_table(partners, "partners"), pairs.count()
+    near = join_groups(pairs.join(side("b"), "b"), partners, "a", "partners", n_pairs).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     target = percent / 100
     least = target - 5 * (target * (1 - target) / REGISTERS) ** 0.5
     near = near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(estimate, "a long, b long, na long, nb long, similarity double")
     near = write_table(near.where(F.col("similarity") >= least).select("a", "b", "na", "nb"), "near-pairs")
+    drop_table(partners)
     full = sets(near)
-    both = near.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    # The set of b travels with each pair, the set of a to each part of its pairs.
+    share = max(PART, near.count() // 10_000)
+    parts = near.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > share).select("a", F.ceil(F.col("c") / share).cast("int").alias("parts"))
+    parts = write_table(parts, "parts")  # ten thousand at most
+    dealt = near.join(F.broadcast(parts), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    ahead = full.toDF("a", "sa").join(F.broadcast(parts), "a", "left").select("a", "sa", copies)
+    both = dealt.join(full.toDF("b", "sb"), "b").join(ahead, ["a", "part"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
     links = write_table(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
-    drop_table(near)
-    drop_table(full)
+    for table in (pairs, near, full, parts):
+        drop_table(table)
     return links
 
 

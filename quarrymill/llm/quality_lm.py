@@ -15,16 +15,19 @@ features, the tail, are dealt to shards by hash; a bounded filter of each shard
 tells which of a text's features may be there, and only those are sent to it. There
 they meet the counts in one cogroup, and partial sums by document come back. A
 feature that many documents of a slice need is asked for once for all of them.
-Perplexity is then compared with the quantiles of the document's language.
+Perplexity is then compared with what trusted text of the language reaches that the
+model hasn't seen: one trusted document in FOLDS is left out of it.
 
 Where the tail has more than some ten million features the filters fill up and
 more features are sent that have no count; results are the same.
 
-Defined results: texts without a token have perplexity 0 and are kept; null
-language is a language of its own; repeated rows and null ids are judged row by
-row; texts of any length are read whole, a task holds one and its tokens at a
-time; without trusted text every token is unknown and all documents are kept
-alike; an empty table gives an empty result; further columns are not read.
+Defined results: texts without a token have perplexity 0 and are kept; a perplexity
+equal to its limit stays; of labels that repeat an id any 1 makes it trusted; null
+language is a language of its own; a null id is never trusted; repeated rows and null
+ids are judged row by row; texts of any length are read whole, a task holds one and
+its tokens at a time; without trusted text every token is unknown, and without
+held-out text there is no limit (null): all documents are kept; an empty table gives
+an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -38,15 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules, textvec
-from .common import drop_table, write_buckets, write_table
+from .common import drop_table, join_values, write_buckets, write_table
 
 HEAD_WORDS, HEAD_BIGRAMS = 1 << 18, 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
+#: One trusted document in FOLDS is held out; limits are what REACH of those reach, by language if there are MIN_HELD_OUT.
+FOLDS, REACH, MIN_HELD_OUT = 10, 0.99, 50
 #: Tokens that a task holds at once, features of a shard, bits of all filters together.
 HELD, SHARD_FEATURES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 27
 #: A feature that more documents of a slice share is asked for once.
 SHARED = 256
-#: Tail features, and sums that come back, are whole numbers of these parts.
+#: Features, and sums that come back, are whole numbers of these parts.
 FINE_DELTA, FINE_SUM = 1 << 11, 1 << 14
 START = np.uint64(1)
 LOW = np.uint64(0xFFFFFFFF)
@@ -123,6 +128,11 @@ def real(n: np.ndarray, parts: int) -> np.ndarray:
     return np.where(n & 1, -1.0, 1.0) * (n >> 1) / parts
 
 
+def stepped(x: np.ndarray) -> np.ndarray:
+    """Features of the heads in the same parts as those of the tail (float32 holds them exactly), so that a sum doesn't hang on where a head ends."""
+    return real(whole(x, FINE_DELTA), FINE_DELTA).astype(np.float32)
+
+
 def _steps(h: np.ndarray) -> bytes:
     """Sorted hashes, packed as differences."""
     return pack(np.diff(h, prepend=np.zeros(1, np.uint64)))
@@ -232,8 +242,9 @@ class Model:
         pairs = _deltas(counts.where(F.col("c") >= bigram_cut), words, word_cut, d).toArrow()
         keys = pairs.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        heads = [head.column(0).to_numpy().view(np.uint64), *[head.column(k).to_numpy().astype(np.float32) for k in (1, 2)], keys[order], pairs.column(1).to_numpy().astype(np.float32)[order]]
-        del head, pairs, keys, order
+        uni, gamma, delta = (stepped(x) for x in (head.column(1).to_numpy() - np.log(self.unknown), head.column(2).to_numpy(), pairs.column(1).to_numpy()[order]))
+        heads = [head.column(0).to_numpy().view(np.uint64), uni, gamma, keys[order], delta]
+        del head, pairs, keys, order, uni, gamma, delta
         rest = words.where(F.col("c") < word_cut)
         tail = _deltas(counts.where(F.col("c") < bigram_cut), words, word_cut, d).selectExpr(f"{BIGRAM} AS kind", "key", "delta")
         tail = tail.unionByName(rest.selectExpr(f"{WORD} AS kind", "w AS key", f"uni - ln({self.unknown}D) AS delta")).unionByName(rest.selectExpr(f"{CONTEXT} AS kind", "w AS key", "gamma AS delta"))
@@ -307,7 +318,7 @@ def _scorer(shared, shards: int, unknown: float):
             parts = []
             for kind, key, (at, known), value in ((WORD, w, _find(words, w), uni), (CONTEXT, v, _find(words, v), gamma), (BIGRAM, keys, _find(pairs, keys), delta)):
                 if len(value):
-                    log += np.where(known, value[at] - (unseen if kind == WORD else 0), 0)
+                    log += np.where(known, value[at], 0)
                 h = feature(kind, key[~known])
                 where = shard_of(h, shards)
                 may = np.ones(len(h), bool)
@@ -404,22 +415,32 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_perplexity, limit, kept.
 
-    A document stays if its log perplexity lies within its language's fence, the
-    upper quartile and three times the quartiles' distance, or within what 99 of
-    100 trusted documents of its language reach.
+    One trusted document in FOLDS, by a checksum of its id, is held out: the model
+    doesn't see it. A document stays if its log perplexity is at most what REACH of
+    the held-out documents of its language reach, or within their upper fence (the
+    upper quartile and one and a half times the quartiles' distance), which few
+    documents tell better; a language with fewer than MIN_HELD_OUT of them takes the
+    limit of all languages together. Where all together are fewer, that limit lies as far
+    beyond the highest of them as the lowest lies below it.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     if good.count() <= MAX_BROADCAST_IDS:
         good = F.broadcast(good)
     marked = docs.select(F.col("doc_id").cast("long"), F.col("lang"), F.col("text").cast("string"))
-    marked = marked.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    model = Model(marked.where("trusted").select("text"))
-    scored = perplexities(marked, model)
+    marked = marked.join(good.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    aside = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0
+    model = Model(marked.where(F.col("good") & ~aside).select("text"))
+    scored = perplexities(marked.withColumn("trusted", F.col("good") & aside).drop("good"), model)
     drop_table(model.features)
-
-    metric = ["log_perplexity"]
-    fence = quality_rules.fences(quality_rules.sketch(scored, ["lang"], metric), ["lang"], far=3).drop("metric", "rows")
-    reach = scored.where("trusted").groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.99, 10000).alias("reach")).withColumnRenamed("lang", "l")
-    limits = fence.join(reach, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("l"), F.greatest("fence", "reach").alias("limit"))
-    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left")
-    return out.select("doc_id", "n_tokens", "log_perplexity", "limit", (F.col("log_perplexity") <= F.col("limit")).alias("kept"))
+    model.shared.destroy()
+
+    at = F.percentile_approx("log_perplexity", [0.25, 0.75, REACH], 10000)
+    metric = F.greatest(at[2], at[1] + F.floor((at[1] - at[0]) * 1.5))
+    unseen = scored.where("trusted AND n_tokens > 0")
+    own = unseen.groupBy(F.col("lang").alias("l")).agg(metric.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HELD_OUT).drop("n")
+    low, high = F.min("log_perplexity"), F.max("log_perplexity")
+    least = unseen.agg(F.when(F.count(F.lit(1)) < MIN_HELD_OUT, 2 * high - low).otherwise(metric).alias("any"))  # one row
+    groups = scored.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")).join(own, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(least))
+    groups = write_table(groups.select("lang", "n_rows", F.coalesce("own", "any").alias("limit")), "lm-limits")
+    out = join_values(scored, groups, ["lang"], "n_rows", scored.count())
+    return out.select("doc_id", "n_tokens", "log_perplexity", "limit", F.coalesce((F.col("log_perplexity") <= F.col("limit")) | (F.col("n_tokens") == 0), F.lit(True)).alias("kept"))

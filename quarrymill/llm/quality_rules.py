@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import bloom
-from .common import fresh, word_array, write_table
+from .common import fresh, join_values, word_array, write_table
 
 MIN_WORDS = 50
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -140,9 +140,11 @@ def limits(measured: DataFrame) -> DataFrame:
 
 
 def _verdicts(measured: DataFrame) -> DataFrame:
-    """measured with the column kept. The limits have a row for each language and source, so their join is small on that side."""
+    """measured (a written table) with the column kept. Large groups meet their limits by broadcast, so no row of theirs is shuffled."""
     own = limits(measured).withColumnRenamed("lang", "l").withColumnRenamed("source", "s")
-    joined = measured.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
+    sizes = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_rows"))
+    groups = sizes.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+    joined = join_values(measured, write_table(groups, "limits"), ["lang", "source"], "n_rows", measured.count())
     within = F.lit(True)
     for m in METRICS:
         within = within & (F.col(m) <= F.col(f"max_{m}"))

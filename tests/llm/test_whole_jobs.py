@@ -4,8 +4,10 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -46,13 +48,50 @@ def test_quality_model_counts_bigrams_seen_once_and_twice(spark, monkeypatch):
     texts = [*trusted, "a b c d e", "m n o p q", "z z", "g a f b"]
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
-    want = {i: max(0, round(1000 * kneser_ney(trusted, t))) for i, t in enumerate(texts)}
+    seen = [t for i, t in enumerate(trusted) if zlib.crc32(str(i).encode()) % quality_lm.FOLDS]
+    want = {i: max(0, round(1000 * kneser_ney(seen, t))) for i, t in enumerate(texts)}
+    found = []
     for heads in ((1 << 19, 1 << 20, 256), (4, 3, 256), (2, 1, 1)):  # all in the heads, then most in the shards, then many asked for once
         monkeypatch.setattr(quality_lm, "HEAD_WORDS", heads[0])
         monkeypatch.setattr(quality_lm, "HEAD_BIGRAMS", heads[1])
         monkeypatch.setattr(quality_lm, "SHARED", heads[2])
         got = {r["doc_id"]: r["log_perplexity"] for r in quality_lm.classify(docs, labels).collect()}
         assert all(abs(got[i] - want[i]) <= 1 for i in want), (got, want)
+        found.append(got)
+    assert found[0] == found[1] == found[2]  # where a head ends changes no score
+
+
+def test_quality_verdict_by_what_unseen_trusted_text_reaches(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "MIN_HELD_OUT", 5)
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(300)])
+    made = lambda n, noise: " ".join(w if rng.random() > noise else f"zz{rng.integers(1 << 30)}" for w in rng.choice(words, n))
+    rows = [(i, ("en", None, "fr")[(i % 40 + 2) // 20], made(30, rng.random() * 0.3)) for i in range(600)] + [(1000, "en", ""), (1001, "xx", None), (1002, "xx", made(30, 1.0)), (1003, "xx", made(30, 0.0))]
+    labels = [(i, int(i % 4 > 0)) for i in range(400)] + [(3, 0), (7, 0)]  # two ids with both labels: trusted
+    got = {r["doc_id"]: r for r in quality_lm.classify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    held = {i: lang for i, lang, _ in rows if zlib.crc32(str(i).encode()) % quality_lm.FOLDS == 0 and i in {a for a, q in labels if q == 1}}
+
+    def reach(ids):
+        x = sorted(got[i]["log_perplexity"] for i in ids)
+        q1, q3, top = (x[math.ceil(q * len(x)) - 1] for q in (0.25, 0.75, quality_lm.REACH))
+        return max(top, q3 + (q3 - q1) * 3 // 2)
+
+    by_lang = {lang: [i for i in held if held[i] == lang] for lang in ("en", None, "fr", "xx")}
+    assert len(by_lang["en"]) >= 5 > len(by_lang["fr"]) > len(by_lang["xx"]) == 0
+    for i, lang, _ in rows:
+        limit = reach(by_lang[lang] if len(by_lang[lang]) >= 5 else held)
+        assert got[i]["limit"] == limit and got[i]["kept"] == (got[i]["log_perplexity"] <= limit or got[i]["n_tokens"] == 0), got[i]
+    assert not got[1002]["kept"] and got[1003]["kept"] and got[1000]["kept"] and got[1001]["kept"]
+
+
+def test_quality_verdict_by_label(spark):
+    """Most documents labelled bad go, few that are labelled good do, held-out ones included."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_lm.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").toPandas()
+    aside = np.array([zlib.crc32(str(i).encode()) % quality_lm.FOLDS == 0 for i in got["doc_id"]])
+    assert got[got["quality"] == 0]["kept"].mean() < 0.3
+    assert got[(got["quality"] == 1) & aside]["kept"].mean() > 0.97 and got[got["quality"] == 1]["kept"].mean() > 0.99
 
 
 @pytest.mark.parametrize(
