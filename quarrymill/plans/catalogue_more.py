@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import analytics, dedup, exclude, lookup, qrels
+from ..operators.staging import shared_dir
+from ..sources import archives
 from . import converters
 from .registry import Tables, query
 
@@ -374,3 +378,19 @@ def training_samples(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "source", "lang", F.col("lang").alias("body"))
     spec = converters.Samples(query="body", instruction={"en": "Represent the text: "}, default="Find the text: ", kind="lang", lookups=(lookup.Lookup(side, "doc_id", "key", {"positive": "positive"}),))
     return converters.samples(rows, spec).select("doc_id", "source", "query", "positive")
+
+
+# Archives.
+
+
+@query("SELECT source || '-' || (doc_id % 3)::VARCHAR || '.tar' AS archive, doc_id::VARCHAR AS stem, (doc_id % 7)::INT AS label, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id % 5 > 0")
+def archive_samples(t: Tables) -> DataFrame:
+    """Texts and classes written as tar members, then four of five samples found in the index, read by ranges and paired."""
+    docs = t.documents.select(F.concat("source", F.lit("-"), (F.col("doc_id") % 3).cast("string"), F.lit(".tar")).alias("archive"), F.col("doc_id").cast("string").alias("stem"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = F.create_map(F.lit(".txt"), "text", F.lit(".cls"), (F.col("doc_id") % 7).cast("string"))
+    rows = docs.select("archive", "stem", F.explode(both).alias("kind", "content")).select("archive", F.concat("stem", "kind").alias("member"), "content")
+    written = archives.write_tars(rows, f"{shared_dir(t.spark)}/tars-{uuid.uuid4().hex}").select("path").collect()  # one for each archive
+    index = archives.archive_index(t.spark, [r["path"] for r in written])
+    wanted = t.documents.where("doc_id % 5 > 0").select(F.explode(F.array(*[F.concat(F.col("doc_id").cast("string"), F.lit(x)) for x in (".txt", ".cls")])).alias("member"))
+    pairs = archives.paired_samples(archives.read_members(archives.selected(index, wanted)), 7, media=("txt",))
+    return pairs.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "stem", "label", F.sha2("image", 256).alias("text_sha256"))
