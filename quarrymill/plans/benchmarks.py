@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.analytics import summary
+from ..operators.staging import staged
 from ..sources.files import _listed
-from .retrieval import parse_metrics
+from .retrieval import dataset_results, evaluate_each, parse_metrics
 
 # Datasets by modality and task.
 DATASETS = {
@@ -71,3 +72,23 @@ def rollup(results: DataFrame, names: DataFrame, by_modality: Mapping[str, str])
     pick = F.create_map(*[F.lit(x) for kv in by_modality.items() for x in kv])
     counted = joined.where(F.col("metric") == F.try_element_at(pick, F.col("modality")))
     return summary(counted, "modality", "task_type", "value")
+
+
+def run(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, names: DataFrame, by_modality: Mapping[str, str], metrics: Sequence[str], skip_self: bool = False) -> DataFrame:
+    """All datasets of names (dataset, modality, task_type) evaluated in one plan: dataset, metric, value, n.
+
+    Beside the datasets' own rows there are those of `_summary`, `modality` and `modality/task_type`: the means of the
+    metric by which each modality is summed up, over datasets, n of them. A dataset without queries, and one that names lacks, raise.
+    """
+    lacks = sorted(set(by_modality.values()) - set(metrics))
+    if lacks:
+        raise ValueError(f"metrics lack {lacks}")
+    per = evaluate_each(queries, candidates, qrels, metrics, skip_self)
+    counts = per.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    empty = F.raise_error(F.concat(F.lit("no queries of dataset "), F.col("dataset"))).cast("long")
+    expected = names.select("dataset").join(counts, "dataset", "left").withColumn("n", F.coalesce("n", empty))
+    results = staged(dataset_results(per), "results")  # a row for each dataset and metric
+    own = expected.join(results, "dataset", "left").select("dataset", "metric", "value", "n")
+    means = rollup(results, names, {m: x.replace("@", "_") for m, x in by_modality.items()})
+    name = F.when(F.col("modality") == "all", "_summary").when(F.col("task") == "all", F.col("modality")).otherwise(F.concat_ws("/", "modality", "task"))
+    return own.unionByName(means.select(name.alias("dataset"), F.lit("mean").alias("metric"), F.col("mean").alias("value"), "n"))

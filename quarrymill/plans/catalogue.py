@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import analytics, dedup, exclude, lookup, mixture, qrels
-from . import retrieval
+from . import benchmarks, retrieval
 from .registry import QUERIES, SQL, Query, Tables, query
 
 # Retrieval: every twentieth vector is a query against all others; equal labels are relevant.
@@ -117,6 +117,31 @@ def label_accuracy(t: Tables) -> DataFrame:
     return retrieval.label_accuracy(e.select("vec_id", "embedding"), classes, labels, (1, 3))
 
 
+@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, q.label, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score,
+  c.vec_id % 4 = q.vec_id // 20 % 4 AS listed, CASE WHEN c.vec_id % 40 = q.vec_id // 20 % 40 THEN 1.0 + c.vec_id % 3 ELSE 0 END AS gain FROM e q JOIN e c ON q.label = c.label AND q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, rank, gain FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM pairs WHERE label % 3 > 0 OR listed) WHERE rank <= 10),
+got AS (SELECT query_id, max(CASE WHEN gain > 0 AND rank = 1 THEN 1.0 ELSE 0 END) AS hit_1, sum(gain / log2(rank + 1)) AS dcg FROM ranked GROUP BY query_id),
+ideal AS (SELECT query_id, sum(gain / log2(i + 1)) AS best FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i FROM pairs WHERE gain > 0) WHERE i <= 10 GROUP BY query_id),
+per AS (SELECT label, coalesce(hit_1, 0)::DOUBLE AS hit_1, coalesce(dcg / best, 0)::DOUBLE AS ndcg_10 FROM e LEFT JOIN got ON query_id = vec_id LEFT JOIN ideal ON ideal.query_id = vec_id WHERE vec_id % 20 = 0),
+own AS (SELECT label, avg(hit_1) AS hit_1, avg(ndcg_10) AS ndcg_10, count(*) AS n FROM per GROUP BY label),
+main AS (SELECT 'm' || (label % 2)::VARCHAR AS modality, 't' || (label % 4)::VARCHAR AS task, CASE label % 2 WHEN 0 THEN ndcg_10 ELSE hit_1 END AS value FROM own)
+SELECT 'd' || label::VARCHAR AS dataset, 'hit_1' AS metric, round(hit_1, 4) AS value, n FROM own UNION ALL SELECT 'd' || label::VARCHAR, 'ndcg_10', round(ndcg_10, 4), n FROM own
+UNION ALL SELECT CASE WHEN modality IS NULL THEN '_summary' WHEN task IS NULL THEN modality ELSE modality || '/' || task END, 'mean', round(avg(value), 4), count(*) FROM main GROUP BY GROUPING SETS ((modality, task), (modality), ())""")
+def benchmark_run(t: Tables) -> DataFrame:
+    """Each label is a dataset, its twentieth vectors the queries; every third dataset ranks only what its qrels list."""
+    e = t.embeddings.where("label IS NOT NULL").select(F.concat(F.lit("d"), F.col("label").cast("string")).alias("dataset"), "label", "vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0")
+    pairs = asked.selectExpr("dataset", "label", "vec_id AS query_id", "vec_id DIV 20 % 40 AS seat").join(e.selectExpr("dataset", "vec_id AS c", "vec_id % 4 AS four"), "dataset").where("c <> query_id AND four = seat % 4")
+    pairs = pairs.withColumn("gain", F.expr("CASE WHEN c % 40 = seat THEN 1.0D + c % 3 ELSE 0.0D END"))
+    judged = pairs.groupBy("dataset", "query_id", "label").agg(F.array_sort(F.collect_list(F.struct("c", "gain"))).alias("x"))
+    judged = judged.select("dataset", "query_id", F.expr("CASE WHEN label % 3 = 0 THEN 'exhaustive' END AS mode"), F.col("x.c").alias("candidate_ids"), F.col("x.gain").alias("candidate_scores"))
+    names = e.select("dataset", F.expr("'m' || label % 2 AS modality"), F.expr("'t' || label % 4 AS task_type")).distinct()
+    vectors = lambda df: df.select("dataset", "vec_id", "embedding")
+    out = benchmarks.run(vectors(asked), vectors(e), judged, names, {"m0": "ndcg@10", "m1": "hit@1"}, ["hit@1", "ndcg@10"], skip_self=True)
+    return out.select("dataset", "metric", F.round("value", 4).alias("value"), "n")
+
+
 POOL = "JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id % 50 = q.label % 50"
 
 

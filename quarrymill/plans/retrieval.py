@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot
 
-#: Queries of a block, candidates of a group, candidates that are scored at once.
-BLOCK, GROUP, RUN = 16384, 1 << 18, 2048
+#: Bytes of the vectors of a block of queries and of a group of candidates; candidates that are scored at once.
+GROUP_BYTES, RUN = 1 << 26, 2048
 # The metrics of a benchmark by default.
 DEFAULTS = tuple(f"{f}@{k}" for f in ("hit", "mrr", "map", "ndcg") for k in (1, 5, 10))
-FAMILIES = ("hit", "mrr", "map", "ndcg")
+BUILT_IN = ("hit", "mrr", "map", "ndcg")
+#: Families that a user has added: what makes the metric at k of gains by rank, gains of all positives (largest first) and k.
+ADDED: dict[str, Callable[[Column, Column, int], Column]] = {}
+
+
+def register_family(name: str, at_k: Callable[[Column, Column, int], Column]) -> None:
+    """Add a family of metrics, then known as name@k; a name that is taken or isn't a word raises.
+
+    at_k(gains, ideal, k) gives a double Column from two arrays of doubles: gains holds those of ranks 1 to
+    k (0 for what isn't relevant, shorter where fewer are ranked), ideal the k largest of the query's positives.
+    It may be made of built-in functions or call a pandas_udf.
+    """
+    if not re.fullmatch(r"[A-Za-z]\w*", name):
+        raise ValueError(f"{name!r} can't name a family of metrics")
+    if name in BUILT_IN or name in ADDED:
+        raise ValueError(f"family {name!r} is taken")
+    ADDED[name] = at_k
 
 
 def parse_metrics(names: Iterable[str]) -> list[tuple[str, int]]:
     """family@k, each once."""
-    out = list(dict.fromkeys((m[1], int(m[2])) for n in names if (m := re.fullmatch(r"(\w+)@([1-9]\d*)", n)) and m[1] in FAMILIES or _bad(n)))
+    out = list(dict.fromkeys((m[1], int(m[2])) for n in names if (m := re.fullmatch(r"(\w+)@([1-9]\d*)", n)) and (m[1] in BUILT_IN or m[1] in ADDED) or _bad(n)))
     if not out:
         raise ValueError("no metrics")
     return out
@@ -37,10 +53,11 @@ def _best(ids: np.ndarray, vectors: np.ndarray, there: np.ndarray, others: np.nd
     n = len(ids)
     top, who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
     order = np.argsort(there, kind="stable")
-    there, others = there[order], others[order]
+    there = there[order]
     for a in range(0, len(there), RUN):
+        some = others[order[a : a + RUN]].astype(float).T
         for q in range(0, n, 256):
-            scores = np.round(vectors[q : q + 256] @ others[a : a + RUN].T, 9)
+            scores = np.round(vectors[q : q + 256].astype(float) @ some, 9)
             names = np.broadcast_to(there[a : a + RUN], scores.shape)
             if skip_self:
                 scores[ids[q : q + 256, None] == names] = -np.inf
@@ -52,43 +69,83 @@ def _best(ids: np.ndarray, vectors: np.ndarray, there: np.ndarray, others: np.nd
     return q, who[q, c], top[q, c]
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, in the type they came in: no copy of them as Python values."""
+    lists = column.combine_chunks()
+    lengths = np.unique(np.diff(lists.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of a dataset have {lengths.tolist()} numbers")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def _group_best(k: int, skip_self: bool):
-    def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "candidate_id", "score"]
-        if asked.empty or there.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "candidate_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids = asked["id"].to_numpy()
-        matrix = lambda x: np.stack(x["vector"].to_numpy()).astype(float)
-        q, c, score = _best(ids, matrix(asked), there["id"].to_numpy(), matrix(there), k, skip_self)
-        return pd.DataFrame(dict(zip(names, (ids[q], c, score), strict=True)))
+    def run(asked: pa.Table, there: pa.Table) -> pa.Table:
+        name, found = None, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if asked.num_rows and there.num_rows:
+            name, ids = asked.column("dataset")[0].as_py(), asked.column("id").to_numpy()
+            q, c, score = _best(ids, _matrix(asked.column("vector")), there.column("id").to_numpy(), _matrix(there.column("vector")), k, skip_self)
+            found = ids[q], c, score
+        names = pa.array([name] * len(found[0]), pa.string())
+        return pa.Table.from_arrays([names, *map(pa.array, found)], names=["dataset", "query_id", "candidate_id", "score"])
 
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """query_id, candidate_id, score, rank of the k best candidates of each query, ties by id.
+def deal(sizes: Sequence[tuple[int, int, int]], tasks: int) -> list[tuple[int, int]]:
+    """Blocks of queries and groups of candidates for each dataset of (queries, candidates, bytes of a vector).
 
-    queries and candidates: (id long, vector array). Queries are dealt to blocks
-    and candidates to groups, both of bounded size; every block meets every group
-    in one task, which gives the k best of its group; a grouped limit merges those.
-    Nothing passes through the driver.
+    Both are so small that their vectors take GROUP_BYTES at most. Beyond that a dataset gets as many
+    groups as its share of all the work (queries times candidates times bytes) is of the tasks, but
+    none of fewer than RUN candidates: small datasets stay whole, large ones are spread.
     """
-    queries = queries.toDF("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL")
-    candidates = candidates.toDF("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL")
-    n_queries, n = queries.count(), candidates.count()
-    blocks = max(1, -(-n_queries // BLOCK))
-    spread = queries.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, -(-n // GROUP), min(spread, n // RUN))
-    deal = lambda df, many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
-    copies = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    asked = queries.withColumn("block", deal(queries, blocks)).withColumn("part", copies(groups))
-    there = candidates.withColumn("part", deal(candidates, groups)).withColumn("block", copies(blocks))
-    met = asked.groupBy("block", "part").cogroup(there.groupBy("block", "part"))
-    found = met.applyInPandas(_group_best(k, skip_self), "query_id long, candidate_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id"))
+    work = [max(1, q) * max(1, c) * size for q, c, size in sizes]
+    out = []
+    for (q, c, size), w in zip(sizes, work, strict=True):
+        fit = max(1, GROUP_BYTES // (size + 16))
+        blocks = max(1, -(-q // fit))
+        share = -(-w * tasks // sum(work)) // blocks
+        out.append((blocks, max(1, -(-c // fit), min(share, c // RUN))))
+    return out
+
+
+def top_k_each(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """dataset, query_id, candidate_id, score, rank: the k best candidates of each query within its dataset, ties by id.
+
+    queries and candidates: (dataset string, id long, vector array); a null dataset raises, null ids and vectors
+    take no part. All datasets go in one plan: queries of a dataset are dealt to blocks and its candidates to
+    groups, as many as `deal` says, every block meets every group of its dataset once, which gives the k best of
+    that group, and a grouped limit merges those. The driver sees the sizes of each dataset, no vectors.
+    """
+    spark = queries.sparkSession
+    named = F.coalesce(F.col("dataset"), F.raise_error(F.lit("a dataset without a name")).cast("string")).alias("dataset")
+    queries, candidates = (df.toDF("dataset", "id", "vector").where("id IS NOT NULL AND vector IS NOT NULL").select(named, "id", "vector") for df in (queries, candidates))
+    sizes: dict[str, list[int]] = {}
+    for at, df in enumerate((queries, candidates)):
+        number = 4 if df.schema["vector"].dataType.elementType.typeName() == "float" else 8
+        for r in df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).collect():  # a row for each dataset
+            own = sizes.setdefault(r["dataset"], [0, 0, 1])
+            own[at], own[2] = r["n"], max(own[2], number * r["d"])
+    both = {name: x for name, x in sizes.items() if x[0] and x[1]}
+    dealt = deal(list(both.values()), spark.sparkContext.defaultParallelism)
+    shape = spark.createDataFrame([(name, *x) for name, x in zip(both, dealt, strict=True)], "dataset string, blocks int, groups int")
+    pick = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
+    copies = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    asked, there = (df.join(F.broadcast(shape), "dataset") for df in (queries, candidates))
+    asked = asked.select("dataset", "id", "vector", pick("blocks").alias("block"), copies("groups").alias("part"))
+    there = there.select("dataset", "id", "vector", pick("groups").alias("part"), copies("blocks").alias("block"))
+    unit = ["dataset", "block", "part"]
+    met = asked.groupBy(*unit).cogroup(there.groupBy(*unit))
+    found = met.applyInArrow(_group_best(k, skip_self), "dataset string, query_id long, candidate_id long, score double")
+    rank = F.row_number().over(W.partitionBy("dataset", "query_id").orderBy(F.desc("score"), "candidate_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """query_id, candidate_id, score, rank of the k best candidates of each query, ties by id: top_k_each of one dataset."""
+    one = lambda df: df.toDF("id", "vector").select(F.lit("").alias("dataset"), "id", "vector")
+    return top_k_each(one(queries), one(candidates), k, skip_self).drop("dataset")
+
+
 def score_pool(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """The exhaustive mode: only the candidates that qrels (query_id, candidate_id) name for a query are ranked."""
     joined = qrels.select("query_id", "candidate_id").join(queries.toDF("query_id", "q"), "query_id").join(candidates.toDF("candidate_id", "c"), "candidate_id")
@@ -115,36 +172,69 @@ def relevance(qrels: DataFrame, candidates: DataFrame | None = None) -> DataFram
     return flat.groupBy("query_id", "candidate_id").agg(F.max_by("gain", "pos").alias("gain")).where("gain > 0")
 
 
-def rank_by_mode(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+def rank_by_mode(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, k: int, skip_self: bool = False, best: Callable[..., DataFrame] = top_k) -> DataFrame:
     """Rankings of queries by the mode of their qrels (query_id, mode, candidate_ids): sparse ones, and those without
-    a mode, among all candidates, exhaustive ones among their own; other modes raise."""
+    a mode, among all candidates (by `best`), exhaustive ones among their own; other modes raise."""
     mode = F.coalesce("mode", F.lit("sparse"))
     said = F.raise_error(F.concat(F.lit("unknown mode "), mode))
     modes = qrels.select("query_id", F.when(mode.isin("sparse", "exhaustive"), mode).otherwise(said).alias("mode"), "candidate_ids")
     queries = queries.toDF("id", "vector")
     pick = lambda m: queries.join(modes.where(F.col("mode") == m).select(F.col("query_id").alias("id")), "id", "left_semi")
     own = modes.where("mode = 'exhaustive'").select("query_id", F.explode(F.array_distinct("candidate_ids")).alias("candidate_id"))
-    everywhere = top_k(pick("sparse"), candidates, k, skip_self)
+    everywhere = best(pick("sparse"), candidates, k, skip_self)
     return everywhere.unionByName(score_pool(pick("exhaustive"), candidates, own, k))
 
 
-def evaluate(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, metrics: Iterable[str] = DEFAULTS, skip_self: bool = False) -> DataFrame:
-    """Metrics of each query of a dataset, from vectors and qrels; ranks beyond the pool add nothing."""
+def _evaluated(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, metrics: Iterable[str], skip_self: bool, best: Callable[..., DataFrame]) -> DataFrame:
     named = parse_metrics(metrics)
     ks = sorted({k for _, k in named})
-    ranked = rank_by_mode(queries, candidates, qrels, max(ks), skip_self)
+    ranked = rank_by_mode(queries, candidates, qrels, max(ks), skip_self, best)
     relevant = relevance(qrels, candidates.toDF("id", "vector"))
-    per = query_metrics(ranked, relevant, queries.toDF("query_id", "vector").select("query_id"), ks)
+    per = query_metrics(ranked, relevant, queries.toDF("query_id", "vector").select("query_id"), ks, [f for f, _ in named])
     return per.select("query_id", *[f"{f}_{k}" for f, k in named])
 
 
+def evaluate(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, metrics: Iterable[str] = DEFAULTS, skip_self: bool = False) -> DataFrame:
+    """Metrics of each query of a dataset, from vectors and qrels; ranks beyond the pool add nothing."""
+    return _evaluated(queries, candidates, qrels, metrics, skip_self, top_k)
+
+
+def _best_of_datasets(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """top_k_each of ids that carry their dataset: struct<dataset, id>."""
+    flat = lambda df: df.toDF("x", "vector").select("x.dataset", "x.id", "vector")
+    whole = lambda c: F.struct("dataset", F.col(c).alias("id")).alias(c)
+    return top_k_each(flat(queries), flat(candidates), k, skip_self).select(whole("query_id"), whole("candidate_id"), "score", "rank")
+
+
+def evaluate_each(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, metrics: Iterable[str] = DEFAULTS, skip_self: bool = False) -> DataFrame:
+    """dataset, query_id and metrics of each query of many datasets, in one plan however many there are.
+
+    queries, candidates: (dataset, id, vector); qrels: (dataset, query_id, mode, candidate_ids, candidate_scores). An id
+    means something within its dataset only: everything below goes by the pair of both. The checks are those of one
+    dataset: unknown modes, candidates that the dataset lacks and arrays of unequal length raise.
+    """
+    whole = lambda c: F.struct(F.col("dataset"), F.col(c).cast("long").alias("id"))
+    keyed = lambda df: df.toDF("dataset", "id", "vector").select(whole("id").alias("id"), "vector")
+    inner = F.transform("candidate_ids", lambda x: F.when(x.isNotNull(), F.struct(F.col("dataset").alias("dataset"), x.cast("long").alias("id"))))
+    judged = qrels.select(whole("query_id").alias("query_id"), "mode", inner.alias("candidate_ids"), "candidate_scores")
+    per = _evaluated(keyed(queries), keyed(candidates), judged, metrics, skip_self, _best_of_datasets)
+    return per.select("query_id.dataset", F.col("query_id.id").alias("query_id"), *per.columns[1:])
+
+
+def dataset_results(per_query: DataFrame) -> DataFrame:
+    """dataset, metric, value: the mean of each metric over the queries of each dataset."""
+    names = [c for c in per_query.columns if c not in ("dataset", "query_id")]
+    means = per_query.groupBy("dataset").agg(*[F.avg(c).alias(c) for c in names])
+    return means.select("dataset", F.explode(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
+
+
 def vector_metrics(queries: DataFrame, candidates: DataFrame, relevant: DataFrame, metrics: Iterable[str] = DEFAULTS, skip_self: bool = False) -> DataFrame:
     """The same from lists of relevant ids (query_id, candidate_ids), all of gain 1; ids that aren't candidates are left out."""
     named = parse_metrics(metrics)
     ks = sorted({k for _, k in named})
     pairs = relevant.select("query_id", F.explode(F.array_distinct("candidate_ids")).alias("candidate_id"), F.lit(1.0).alias("gain"))
     pairs = pairs.join(candidates.toDF("candidate_id", "vector").select("candidate_id"), "candidate_id", "left_semi")
-    per = query_metrics(top_k(queries, candidates, max(ks), skip_self), pairs, queries.toDF("query_id", "vector").select("query_id"), ks)
+    per = query_metrics(top_k(queries, candidates, max(ks), skip_self), pairs, queries.toDF("query_id", "vector").select("query_id"), ks, [f for f, _ in named])
     return per.select("query_id", *[f"{f}_{k}" for f, k in named])
 
 
@@ -155,8 +245,9 @@ def label_accuracy(queries: DataFrame, classes: DataFrame, labels: DataFrame, ks
     return ranked.groupBy("query_id").agg(*hits)
 
 
-def query_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """hit, mrr, map and ndcg at each k for every query; queries without positives score 0."""
+def query_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, ks: Sequence[int], families: Iterable[str] = ()) -> DataFrame:
+    """hit, mrr, map and ndcg at each k for every query, and the added families that are named; queries without positives score 0."""
+    added = {f: ADDED[f] for f in families if f in ADDED}
     most = max(ks)
     totals = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("gain"), asc=False).alias("ideal"))
     # The ideal list is cut before it travels on.
@@ -168,6 +259,8 @@ def query_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, ks
     sums = []
     for k in ks:
         sums += [F.min(within(k, F.col("rank"))).alias(f"first_{k}"), F.sum(within(k, F.col("hits") / F.col("rank"))).alias(f"ap_{k}"), F.sum(within(k, F.col("gain") / F.log2(F.col("rank") + 1.0))).alias(f"dcg_{k}")]
+    if added:
+        sums.append(F.array_sort(F.collect_list(F.struct("rank", "gain"))).alias("ranked"))  # as many as the largest k at most
     per = marked.groupBy("query_id").agg(*sums)
     out = queries.select("query_id").join(per, "query_id", "left").join(totals, "query_id", "left")
     columns = []
@@ -179,6 +272,9 @@ def query_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, ks
             F.coalesce(F.col(f"ap_{k}") / F.least(F.greatest("n", F.lit(1)), F.lit(k)), F.lit(0.0)).alias(f"map_{k}"),
             F.coalesce(F.col(f"dcg_{k}") / F.greatest(ideal, F.lit(1e-10)), F.lit(0.0)).alias(f"ndcg_{k}"),
         ]
+    gains = lambda c: F.coalesce(c, F.array().cast("array<double>"))
+    for f, at_k in added.items():
+        columns += [at_k(F.slice(gains(F.col("ranked.gain")), 1, k), F.slice(gains(F.col("ideal")), 1, k), k).cast("double").alias(f"{f}_{k}") for k in ks]
     return out.select("query_id", *columns)
 
 

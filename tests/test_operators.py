@@ -107,8 +107,7 @@ def test_relevance_refuses(spark):
 
 
 def test_top_k_in_blocks_equals_plain_sorting(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 7)
-    monkeypatch.setattr(retrieval, "GROUP", 40)
+    monkeypatch.setattr(retrieval, "GROUP_BYTES", 2000)
     monkeypatch.setattr(retrieval, "RUN", 16)
     rng = np.random.default_rng(0)
     vectors = rng.integers(-2, 3, (100, 3)).astype(float)  # many ties
