@@ -543,7 +543,7 @@ def choice_loss(t: Tables) -> DataFrame:
     return analytics.choice_loss(scored, "query", "place", "score", 2.0).select("query", F.round("loss", 6).alias("loss"), "pick", "correct")
 
 
-from . import catalogue_more, catalogue_quality, catalogue_training  # noqa: E402, F401  they register their queries
+from . import catalogue_more, catalogue_parsers, catalogue_quality, catalogue_training  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
