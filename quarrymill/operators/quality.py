@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from .media import picture_check
 
 IDS = ("sample_id", "relation_id", "asset_id")
 FINDING = "reason_code string, severity string, scope string, decision_hint string, dataset_name string, message string, sample_id string, relation_id string, asset_id string, metadata map<string,string>"
@@ -125,8 +126,11 @@ def cardinality(qrels: DataFrame, dataset: str, ids: str = "candidate_ids", scor
     return findings(qrels.where(a != b), "relation_cardinality_mismatch", dataset, message, {"relation_id": relation}, {"candidate_count": a, "score_count": b})
 
 
-def broken_media(df: DataFrame, dataset: str, images: str = "images", image: str = "image", sample: str = "sample_id", assets: str = "asset_ids", magic: Sequence[bytes] = MAGIC) -> DataFrame:
-    """Byte fields that start like no known picture, with their place; the single field counts where the array is empty, nulls don't."""
+def broken_media(df: DataFrame, dataset: str, images: str = "images", image: str = "image", sample: str = "sample_id", assets: str = "asset_ids", magic: Sequence[bytes] = MAGIC, whole: bool = False) -> DataFrame:
+    """Byte fields that start like no known picture, with their place; the single field counts where the array is empty, nulls don't.
+
+    whole: pictures are walked through to their end, and the message says what is wrong.
+    """
     many = _items(df, images) if images in df.columns else F.array().cast("array<binary>")
     one = _items(df, image) if image in df.columns else F.array().cast("array<binary>")
     held = [c for c in (sample, assets) if c in df.columns]
@@ -135,6 +139,9 @@ def broken_media(df: DataFrame, dataset: str, images: str = "images", image: str
     known = reduce(lambda x, y: x | y, [F.hex(F.substring("__m", 1, len(m))) == m.hex().upper() for m in magic])
     asset = F.get(assets, F.col("__at")) if assets in held else F.lit(None)
     message = F.concat(F.lit("Unreadable media payload at index "), F.col("__at").cast("string"))
+    if whole:
+        rows = rows.withColumn("__check", picture_check(F.col("__m")))
+        known, message = F.col("__check.reason").isNull(), F.concat(message, F.lit(": "), F.col("__check.error"))
     return findings(rows.where(~known), "broken_media", dataset, message, {"sample_id": sample, "asset_id": asset}, {"field": F.lit(images), "index": F.col("__at")})
 
 

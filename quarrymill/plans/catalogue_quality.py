@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import media, quality
 from .registry import Tables, query
 
 JPEG, TEXT = "unhex('FFD8FF00')", "encode('plain')"
@@ -153,3 +154,21 @@ def findings_round_trip(t: Tables) -> DataFrame:
 @query("SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in quality.REASONS.items()) + ") r(reason_code, severity, scope, decision_hint)")
 def reason_codes(t: Tables) -> DataFrame:
     return quality.reasons(t.spark)
+
+
+def _pictures(text: pd.Series, which: pd.Series) -> pd.Series:
+    """Two pictures of a text, the second whole, cut, with a byte changed or missing."""
+    def made(t: str, k: int) -> list[bytes | None]:
+        whole = media.png_of((t or "").encode(), 64)
+        changed = whole[:-17] + bytes([whole[-17] ^ 1]) + whole[-16:]
+        return [whole, (whole, whole[:-5], changed, None)[k % 4]]
+
+    return pd.Series([made(t, k) for t, k in zip(text, which, strict=True)])
+
+
+@query("SELECT doc_id::VARCHAR AS source_key, lang AS frame_unit_key, CASE doc_id % 4 WHEN 1 THEN 'truncated' WHEN 2 THEN 'checksum' ELSE 'missing_frame' END AS reason, 'frame 1' AS place, source AS source_path FROM documents WHERE doc_id % 4 > 0")
+def bad_media_rows(t: Tables) -> DataFrame:
+    """Pictures made of the texts, of which some are damaged: each is found, with its place and what is wrong."""
+    rows = t.documents.select("doc_id", "lang", "source", F.pandas_udf(_pictures, "array<binary>")("text", "doc_id").alias("frames"))
+    found = media.bad_media(rows, "frames", "documents", "train", "doc_id", "lang", "source")
+    return found.select("source_key", "frame_unit_key", "reason", F.regexp_extract("error", r"^frame \d+", 0).alias("place"), "source_path")
