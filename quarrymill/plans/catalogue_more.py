@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, text
 from ..operators import analytics, dedup, exclude, lookup, qrels
 from ..operators.staging import shared_dir
-from ..sources import archives
+from ..sources import archives, sinks
 from . import converters
 from .registry import Tables, query
 
@@ -380,7 +380,7 @@ def training_samples(t: Tables) -> DataFrame:
     return converters.samples(rows, spec).select("doc_id", "source", "query", "positive")
 
 
-# Archives.
+# Archives and sinks.
 
 
 @query("SELECT source || '-' || (doc_id % 3)::VARCHAR || '.tar' AS archive, doc_id::VARCHAR AS stem, (doc_id % 7)::INT AS label, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id % 5 > 0")
@@ -394,3 +394,14 @@ def archive_samples(t: Tables) -> DataFrame:
     wanted = t.documents.where("doc_id % 5 > 0").select(F.explode(F.array(*[F.concat(F.col("doc_id").cast("string"), F.lit(x)) for x in (".txt", ".cls")])).alias("member"))
     pairs = archives.paired_samples(archives.read_members(archives.selected(index, wanted)), 7, media=("txt",))
     return pairs.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "stem", "label", F.sha2("image", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha256, true AS fits FROM documents")
+def bounded_files(t: Tables) -> DataFrame:
+    """Texts written once, a folder for each source, in files of 256 KiB at most, and read back."""
+    path, cap = f"{shared_dir(t.spark)}/bounded-{uuid.uuid4().hex}", 1 << 18
+    sinks.write_guarded(t.documents.select("doc_id", "source", "text"), path, "source", max_bytes=cap, order=["doc_id"])
+    back = t.spark.read.parquet(path).select("doc_id", "source", "text", "_metadata.file_path", "_metadata.file_size")
+    alone = back.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    fits = (F.col("file_size") <= cap) | (F.col("n") == 1)
+    return back.join(alone, "file_path").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), fits.alias("fits"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import sinks
+
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: str | None = None, limit: int | None = None, read_columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet rows: only the columns asked for, each once, the predicate pushed to the files.
@@ -200,12 +202,7 @@ def write_table(df: DataFrame, path: str, schema: StructType | None = None, over
 
 def fan_out(df: DataFrame, path: str, by: str, expected: Sequence[str] = ()) -> None:
     """One table per value of a column, in one pass; expected values without a row raise."""
-    if expected:
-        wanted = df.sparkSession.createDataFrame([(x,) for x in expected], f"`{by}` string")
-        gone = wanted.join(df.select(by).distinct(), by, "left_anti").collect()
-        if gone:
-            raise ValueError(f"no rows for {sorted(r[0] for r in gone)}")
-    df.write.partitionBy(by).parquet(path)
+    sinks.write_guarded(df, path, by, expected)
 
 
 def _files(spark: SparkSession, path: str):
@@ -213,11 +210,9 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_nonempty(df: DataFrame, path: str, overwrite: bool = True) -> None:
-    """df as a table; one without rows raises and leaves what was there."""
-    if df.isEmpty():
-        raise ValueError(f"no rows for {path}")
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def write_nonempty(df: DataFrame, path: str, overwrite: bool = True, append: bool = False) -> None:
+    """df as a table, in one pass; one without rows raises and leaves what was there. append: a later batch of the table."""
+    sinks.write_guarded(df, path, mode="append" if append else "overwrite" if overwrite else "errorifexists")
 
 
 def replace_table(df: DataFrame, path: str, keep: int = 1) -> None:
