@@ -8,7 +8,7 @@ from .filter_audit import MIN_WORDS as AUDIT_WORDS
 from .filter_audit import SIGNS
 from .mixing import Mix
 from .quality_rules import CAPITALS, FENCE, MARKS, METRICS, MIN_ROWS, MIN_WORDS
-from .url_filters import LISTED_NAMES, LISTED_SUFFIXES, RULES
+from .url_filters import LISTED_NAMES, LISTED_SUFFIXES, NUMBERED, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,15 +75,18 @@ def url_filters() -> str:
         rules = sorted(RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[1:]))
         return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what == 'rule' else v}'" for v, h, p in rules) + " END"
 
-    listed = ", ".join(f"('{n}.{s}')" for n in LISTED_NAMES for s in LISTED_SUFFIXES)
+    values = lambda x: ", ".join(f"('{v}')" for v in x)
     return f"""
-WITH parts AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH names AS (SELECT * FROM (VALUES {values(LISTED_NAMES)}) n(n)), suffixes AS (SELECT * FROM (VALUES {values(LISTED_SUFFIXES)}) s(s)),
+listed AS (SELECT n || '.' || s || '/' AS key FROM names, suffixes UNION ALL SELECT n || k || '.' || s || '/' FROM names, suffixes, range(1, {NUMBERED + 1}) r(k)
+  UNION ALL SELECT 'redirect.' || s || '/' || n || '/' || k || '/' FROM names, suffixes, range(1, {NUMBERED + 1}) r(k)),
+parts AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-ruled AS (SELECT *, {cases("rule")} AS rule, {cases("verdict")} AS said, regexp_replace(host, ':[0-9]*$|[.]$', '') AS bare FROM parts)
-SELECT page_id, host, path, rule,
-       coalesce(said, CASE WHEN EXISTS (SELECT 1 FROM (VALUES {listed}) AS l(h) WHERE bare = h OR ends_with(bare, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled"""
+ruled AS (SELECT *, {cases("rule")} AS rule, {cases("verdict")} AS said, regexp_replace(regexp_replace(host, ':[0-9]*$|[.]$', ''), '^www[.]', '') AS bare FROM parts),
+keys AS (SELECT rid, bare || rtrim(path, '/') || '/' AS key FROM ruled WHERE bare <> '' UNION ALL SELECT rid, array_to_string(labels[i:], '.') || '/' FROM (SELECT rid, string_split(bare, '.') AS labels, unnest(range(1, len(string_split(bare, '.')) + 1)) AS i FROM ruled WHERE bare <> '')),
+hits AS (SELECT DISTINCT rid FROM keys JOIN listed USING (key))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN hits.rid IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN hits USING (rid)"""
 
 
 URL_FILTERS = url_filters()

@@ -32,16 +32,24 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# Hosts that the default list blocks, under each of the three suffixes.
+# Hosts that the default list blocks, under each of the three suffixes; how many numbered mirrors and redirects each has.
 LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED_SUFFIXES = ("example.com", "example.net", "example.org")
+NUMBERED = 500
 
 
 def default_list(spark) -> DataFrame:
-    """Canonical urls that block: the roots of known advertising, betting and spam hosts."""
-    names, suffixes = (F.array(*map(F.lit, x)) for x in (LISTED_NAMES, LISTED_SUFFIXES))
-    rows = spark.range(1).select(F.explode(names).alias("name"), suffixes.alias("s")).select("name", F.explode("s").alias("suffix"))
-    return rows.select(F.concat("name", F.lit("."), "suffix", F.lit("/")).alias("listed"))
+    """Canonical urls that block: roots of known advertising, betting and spam hosts and of their mirrors, and single pages that lead to them.
+
+    18,018 rows, so the filter has several blocks, and half of the keys have paths.
+    """
+    names, suffixes = (F.explode(F.array(*map(F.lit, x))) for x in (LISTED_NAMES, LISTED_SUFFIXES))
+    roots = spark.range(1).select(names.alias("name")).select("name", suffixes.alias("suffix"))
+    numbered = roots.select("*", F.explode(F.sequence(F.lit(1), F.lit(NUMBERED))).alias("k"))
+    mirror = F.concat("name", "k", F.lit("."), "suffix", F.lit("/"))
+    redirect = F.concat(F.lit("redirect."), "suffix", F.lit("/"), "name", F.lit("/"), "k", F.lit("/"))
+    both = numbered.select(F.explode(F.array(mirror, redirect)).alias("listed"))
+    return roots.select(F.concat("name", F.lit("."), "suffix", F.lit("/")).alias("listed")).unionByName(both)
 
 
 def _host(url: Column) -> Column:

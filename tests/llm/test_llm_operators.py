@@ -249,11 +249,14 @@ def test_minimum_cut_equals_brute_force():
 
 
 def test_urls(spark):
-    rows = [(1, "HTTP://WWW.Example.com/en/x?q#f"), (2, "http://example.com/en/x"), (3, "https://a.net/fr/"), (4, None), (5, "no scheme"), (6, "http://m.spam-farm.example.net:80/x"), (7, "https://x.com/"), (7, "https://x.org?y")]
+    rows = [(1, "HTTP://WWW.Example.com/en/x?q#f"), (2, "http://example.com/en/x"), (3, "https://a.net/fr/"), (4, None), (5, "no scheme"), (6, "http://m.spam-farm.example.net:80/x"), (7, "https://x.com/"), (7, "https://x.org?y"),
+            (8, "http://a.casino-win499.example.org/q"), (9, "http://casino-win501.example.org/q"), (10, "http://redirect.example.org/free-bets/7//?x"), (11, "http://redirect.example.org/free-bets/7/more"), (12, "http://redirect.example.org/")]
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filters.default_list(spark)).collect()}
     assert got == {
         (1, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (2, "example.com", "/en/x", "example.com/en/", "block"), (3, "a.net", "/fr/", "net/fr/", "block"),
         (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "m.spam-farm.example.net:80", "/x", None, "block"), (7, "x.com", "/", "com/", "allow"), (7, "x.org", "", None, "allow"),
+        (8, "a.casino-win499.example.org", "/q", None, "block"), (9, "casino-win501.example.org", "/q", None, "allow"), (10, "redirect.example.org", "/free-bets/7//", None, "block"),
+        (11, "redirect.example.org", "/free-bets/7/more", None, "allow"), (12, "redirect.example.org", "/", None, "allow"),
     }
 
 
