@@ -4,9 +4,9 @@ Base spans follow exact patterns and always stay. Wider patterns propose whateve
 looks like personal data at all: addresses with their signs spelled out, numbers
 in groups, plain runs of digits. On every candidate four labelers vote yes, no or
 nothing: the strict form and its check sum (regex), cue words before it that name
-its kind or another thing (gazetteer), what touches it (context) and how it is made
+its kind or another thing, and tables of what is given out (gazetteer), what touches it (context) and how it is made
 up (shape). Votes are counted over the whole corpus by kind, pattern of votes and
-features, which is a small table at any size (at most 4 * 81 * 512 rows); EM on it
+features, which is a small table at any size (at most 4 * 81 * 1024 rows); EM on it
 estimates each labeler's reliability and each pattern's probability. Those
 probabilities train a logistic classifier on features of the span and what stands
 around it, the votes themselves not among them. Candidates that it finds likely
@@ -56,19 +56,30 @@ WIDE = {
 }
 _SPELT = re.compile(r"[(\[{](?:at|dot|\.)[)\]}]| at | dot ", re.I)
 
-# Cue words of the gazetteer, of each kind and of what is none.
+# Cue words of the gazetteer, of each kind and of what is none, in the four languages.
 CUES = {
-    "email": ("contact", "correo", "courriel", "e-mail", "email", "mail", "write to"),
-    "ip": ("address", "adresse", "host", "ip", "ip address", "server"),
-    "card": ("card", "carte", "credit", "karte", "mastercard", "tarjeta", "visa"),
-    "phone": ("call", "cell", "fax", "mobile", "phone", "tel", "telefon", "telephone"),
+    "email": ("contact", "contacto", "correo", "courriel", "e-mail", "email", "kontakt", "mail", "mailto", "nous écrire", "schreiben an", "write to"),
+    "ip": ("address", "adresse", "dirección", "host", "ip", "ip address", "rechner", "server", "serveur", "servidor"),
+    "card": ("amex", "american express", "card", "carte", "credit", "karte", "kreditkarte", "maestro", "mastercard", "tarjeta", "visa"),
+    "phone": ("anrufen", "appeler", "call", "cell", "dial", "fax", "handy", "llamar", "mobile", "móvil", "phone", "portable", "rufnummer", "tel", "telefon", "telefono", "teléfono", "telephone", "téléphone", "whatsapp"),
 }
 RIVALS = ("article", "chapter", "date", "doi", "id", "invoice", "isbn", "issn", "no", "order", "page", "part", "ref", "section", "serial", "sku", "version", "volume", "year")
 _CUE = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, v)) + r")\b", re.I) for k, v in CUES.items()}
 _RIVAL = re.compile(r"\b(?:" + "|".join(RIVALS) + r")\b", re.I)
 CUE_CHARS = 24
 LIKELY = 0.9
-FEATURES = 9
+FEATURES = 10
+
+# Numbers and names that are given out. Issuers of cards: first digits from, to, and how many digits there are.
+ISSUERS = (
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)),
+    ("3528", "3589", (16,)), ("6011", "6011", (16,)), ("644", "649", (16,)), ("65", "65", (16,)), ("62", "62", (16, 17, 18, 19)), ("50", "50", (14, 15, 16, 17, 18, 19)), ("56", "58", (14, 15, 16, 17, 18, 19)),
+)
+# Calling codes of one and two digits, and the first two digits of those that have three.
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+CALLING_THREE = ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99")
+# Top-level domains of more than two letters; all of two letters are countries.
+TOP_LEVEL = ("aero", "app", "asia", "biz", "blog", "cat", "cloud", "com", "coop", "dev", "edu", "email", "gov", "info", "int", "jobs", "mil", "mobi", "museum", "name", "net", "online", "org", "post", "pro", "shop", "site", "store", "tel", "travel", "xyz")
 
 
 def digits(span: str) -> str:
@@ -138,13 +149,31 @@ def _made_up(kind: str, span: str) -> bool:
     return len(groups) > 1 and 9 <= len(number) <= 13 and len(groups[-1]) >= 3 and len(groups[0]) <= 4
 
 
+def given_out(kind: str, span: str) -> int:
+    """1 if numbers or names like this one are given out to somebody, -1 if not, 0 if the tables can't tell."""
+    number = digits(span)
+    if kind == "card":
+        return 1 if any(low <= number[: len(low)] <= high and len(number) in sizes for low, high, sizes in ISSUERS) else -1
+    if kind == "phone":
+        code = number[2:] if number.startswith("00") else number
+        if not span.lstrip("(").startswith(("+", "00")):
+            return 0
+        return 1 if code[:1] in CALLING or code[:2] in CALLING or code[:2] in CALLING_THREE else -1
+    if kind == "ip":
+        first = int(re.match(r"[0-9]*", span)[0][:4] or 0)
+        return 1 if 0 < first < 224 and first != 127 else -1
+    last = re.search(r"[A-Za-z]*$", span)[0].lower()
+    return 1 if len(last) == 2 or last in TOP_LEVEL else -1
+
+
 def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     """1, 0 or -1 of the regex, gazetteer, context and shape labelers."""
     span = text[start:end]
     before, touched = _around(text, start, end)
     # The strict form can't judge what is spelled out, or a number without the country's code.
     other = _SPELT.search(span) or (kind == "phone" and "+" not in span)
-    cue = 1 if _CUE[kind].search(before) else -1 if _RIVAL.search(before) else 0
+    known = given_out(kind, span)
+    cue = -1 if known < 0 else 1 if _CUE[kind].search(before) else -1 if _RIVAL.search(before) else 0
     return [1 if _strict(kind, span) else 0 if other else -1, cue, -1 if touched else 1, 1 if _made_up(kind, span) else -1]
 
 
@@ -157,6 +186,7 @@ def features(kind: str, text: str, start: int, end: int) -> str:
     has = (
         bool(_SPELT.search(span)), bool(re.search(r"[ ()-]", span)), usual, checked, _made_up(kind, span),
         bool(_CUE[kind].search(before)), bool(_RIVAL.search(before)), touched, before[-2:-1] in tuple(":=") or before[-1:] in tuple("(<:"),
+        given_out(kind, span) > 0,
     )
     return "".join("1" if x else "0" for x in has)
 
@@ -165,6 +195,8 @@ def _wide_emails(text: str) -> Iterator[tuple[int, int]]:
     for m in _AT.finditer(text):
         name = text[max(0, m.start() - 64) : m.start()]
         start = m.start() - len(name) + len(name.rstrip(_LOCAL))
+        if start == m.start() - 64 and start and text[start - 1] in _LOCAL:
+            continue  # longer than the name of an address may be
         while start < m.start() and not text[start].isalnum():
             start += 1
         found = _WIDE_DOMAIN.match(text, m.end())
@@ -291,7 +323,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     span = "struct<kind:string,start:bigint,end:bigint,is_base:boolean,votes:string,features:string>"
     found = write_table(rows.mapInArrow(_scan, f"doc_id long, base array<string>, found array<{span}>"), "spans")
     tally = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes", "s.features").count().orderBy("kind", "votes", "features")
-    counts = [tuple(r) for r in tally.collect()]  # at most 4 kinds, 3**4 patterns of votes, 2**9 of features
+    counts = [tuple(r) for r in tally.collect()]  # at most 4 kinds, 3**4 patterns of votes, 2**10 of features
     by_votes: dict[tuple[str, str], int] = {}
     for kind, vote, _, n in counts:
         by_votes[kind, vote] = by_votes.get((kind, vote), 0) + n
