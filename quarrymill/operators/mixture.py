@@ -142,6 +142,27 @@ def optimize_weights(sizes: Mapping[str, int], most: int, total: int = 100) -> d
     return weights
 
 
+def weight_plan(sources: DataFrame, name: str, size: str, weight: str, order: str, most: float = 4_500_000, total: int = 100) -> DataFrame:
+    """name, size, weight: whole weights near the given ones that sum to total and keep each source's expected length below most.
+
+    Each source has a floor, the least weight above size * total / most, and begins with its weight scaled to total,
+    or its floor if that is more. What then lacks goes to the smallest source (the first by order). What is too much is
+    taken, unit by unit, from the source farthest above its floor (the first by order); those units are the
+    highest steps above all floors at once, so one window over the steps finds them, as many as the weights' sum.
+    If all sources are at their floors the sum stays above total.
+    """
+    least = F.greatest(F.lit(1), F.floor(F.col(size) * total / most) + 1).cast("long")
+    scaled = F.greatest(F.lit(1), F.bround(F.col(weight) * total / F.col("__all"))).cast("long")
+    whole = sources.agg(F.sum(weight).alias("__all"), F.min_by(name, F.struct(size, order)).alias("__smallest"))  # one row
+    begun = sources.join(F.broadcast(whole)).select(name, size, order, "__smallest", least.alias("__least"), F.greatest(least, scaled).alias("__w"))
+    off = begun.agg((F.sum("__w") - total).alias("__over"))  # one row
+    begun = begun.join(F.broadcast(off))
+    steps = begun.where("__over > 0 AND __w > __least").select(name, order, "__over", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__w") - F.col("__least"))).alias("__step"))
+    taken = steps.withColumn("__i", F.row_number().over(W.orderBy(F.desc("__step"), order))).where("__i <= __over").groupBy(name).agg(F.count(F.lit(1)).alias("__taken"))
+    given = F.when((F.col("__over") < 0) & (F.col(name) == F.col("__smallest")), -F.col("__over")).otherwise(0)
+    return begun.join(taken, name, "left").select(name, size, (F.col("__w") + given - F.coalesce("__taken", F.lit(0))).cast("long").alias("weight"))
+
+
 def contiguous(position: str, total: int, ranks: int) -> Column:
     """Rank of a position when ranks hold runs of as equal a length as can be, the longer ones first."""
     base, more = divmod(total, ranks)

@@ -499,6 +499,31 @@ def running_best(t: Tables) -> DataFrame:
     return analytics.running_best(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value")
 
 
+@query("""WITH r AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+  min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM events)
+  SELECT user_id, event_id, best, n - max(CASE WHEN prev IS NULL OR prev - value > 0.5 THEN n END) OVER (PARTITION BY user_id ORDER BY event_id) AS patience FROM r""")
+def running_best_lower(t: Tables) -> DataFrame:
+    """The least value so far; only what is lower by more than a half counts as better."""
+    out = analytics.running_best(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value", threshold=0.5, lower=True)
+    return out.select("user_id", "event_id", "best", "patience")
+
+
+PLANNED = """WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') + 1 AS w FROM documents GROUP BY source),
+f AS (SELECT *, greatest(1, floor(n * 100 / (SELECT {most} * sum(n) FROM s))::BIGINT + 1) AS least, greatest(1, round_even(w * 100 / (SELECT sum(w) FROM s), 0)::BIGINT) AS scaled FROM s),
+g AS (SELECT source, n, least, greatest(least, scaled) AS w FROM f), o AS (SELECT sum(w) - 100 AS over FROM g),
+taken AS (SELECT source, count(*) AS t FROM (SELECT source, row_number() OVER (ORDER BY step DESC, source) AS i FROM (SELECT source, unnest(range(1, w - least + 1)) AS step FROM g)) WHERE i <= (SELECT over FROM o) GROUP BY source)
+SELECT '{name}' AS plan, source, n, (w + CASE WHEN (SELECT over FROM o) < 0 AND source = (SELECT source FROM s ORDER BY n, source LIMIT 1) THEN -(SELECT over FROM o) ELSE 0 END - coalesce(t, 0))::BIGINT AS weight FROM g LEFT JOIN taken USING (source)"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({PLANNED.format(most=most, name=name)})" for name, most in (("tight", 1.1), ("wide", 9))))
+def weight_plan(t: Tables) -> DataFrame:
+    """Weights of the sources from the number of their English texts, with high floors and with low ones."""
+    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("lang") == "en") + 1).alias("w"))
+    n = t.documents.count()
+    plans = [mixture.weight_plan(sizes, "source", "n", "w", "source", most * n).select(F.lit(name).alias("plan"), "source", "n", "weight") for name, most in (("tight", 1.1), ("wide", 9))]
+    return plans[0].unionByName(plans[1])
+
+
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 3")
 def keep_last_n(t: Tables) -> DataFrame:
     return analytics.keep_last(t.events.select("user_id", "event_id"), "user_id", "event_id", 3)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import analytics, dedup, exclude, lookup, qrels
+from ..operators import analytics, collate, dedup, exclude, hook, lookup, qrels, scan
 from ..operators.staging import shared_dir
 from ..sources import archives, sinks
 from . import converters
@@ -405,3 +405,46 @@ def bounded_files(t: Tables) -> DataFrame:
     alone = back.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     fits = (F.col("file_size") <= cap) | (F.col("n") == 1)
     return back.join(alone, "file_path").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), fits.alias("fits"))
+
+
+# Table functions, scans for patterns, batches.
+
+
+def _sampled(rows: list) -> dict:
+    """Three of a key's rows, spread evenly."""
+    n = len(rows)
+    taken = range(n) if n <= 3 else [0, (n - 1) // 2, n - 1]
+    return {"total": n, "parts": [rows[k]["l_partkey"] for k in taken]}
+
+
+@query("""WITH l AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, o_custkey, coalesce(len(p), 0)::INT AS total, CASE WHEN p IS NULL THEN [] WHEN len(p) <= 3 THEN p ELSE [p[1], p[(len(p) - 1) // 2 + 1], p[len(p)]] END AS parts FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def hooked_join(t: Tables) -> DataFrame:
+    """Orders with a sample of their items, by a table function of the user's own."""
+    items = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity")
+    return hook.join_hook(t.orders.select("o_orderkey", "o_custkey"), items, "o_orderkey", ["l_linenumber", "l_partkey", "l_quantity"], _sampled, "total int, parts array<bigint>")
+
+
+SEARCHED = (r"password\s*[:=]", r"api[_-]?key\s*[:=]", "lorem|ipsum", r"copy(right|left)", r"https?://[a-z.]*example", "[0-9]{3}-[0-9]{4}", "the (next|last) (day|week)", r"(?:licen[cs]e)")
+
+
+@query("WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents) SELECT doc_id::VARCHAR AS path, line, pattern FROM lines, (VALUES " + ", ".join(f"('{p}')" for p in SEARCHED) + ") p(pattern) WHERE regexp_matches(x, pattern, 'i')")
+def pattern_scan(t: Tables) -> DataFrame:
+    """Lines of all texts that any of the patterns matches, found by one automaton."""
+    return scan.find_patterns(t.documents, SEARCHED, "doc_id", "text")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS ids, list(l_quantity::INT ORDER BY l_linenumber, l_partkey, l_quantity) AS f FROM lineitem GROUP BY l_orderkey),
+w AS (SELECT *, k // 6 AS batch, max(len(ids)) OVER (PARTITION BY k // 6) AS width FROM l)
+SELECT batch, count(*)::INT AS n, any_value(width)::INT AS width, list(list_concat(ids, list_transform(range(len(ids), width), lambda x: -1)) ORDER BY k) AS ids,
+  list(list_concat(list_transform(ids, lambda x: 1), list_transform(range(len(ids), width), lambda x: 0)) ORDER BY k) AS mask,
+  CASE WHEN count(*) FILTER (k % 3 = 0) > 0 THEN list(list_concat(list_transform(f, lambda x: CASE WHEN k % 3 = 0 THEN x ELSE 0 END), list_transform(range(len(ids), width), lambda x: 0)) ORDER BY k) END AS quantity,
+  flatten(list([[1, len(ids)]] ORDER BY k) FILTER (k % 2 = 0)) AS grid, flatten(list(ids ORDER BY k)) AS "values",
+  list_concat([0], list_transform(range(1, count(*) + 1), lambda i: list_sum(list(len(ids) ORDER BY k)[1:i])::INT)) AS offsets FROM w GROUP BY batch""")
+def collated_batches(t: Tables) -> DataFrame:
+    """Orders as rows of batches of six: items are the ids, their quantities an aligned field that some rows lack."""
+    k = F.col("l_orderkey")
+    packed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
+    rows = t.lineitem.groupBy("l_orderkey").agg(packed.alias("x"))
+    rows = rows.select(F.expr("l_orderkey DIV 6").alias("batch"), k.alias("slot"), F.col("x.l_partkey").alias("ids"), F.when(k % 3 == 0, F.col("x.l_quantity").cast("array<int>")).alias("quantity"), F.when(k % 2 == 0, F.array(F.array(F.lit(1), F.size("x")))).alias("grid"))
+    return collate.collate(rows, "batch", "slot", "ids", ["quantity"], ["grid"], pad=-1)

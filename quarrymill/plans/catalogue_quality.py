@@ -151,9 +151,25 @@ def findings_round_trip(t: Tables) -> DataFrame:
     return quality.from_json(quality.to_json(_found(t).drop("check"))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("message").alias("messages"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in quality.REASONS.items()) + ") r(reason_code, severity, scope, decision_hint)")
+@query(FOUND + ", codes AS (SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in quality.REASONS.items()) + """) r(reason_code, severity, scope, decision_hint))
+SELECT c.*, count(f.reason_code) AS n FROM codes c LEFT JOIN found f USING (reason_code) GROUP BY ALL""")
 def reason_codes(t: Tables) -> DataFrame:
-    return quality.reasons(t.spark)
+    """What the codes mean, and how many findings of each the bundle has."""
+    n = quality.by_reason(_found(t))
+    return quality.reasons(t.spark).join(n, "reason_code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+HINTS = "CASE WHEN doc_id % 7 = 0 THEN 'block' WHEN doc_id % 5 = 0 THEN 'quarantine' WHEN doc_id % 3 = 0 THEN 'drop' ELSE 'keep' END"
+
+
+@query(f"""WITH f AS (SELECT source AS sample_id, 'r' || (doc_id % 4)::VARCHAR AS reason_code, {HINTS} AS hint FROM documents WHERE source <> 'src0' UNION ALL SELECT 'd' || doc_id::VARCHAR, 'r' || (doc_id % 4)::VARCHAR, {HINTS} FROM documents)
+SELECT sample_id AS target_id, CASE max(CASE hint WHEN 'keep' THEN 1 WHEN 'drop' THEN 2 ELSE 3 END) WHEN 1 THEN 'keep' WHEN 2 THEN 'drop' ELSE 'quarantine' END AS action, list_sort(list(DISTINCT reason_code)) AS reasons, count(*) AS n_findings FROM f GROUP BY sample_id""")
+def graded_decisions(t: Tables) -> DataFrame:
+    """Targets with hints of all kinds: the gravest decides, so some are kept and some dropped."""
+    text = lambda x: F.col(x).cast("string")
+    rows = t.documents.select(F.explode(F.filter(F.array(F.when(F.col("source") != "src0", F.col("source")), F.concat(F.lit("d"), text("doc_id"))), lambda x: x.isNotNull())).alias("sample_id"), F.concat(F.lit("r"), F.col("doc_id") % 4).alias("reason_code"), F.expr(HINTS).alias("decision_hint"))
+    found = rows.select("reason_code", F.lit("error").alias("severity"), F.lit("sample").alias("scope"), "decision_hint", F.lit("documents").alias("dataset_name"), F.lit("m").alias("message"), "sample_id", F.lit(None).cast("string").alias("relation_id"), F.lit(None).cast("string").alias("asset_id"))
+    return quality.decisions(found).select("target_id", "action", "reasons", "n_findings")
 
 
 def _pictures(text: pd.Series, which: pd.Series) -> pd.Series:

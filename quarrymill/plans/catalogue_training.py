@@ -56,17 +56,27 @@ for _name in training.SOURCES:
     _register(_name)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, benchmarks.rows())) + ") b(dataset, folder, modality, task_type)")
+INDEX = "b AS (SELECT *, row_number() OVER (ORDER BY dataset) - 1 AS k FROM (VALUES " + ", ".join(map(str, benchmarks.rows())) + ") b(dataset, folder, modality, task_type))"
+
+
+def _numbered(t: Tables) -> DataFrame:
+    """The benchmark's datasets by number, in the order of their names."""
+    names = sorted(r[0] for r in benchmarks.rows())
+    return benchmarks.index(t.spark).withColumn("k", F.array_position(F.array(*map(F.lit, names)), F.col("dataset")) - 1)
+
+
+@query(f"WITH {INDEX} SELECT dataset, folder, modality, task_type, count(event_id) AS n_results FROM b LEFT JOIN events ON event_id % 80 = k GROUP BY ALL")
 def benchmark_index(t: Tables) -> DataFrame:
-    return benchmarks.index(t.spark)
+    """The index, with how many results each dataset has; events stand in for results, some of datasets that the index lacks."""
+    n = t.events.groupBy((F.col("event_id") % 80).alias("k")).agg(F.count("event_id").alias("n_results"))
+    return _numbered(t).join(n, "k", "left").select("dataset", "folder", "modality", "task_type", F.coalesce("n_results", F.lit(0)).alias("n_results"))
 
 
-@query("""WITH b AS (SELECT * FROM (VALUES """ + ", ".join(map(str, benchmarks.rows())) + """) b(dataset, folder, modality, task_type)),
-r AS (SELECT dataset, modality, task_type, CASE modality WHEN 'visdoc' THEN length(dataset) * 2 ELSE length(dataset) END AS value FROM b)
+@query(f"""WITH {INDEX}, r AS (SELECT modality, task_type, CASE modality WHEN 'visdoc' THEN max(value) ELSE avg(value) END AS value FROM b JOIN events ON event_id % 78 = k GROUP BY dataset, modality, task_type)
 SELECT coalesce(modality, 'all') AS modality, coalesce(task_type, 'all') AS task_type, round(avg(value), 4) AS mean, count(*) AS n FROM r GROUP BY GROUPING SETS ((modality, task_type), (modality), ())""")
 def benchmark_rollup(t: Tables) -> DataFrame:
-    """Results of all datasets, here a number made of each name, by the metric that each modality counts."""
-    names = benchmarks.index(t.spark)
-    n = F.length("dataset").cast("double")
-    results = names.select("dataset", F.explode(F.array(F.struct(F.lit("hit_1").alias("metric"), n.alias("value")), F.struct(F.lit("ndcg_5").alias("metric"), (2 * n).alias("value")))).alias("x")).select("dataset", "x.*")
-    return benchmarks.rollup(results, names, {"image": "hit_1", "video": "hit_1", "visdoc": "ndcg_5"}).withColumnRenamed("task", "task_type")
+    """Results of all datasets, here averages and maxima of events, by the metric that each modality counts."""
+    per = t.events.groupBy((F.col("event_id") % 78).alias("k")).agg(F.avg("value").alias("hit_1"), F.max("value").alias("ndcg_5")).join(_numbered(t), "k")
+    results = per.select("dataset", F.explode(F.create_map(F.lit("hit_1"), "hit_1", F.lit("ndcg_5"), "ndcg_5")).alias("metric", "value"))
+    out = benchmarks.rollup(results, benchmarks.index(t.spark), {"image": "hit_1", "video": "hit_1", "visdoc": "ndcg_5"})
+    return out.select("modality", F.col("task").alias("task_type"), "mean", "n")

@@ -95,3 +95,24 @@ def test_private_candidates_with_filter_and_join(spark):
     assert [r["text"] for r in sorted(out.collect(), key=lambda r: r["candidate_id"])] == want
     half = out.where("candidate_id % 2 = 0").join(queries.select("id", "more"), "id").collect()
     assert {r["candidate_id"]: r["text"] for r in half} == {i: t for i, t in enumerate(want) if i % 2 == 0}
+
+
+def plain_weights(sources, most, total):
+    """The weights said step by step; sources: (size, weight) in order."""
+    least = [max(1, int(n * total / most) + 1) for n, _ in sources]
+    w = [max(a, 1, round(x * total / sum(x for _, x in sources))) for a, (_, x) in zip(least, sources, strict=True)]
+    while sum(w) < total:
+        w[min(range(len(w)), key=lambda i: sources[i][0])] += 1
+    while sum(w) > total and max(x - a for x, a in zip(w, least, strict=True)) > 0:
+        w[max(range(len(w)), key=lambda i: w[i] - least[i])] -= 1
+    return w
+
+
+def test_weight_plan_equals_a_step_for_each_unit(spark):
+    rng = random.Random(6)
+    for _ in range(6):
+        sources = [(rng.randrange(1, 10_000), rng.randrange(1, 50)) for _ in range(rng.randrange(1, 12))]
+        most = sum(n for n, _ in sources) * rng.choice([0.5, 1.0, 1.5, 20])
+        table = spark.createDataFrame([(f"s{i}", n, w, i) for i, (n, w) in enumerate(sources)], "s string, n long, w long, i long")
+        got = {r["s"]: r["weight"] for r in mixture.weight_plan(table, "s", "n", "w", "i", most, 100).collect()}
+        assert [got[f"s{i}"] for i in range(len(sources))] == plain_weights(sources, most, 100), (sources, most)
