@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import media, quality
+from ..operators import media, quality, video
 from .registry import Tables, query
 
 JPEG, TEXT = "unhex('FFD8FF00')", "encode('plain')"
@@ -188,3 +188,25 @@ def bad_media_rows(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "lang", "source", F.pandas_udf(_pictures, "array<binary>")("text", "doc_id").alias("frames"))
     found = media.bad_media(rows, "frames", "documents", "train", "doc_id", "lang", "source")
     return found.select("source_key", "frame_unit_key", "reason", F.regexp_extract("error", r"^frame \d+", 0).alias("place"), "source_path")
+
+
+def _videos(text: pd.Series, which: pd.Series) -> pd.Series:
+    """A video of a text's words, of which every seventh is cut and every eleventh missing."""
+    def made(t: str, k: int) -> bytes | None:
+        whole = video.avi_of([w.encode() for w in (t or "").split()[:40]] or [b"-"], 10 + k % 15, 4)
+        return None if k % 11 == 0 else whole[:-9] if k % 7 == 0 else whole
+
+    return pd.Series([made(t, k) for t, k in zip(text, which, strict=True)])
+
+
+@query("""WITH d AS (SELECT doc_id, greatest(1, least(40, len(list_filter(string_split_regex(coalesce(c_name, ''), '\\s+'), lambda x: x <> '')))) AS n FROM (SELECT c_custkey AS doc_id, c_name || ' ' || repeat('w ', (c_custkey % 60)::INT) AS c_name FROM customer))
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN NULL ELSE n END::BIGINT AS frames, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE 10.0 + doc_id % 15 END::DOUBLE AS fps, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE (n - 1) // 4 + 1 END::INT AS n_keyframes,
+  CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE list_transform([0, (n - 1) // 2, n - 1], lambda i: (i - i % 4)::BIGINT) END AS begins, CASE WHEN doc_id % 11 > 0 AND doc_id % 7 = 0 THEN 'truncated' END AS reason FROM d""")
+def video_probe(t: Tables) -> DataFrame:
+    """Frames, rate and key frames of containers, and where decoding of three frames would begin."""
+    words = F.concat(F.col("c_name"), F.lit(" "), F.repeat(F.lit("w "), (F.col("c_custkey") % 60).cast("int")))
+    rows = t.customer.select(F.col("c_custkey").alias("doc_id"), F.pandas_udf(_videos, "binary")(words, "c_custkey").alias("video"))
+    p = rows.select("doc_id", video.probe_video(F.col("video")).alias("p")).select("doc_id", "p.*")
+    n = F.col("frames")
+    begins = F.transform(video.seek_plan(F.array(F.lit(0).cast("long"), F.floor((n - 1) / 2), n - 1), F.col("keyframes")), lambda x: x["from"])
+    return p.select("doc_id", "frames", "fps", F.when(n.isNotNull(), F.size("keyframes")).alias("n_keyframes"), F.when(n.isNotNull(), begins).alias("begins"), "reason")
