@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -17,9 +18,34 @@ def require_columns(df: DataFrame, declared: Sequence[str]) -> DataFrame:
     return df.select(*dict.fromkeys(declared))
 
 
-def flatten(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
-    """Nested fields as flat columns: {target: path}; two paths can't share a target."""
-    return df.select(*[F.col(path).alias(name) for name, path in fields.items()])
+def flatten(df: DataFrame, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, then nested fields as flat columns: {target: path}; a target that a kept column has already raises."""
+    clash = sorted({n.lower() for n in fields} & {n.lower() for n in keep})
+    if clash:
+        raise ValueError(f"column names collide: {clash}")
+    return df.select(*keep, *[F.col(path).alias(name) for name, path in fields.items()])
+
+
+def sql_literal(value: object) -> str:
+    """A key as it is written in a SQL condition; what can't be compared safely (null, non-finite floats, other types) raises."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int):
+        return f"{value}L" if not -(1 << 31) <= value < 1 << 31 else str(value)
+    if isinstance(value, float) and math.isfinite(value):
+        return f"{value!r}D"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    raise TypeError(f"a key of type {type(value).__name__} can't be part of a condition: {value!r}")
+
+
+def key_condition(column: str, keys: Sequence[object]) -> str:
+    """column = key, or column IN (keys), for a scan's condition; each key once, no key at all raises."""
+    listed = list(dict.fromkeys(sql_literal(k) for k in keys))
+    if not listed:
+        raise ValueError("a condition needs a key")
+    name = "`" + column.replace("`", "``") + "`"
+    return f"{name} = {listed[0]}" if len(listed) == 1 else f"{name} IN ({', '.join(listed)})"
 
 
 def merge_metadata(dataset: Column, sample: Column) -> Column:
@@ -87,13 +113,27 @@ def multi_role(df: DataFrame, side: DataFrame, side_key: str, roles: Mapping[str
     return lookup_chain(df, [Lookup(side, key, side_key, {c: f"{role}_{c}" for c in columns}, missing) for role, key in roles.items()])
 
 
-def routed_lookup(df: DataFrame, sides: Mapping[str, DataFrame], source: str, key: str, side_key: str) -> DataFrame:
-    """The side table is chosen by each row's source."""
+def routed_lookup(df: DataFrame, sides: Mapping[str, DataFrame], source: str, key: str, side_key: str, missing: str = "error") -> DataFrame:
+    """The side table is chosen by each row's source. A key that its table has twice raises.
+
+    missing: error (an unmatched key and a source without a table raise) or skip (such rows stay without values).
+    """
+    if missing not in ("error", "skip"):
+        raise ValueError(f"unknown policy {missing!r}")
     out = None
     for name, side in sides.items():
-        tagged = side.withColumn(source, F.lit(name))
+        tagged = side.where(F.col(side_key).isNotNull()).withColumn("__source", F.lit(name)).withColumnRenamed(side_key, "__side_key")
         out = tagged if out is None else out.unionByName(tagged)
-    return df.join(out.withColumnRenamed(side_key, key), [source, key], "left")
+    clash = sorted(set(out.columns) & set(df.columns))
+    if clash:
+        raise ValueError(f"column names collide: {clash}")
+    one = unique(out, "__source", "__side_key").withColumn("__found", F.lit(True))
+    joined = df.join(one, (F.col(source) == F.col("__source")) & (F.col(key) == F.col("__side_key")), "left")
+    if missing == "error":
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+        said = F.raise_error(F.concat(F.lit("no match for key "), text(key), F.lit(" in "), text(source))).cast("boolean")
+        joined = joined.where(F.coalesce(F.col("__found"), said))
+    return joined.drop("__source", "__side_key", "__found")
 
 
 def positional(df: DataFrame, requests: DataFrame, position: str = "row_pos", request: str = "request_pos") -> DataFrame:
