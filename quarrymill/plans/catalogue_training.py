@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import benchmarks, training
+from . import benchmarks, documents, training
 from .registry import Tables, query
 
 
@@ -80,3 +80,30 @@ def benchmark_rollup(t: Tables) -> DataFrame:
     results = per.select("dataset", F.explode(F.create_map(F.lit("hit_1"), "hit_1", F.lit("ndcg_5"), "ndcg_5")).alias("metric", "value"))
     out = benchmarks.rollup(results, benchmarks.index(t.spark), {"image": "hit_1", "video": "hit_1", "visdoc": "ndcg_5"})
     return out.select("modality", F.col("task").alias("task_type"), "mean", "n")
+
+
+OPTIONS = "'[''A. ' || p_brand || ''', ''B) ' || p_type || ''']'"
+
+
+@query(f"""SELECT p_partkey, '<|image_pad|>' || chr(10) || p_name || CASE WHEN p_size % 2 = 0 THEN '   Options: ' || {OPTIONS} ELSE '' END AS query,
+  CASE WHEN p_size % 2 = 1 THEN CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE p_name END WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN p_type ELSE p_name END AS positive, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END AS source FROM part""")
+def source_vidore_train(t: Tables) -> DataFrame:
+    listed = F.concat(F.lit("['A. "), F.col("p_brand"), F.lit("', 'B) "), F.col("p_type"), F.lit("']"))
+    n = F.col("p_size")
+    rows = t.part.select(
+        F.col("p_partkey").alias("page"), F.concat("p_name", F.lit("  ")).alias("query"), F.when(n % 2 == 0, listed).when(n % 4 == 1, "none").alias("options"),
+        F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise(F.col("p_name")).alias("answer"), F.when(n % 5 > 0, F.col("p_brand")).alias("source"), F.expr("CAST('x' AS binary)").alias("image"),
+    )
+    out = documents.question_samples(rows)
+    return out.select(F.try_element_at("metadata", F.lit("page")).cast("long").alias("p_partkey"), F.col("query.text").alias("query"), F.col("positive.text").alias("positive"), F.coalesce(F.try_element_at("metadata", F.lit("source")), F.lit("")).alias("source"))
+
+
+KINDS = list(documents.PAGE_PROMPTS)
+PROMPTS = "(VALUES " + ", ".join(f"({k}, '{documents.QUERY_PROMPTS[n]}', '{documents.PAGE_PROMPTS[n]}')" for k, n in enumerate(KINDS)) + ") s(k, q, p)"
+
+
+@query(f"SELECT coalesce(q, '') || p_name || chr(10) AS query, '<|image_pad|>' || chr(10) || coalesce(p || chr(10), '') AS positive FROM part LEFT JOIN {PROMPTS} ON k = p_partkey % 11")
+def source_visrag_train(t: Tables) -> DataFrame:
+    source = F.get(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 11).cast("int"))  # the eleventh has no instructions
+    out = documents.source_samples(t.part.select(F.concat("p_name", F.lit(" ")).alias("query"), source.alias("source"), F.expr("CAST('x' AS binary)").alias("image")))
+    return out.select(F.col("query.text").alias("query"), F.col("positive.text").alias("positive"))

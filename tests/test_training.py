@@ -88,3 +88,21 @@ def test_benchmark_index(spark, tmp_path):
     assert got["image", "image_question_answer"] == (0.75, 2) and got["visdoc", "all"] == (0.4, 1) and got["all", "all"] == (0.525, 4)
     with pytest.raises(Exception, match="unknown dataset x"):
         benchmarks.rollup(spark.createDataFrame([("x", "hit_1", 1.0)], results.schema), benchmarks.index(spark), {"image": "hit_1"}).collect()
+
+
+def test_document_sources(spark):
+    from quarrymill.plans import documents
+
+    kind = "query string, options string, answer string, image binary, page int"
+    rows = [("q?", "['A. x', \"it's\"]", "A", b"x", 1), ("<image>q", "", "B. whole", b"x", None), ("", "[1", "C", b"x", 3), (None, "['A) a', 'B) b']", "B", b"x", 4), ("q", "['only']", "E", b"x", 5)]
+    got = documents.question_samples(spark.createDataFrame(rows, kind)).collect()
+    assert [r["query"]["text"] for r in got] == ["<|image_pad|>\nq? Options: ['A. x', \"it's\"]", "<|image_pad|>\nq", "<|image_pad|>", "<|image_pad|>\nOptions: ['A) a', 'B) b']", "<|image_pad|>\nq Options: ['only']"]
+    assert [r["positive"]["text"] for r in got] == ["x", "B. whole", "C", "b", "E"]
+    assert got[1]["metadata"] == {"dataset_name": "vidore_train"} and got[0]["metadata"]["page"] == "1"
+    with pytest.raises(Exception, match="has no picture"):
+        documents.question_samples(spark.createDataFrame([("q", None, "a", None, 1)], kind)).collect()
+    with pytest.raises(ValueError):
+        documents.question_samples(spark.createDataFrame(rows, kind), query_end="x")
+    pages = spark.createDataFrame([(" q \n", "Textbooks", b"x"), ("q", None, b"x")], "query string, source string, image binary")
+    got = documents.source_samples(pages, queries={"Textbooks": "Find:"}, separator="newline").collect()
+    assert [r["query"]["text"] for r in got] == ["Find:\n q\n", "q\n"] and [r["positive"]["text"] for r in got] == [f"<|image_pad|>\n{documents.PAGE_PROMPTS['Textbooks']}\n", "<|image_pad|>\n"]
