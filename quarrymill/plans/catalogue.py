@@ -352,9 +352,17 @@ def prefix_add(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", text.ensure_prefix(F.col("text"), "Query: ").alias("text"))
 
 
-@query()
+NORMAL = r"CASE WHEN regexp_replace({x}, '\s+', '', 'g') = '' THEN '' ELSE regexp_replace(regexp_replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '^[ \t]+', '') END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '  <image> ' || text WHEN 1 THEN text || chr(9) || chr(13) || chr(10) || ' <image> and <image>  ' ELSE text || ' <image>' END AS x FROM conversations),
+r AS (SELECT *, {NORMAL.format(x="replace(x, '<image>', '')")} AS rest, {NORMAL.format(x="x")} AS whole FROM c)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN whole WHEN rest = '' THEN '<image>' ELSE '<image>' || chr(10) || regexp_replace(rest, '^\n+', '') END AS text FROM r""")
 def token_layout(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", text.token_on_first_line(text.ensure_token(F.col("text"), "<image>", "append", " "), "<image>").alias("text"))
+    """A token that occurs once moves to a line of its own; texts with two are normalized, those without one get it first."""
+    k = F.col("turn") % 3
+    shown = F.when(k == 0, F.concat(F.lit("  <image> "), "text")).when(k == 1, F.concat("text", F.lit("\t\r\n <image> and <image>  "))).otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", text.token_on_first_line(text.ensure_token(shown, "<image>", "append", " "), "<image>").alias("text"))
 
 
 @query("SELECT p_partkey, '(A) ' || p_brand || chr(10) || '(B) ' || p_type AS block FROM part")
