@@ -136,7 +136,7 @@ def benchmark_run(t: Tables) -> DataFrame:
     pairs = pairs.withColumn("gain", F.expr("CASE WHEN c % 40 = seat THEN 1.0D + c % 3 ELSE 0.0D END"))
     judged = pairs.groupBy("dataset", "query_id", "label").agg(F.array_sort(F.collect_list(F.struct("c", "gain"))).alias("x"))
     judged = judged.select("dataset", "query_id", F.expr("CASE WHEN label % 3 = 0 THEN 'exhaustive' END AS mode"), F.col("x.c").alias("candidate_ids"), F.col("x.gain").alias("candidate_scores"))
-    names = e.select("dataset", F.expr("'m' || label % 2 AS modality"), F.expr("'t' || label % 4 AS task_type")).distinct()
+    names = asked.select("dataset", F.expr("'m' || label % 2 AS modality"), F.expr("'t' || label % 4 AS task_type")).distinct()  # a dataset without queries would raise
     vectors = lambda df: df.select("dataset", "vec_id", "embedding")
     out = benchmarks.run(vectors(asked), vectors(e), judged, names, {"m0": "ndcg@10", "m1": "hit@1"}, ["hit@1", "ndcg@10"], skip_self=True)
     return out.select("dataset", "metric", F.round("value", 4).alias("value"), "n")
