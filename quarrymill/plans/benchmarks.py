@@ -84,11 +84,9 @@ def run(queries: DataFrame, candidates: DataFrame, qrels: DataFrame, names: Data
     if lacks:
         raise ValueError(f"metrics lack {lacks}")
     per = evaluate_each(queries, candidates, qrels, metrics, skip_self)
-    counts = per.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    empty = F.raise_error(F.concat(F.lit("no queries of dataset "), F.col("dataset"))).cast("long")
-    expected = names.select("dataset").join(counts, "dataset", "left").withColumn("n", F.coalesce("n", empty))
     results = staged(dataset_results(per), "results")  # a row for each dataset and metric
-    own = expected.join(results, "dataset", "left").select("dataset", "metric", "value", "n")
+    empty = F.raise_error(F.concat(F.lit("no queries of dataset "), F.col("dataset"))).cast("long")
+    own = names.select("dataset").join(results, "dataset", "left").select("dataset", "metric", "value", F.coalesce("n", empty).alias("n"))
     means = rollup(results, names, {m: x.replace("@", "_") for m, x in by_modality.items()})
     name = F.when(F.col("modality") == "all", "_summary").when(F.col("task") == "all", F.col("modality")).otherwise(F.concat_ws("/", "modality", "task"))
     return own.unionByName(means.select(name.alias("dataset"), F.lit("mean").alias("metric"), F.col("mean").alias("value"), "n"))

@@ -1,5 +1,7 @@
 """Many datasets evaluated in one plan, and families of metrics that a user adds."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -93,3 +95,24 @@ def test_families_that_a_user_adds(data, monkeypatch):
         n = sum(q == r["query_id"] for q, _ in gains)
         assert r["gain_2"] == mine[1] + mine[2] and r["hit_5"] == float(any(mine.values()))
         assert r["recall_5"] == pytest.approx(sum(g > 0 for g in mine.values()) / min(n, 5) if n else 0.0)
+
+
+def test_long_lists_of_judgments_take_no_square_of_their_length(spark):
+    """A list of 60,000 ids in a dataset: compared by pairs it would take minutes."""
+    n = 60_000
+    vectors = spark.range(n).selectExpr("'d' AS dataset", "id", "array(float(id % 7), 1f) AS vector")
+    judged = spark.range(0, 40, 20).selectExpr("'d' AS dataset", "id AS query_id", "'exhaustive' AS mode", f"sequence(0L, {n - 1}L) AS candidate_ids").selectExpr("*", "transform(candidate_ids, x -> IF(x % 7 = 6 AND x > 100, 1D, 0D)) AS candidate_scores")
+    began = time.monotonic()
+    got = retrieval.evaluate_each(vectors.where("id < 40 AND id % 20 = 0"), vectors, judged, ["hit@1", "mrr@20"]).orderBy("query_id").collect()
+    assert time.monotonic() - began < 60
+    assert [tuple(r) for r in got] == [("d", 0, 0.0, 0.0), ("d", 20, 0.0, pytest.approx(1 / 15))]
+
+
+def test_later_rows_of_a_query_overrule_its_earlier_ones(spark):
+    rows = [("a", 1, [5, 6], [1.0, 2.0]), ("a", 1, [9, 5], [1.0, 0.0]), ("b", 1, [5], [3.0]), ("b", 2, [4, 4, 3], [0.0, 2.0, 1.0]), ("b", 3, [4, 4], [2.0, 0.0])]
+    qrels = spark.createDataFrame(rows, "dataset string, query_id long, candidate_ids array<long>, candidate_scores array<double>")
+    got = sorted(tuple(r) for r in retrieval.relevance(qrels, within=["dataset"]).collect())
+    assert got == [("a", 1, 6, 2.0), ("a", 1, 9, 1.0), ("b", 1, 5, 3.0), ("b", 2, 3, 1.0), ("b", 2, 4, 2.0)]
+    zero = qrels.withColumn("candidate_scores", F.transform("candidate_ids", lambda x: F.lit(0.0)))
+    with pytest.raises(Exception, match="unknown candidate b 3"):  # pairs without gain are checked too
+        retrieval.relevance(zero, spark.createDataFrame([("a", i) for i in (5, 6, 9)] + [("b", i) for i in (4, 5)], "dataset string, id long"), ["dataset"]).collect()
