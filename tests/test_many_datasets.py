@@ -116,3 +116,25 @@ def test_later_rows_of_a_query_overrule_its_earlier_ones(spark):
     zero = qrels.withColumn("candidate_scores", F.transform("candidate_ids", lambda x: F.lit(0.0)))
     with pytest.raises(Exception, match="unknown candidate b 3"):  # pairs without gain are checked too
         retrieval.relevance(zero, spark.createDataFrame([("a", i) for i in (5, 6, 9)] + [("b", i) for i in (4, 5)], "dataset string, id long"), ["dataset"]).collect()
+
+
+def test_pools_on_odd_vectors_equal_a_plain_ranking(spark, monkeypatch):
+    """Pairs in blocks: repeated ids and pairs, no vector, nulls inside, other lengths, NaN; no vector travels with a pair."""
+    monkeypatch.setattr(retrieval, "RUN_POOL", 4)
+    rng = np.random.default_rng(11)
+    vectors = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(40)]
+    vectors += [(7, [1.0, 2.0, 0.5, 1.0]), (40, None), (41, [1.0, None, 0.0, 0.0]), (42, [1.0, 1.0]), (43, [float("nan"), 1.0, 0.0, 0.0]), (44, []), (None, [1.0] * 4)]
+    asked = [v for v in vectors if v[0] is None or v[0] % 5 == 0 or v[0] > 40] + [(10, [0.0, 0.0, 1.0, 3.0])]
+    pairs = [(int(q), int(c)) for q, c in rng.integers(0, 48, (900, 2))] + [(5, 6), (5, 6), (None, 1), (5, None)]
+    kind = "id int, vector array<float>"
+    found = retrieval.score_pool(spark.createDataFrame(asked, kind), spark.createDataFrame(vectors, kind), spark.createDataFrame(pairs, "query_id int, candidate_id int"), 3)
+    assert dict(found.dtypes) == {"query_id": "int", "candidate_id": "int", "score": "double", "rank": "int"}
+    want = {}
+    for q, c in pairs:
+        for _, a in (x for x in asked if x[0] == q and q is not None):
+            for _, b in (x for x in vectors if x[0] == c and c is not None):
+                whole = a is not None and b is not None and len(a) == len(b) and None not in a and None not in b
+                score = round(sum((x * y for x, y in zip(a, b, strict=True)), 0.0), 9) if whole else None
+                want.setdefault(q, []).append((2 if score is None else 0 if score != score else 1, -score if score is not None and score == score else 0, c, repr(score)))
+    got = sorted((r["query_id"], r["rank"], r["candidate_id"], repr(r["score"])) for r in found.collect())
+    assert got == sorted((q, i, x[2], x[3]) for q, all_ in want.items() for i, x in enumerate(sorted(all_)[:3], 1))
