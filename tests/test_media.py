@@ -81,3 +81,11 @@ def test_findings_of_truncated_pictures(spark):
     assert quality.broken_media(df, "d").count() == 0  # by the first bytes only
     (found,) = quality.broken_media(df, "d", whole=True).collect()
     assert (found["sample_id"], found["asset_id"]) == ("s1", "a2") and found["message"].startswith("Unreadable media payload at index 1: ")
+
+
+def test_pictures_that_python_made_are_checked_where_they_were_made(spark):
+    made = F.pandas_udf(lambda ids: ids.map(lambda i: [PNG, None, PNG[: 20 + i]]), "array<binary>")
+    df = spark.range(3).select("id", made("id").alias("frames"))
+    found = media.bad_media(df, "frames", "d", "train", "id", "id", "id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["source_key"], r["reason"]) for r in found.collect()) == sorted((str(i), x) for i in range(3) for x in ("missing_frame", "truncated"))
