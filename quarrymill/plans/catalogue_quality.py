@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import media, quality, video
+from ..operators.staging import spread
 from .registry import Tables, query
 
 JPEG, TEXT = "unhex('FFD8FF00')", "encode('plain')"
@@ -205,7 +206,7 @@ SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN NULL
 def video_probe(t: Tables) -> DataFrame:
     """Frames, rate and key frames of containers, and where decoding of three frames would begin."""
     words = F.concat(F.col("c_name"), F.lit(" "), F.repeat(F.lit("w "), (F.col("c_custkey") % 60).cast("int")))
-    rows = t.customer.select(F.col("c_custkey").alias("doc_id"), F.pandas_udf(_videos, "binary")(words, "c_custkey").alias("video"))
+    rows = spread(t.customer, "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.pandas_udf(_videos, "binary")(words, "c_custkey").alias("video"))
     p = rows.select("doc_id", video.probe_video(F.col("video")).alias("p")).select("doc_id", "p.*")
     n = F.col("frames")
     begins = F.transform(video.seek_plan(F.array(F.lit(0).cast("long"), F.floor((n - 1) / 2), n - 1), F.col("keyframes")), lambda x: x["from"])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import video
+from quarrymill.plans.catalogue import QUERIES
 
 
 def box(kind, *parts):
@@ -89,3 +90,8 @@ def test_bad_videos_and_where_to_seek(spark):
     keys = df.where("k = 'a'").select(video.probe_video(F.col("video"))["keyframes"].alias("keys"))
     found = keys.select(video.seek_plan(F.array(*[F.lit(i).cast("long") for i in (0, 3, 4, 9)]), F.col("keys")).alias("s")).first()["s"]
     assert [(x["index"], x["from"]) for x in found] == [(0, 0), (3, 0), (4, 4), (9, 8)]
+
+
+def test_work_on_rows_of_one_small_file_is_spread(spark):
+    found = QUERIES["video_probe"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 4
