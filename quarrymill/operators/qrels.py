@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .dedup import first_rows
 from .numbering import numbered
 
+#: Pairs of a query that are ordered at once; queries with more are ordered by Spark.
+RUN = 1 << 14
+
 
 def group_pairs(pairs: DataFrame, query: str, candidate: str, score: str, order: Sequence[str], extras: Sequence[str] = ()) -> DataFrame:
     """query_id, candidate_ids, candidate_scores and extras as aligned arrays in order."""
@@ -20,6 +23,21 @@ def group_pairs(pairs: DataFrame, query: str, candidate: str, score: str, order:
     return grouped.select("query_id", *[F.col(f"p.v{i}").alias(n) for i, n in enumerate(names)])
 
 
+def group_large(pairs: DataFrame, query: str, candidate: str, score: str, order: Sequence[str], extras: Sequence[str] = ()) -> DataFrame:
+    """The rows of group_pairs for queries with any number of pairs: Spark orders them by ranges, and arrays are put together from runs of RUN.
+
+    An array is held once as it is made and once in its row, in its own type; what isn't read of it isn't made.
+    """
+    values = [candidate, score, *extras]
+    rows = pairs.select(F.col(query).alias("query_id"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
+    keys = ["query_id", *[f"o{i}" for i in range(len(order))], *[f"v{i}" for i in range(len(values))]]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    run, both = F.expr(f"__id DIV {RUN}"), lambda i: F.array_sort(F.collect_list(F.struct("__id", f"v{i}")))
+    runs = placed.groupBy("query_id", run.alias("__run")).agg(*[both(i)[f"v{i}"].alias(f"v{i}") for i in range(len(values))])
+    whole = lambda i: F.flatten(F.array_sort(F.collect_list(F.struct("__run", f"v{i}")))[f"v{i}"])
+    return runs.groupBy("query_id").agg(*[whole(i).alias(n) for i, n in enumerate(["candidate_ids", "candidate_scores", *extras])])
+
+
 def sparse(local: DataFrame, ids: str = "candidate_ids") -> DataFrame:
     """The first of a query's candidates is its positive."""
     return local.select("query_id", F.lit("sparse").alias("mode"), F.slice(ids, 1, 1).alias("candidate_ids"), F.array(F.lit(1.0)).alias("candidate_scores"))

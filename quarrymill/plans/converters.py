@@ -38,7 +38,9 @@ def beir_bundle(queries: DataFrame, corpus: DataFrame, judged: DataFrame, order:
     clash = set(extras) & set(queries.columns)
     if clash:
         raise ValueError(f"column names collide: {sorted(clash)}")
-    grouped = qrels.group_pairs(judged.withColumn("score", F.col("score").cast("double")), "query-id", "corpus-id", "score", order, extras)
+    most = judged.groupBy("query-id").count().agg(F.max("count")).first()[0] or 0
+    group = qrels.group_large if most > qrels.RUN else qrels.group_pairs
+    grouped = group(judged.withColumn("score", F.col("score").cast("double")), "query-id", "corpus-id", "score", order, extras)
     table = grouped.select("query_id", F.lit("sparse").alias("mode"), "candidate_ids", "candidate_scores")
     asked = queries.withColumnRenamed("query-id", "id").join(grouped.select(F.col("query_id").alias("id"), *extras), "id")
     rest = [c for c in corpus.columns if c not in ("corpus-id", "image")]

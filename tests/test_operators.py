@@ -1,6 +1,7 @@
 """Small fixtures for operators whose point is what they refuse or how they break ties."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import arrays, text
 from quarrymill.operators import analytics, lookup, mixture, qrels, quality
-from quarrymill.plans import retrieval
+from quarrymill.plans import converters, retrieval
 from quarrymill.sources import files
 from quarrymill.streaming import gate
 
@@ -187,3 +188,18 @@ def test_sources_and_stream(spark, tmp_path):
     counted = gate.counts(gate.checked(stream, ["text"]).withColumn("k", F.lit("all")), "ts", "k")
     counted.writeStream.format("memory").queryName("gate").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert [(r["n"], r["failed"]) for r in spark.table("gate").collect()] == [(2, 1)]
+
+
+def test_queries_with_many_judgments_are_put_together_from_runs(spark, monkeypatch):
+    monkeypatch.setattr(qrels, "RUN", 8)
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([*range(9), None]), rng.choice([0.5, 1.0, None]), rng.choice([*range(20), None]), rng.choice("ab")) for _ in range(500)] + [(9, 1, 1.0, 1, "a")]
+    pairs = spark.createDataFrame(rows, "q long, c long, s double, at long, x string").repartition(5)
+    args = pairs, "q", "c", "s", ["at"], ["x"]
+    plain, large = (sorted((tuple(r) for r in f(*args).collect()), key=repr) for f in (qrels.group_pairs, qrels.group_large))
+    assert plain == large and len(large) == 5
+    # Judgments of a bundle go this way once a query has more than a run, by their runs alone.
+    queries, corpus = spark.createDataFrame([(1,)], "`query-id` long"), spark.range(40).selectExpr("id AS `corpus-id`", "named_struct('bytes', X'00', 'path', 'p') AS image")
+    judged = spark.range(40).selectExpr("1L AS `query-id`", "id AS `corpus-id`", "1 AS score", "-id AS at")
+    _, _, table = converters.beir_bundle(queries, corpus, judged, ("at",))
+    assert table.first()["candidate_ids"] == list(range(39, -1, -1)) and "__run" in table._jdf.queryExecution().toString()
