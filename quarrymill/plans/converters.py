@@ -31,8 +31,8 @@ def beir_bundle(queries: DataFrame, corpus: DataFrame, judged: DataFrame, order:
     for df, key in ((queries, "query-id"), (corpus, "corpus-id")):
         _none(df.where(F.col(key).isNull()).select(key), f"null {key}")
         _none(dedup.duplicate_keys(df, key).select(key), f"duplicate {key}")
-        _none(judged.select(key).join(df.select(key), key, "left_anti"), f"unknown {key}")
-    _none(queries.select("query-id").join(judged.select("query-id"), "query-id", "left_anti"), "queries without judgments")
+        _none(judged.select(key).distinct().join(df.select(key), key, "left_anti"), f"unknown {key}")
+    _none(queries.select("query-id").join(judged.select("query-id").distinct(), "query-id", "left_anti"), "queries without judgments")
     _none(corpus.where("image.bytes IS NULL").select("corpus-id"), "candidates without a picture")
     extras = [c for c in judged.columns if c not in ("query-id", "corpus-id", "score")]
     clash = set(extras) & set(queries.columns)
