@@ -1,8 +1,10 @@
 """Table functions of a user's own, searches for many patterns, batches of ragged rows."""
 
+import datetime
 import random
 import re
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,37 @@ def test_join_hook_keeps_base_rows_and_sees_side_rows_in_order(spark):
     assert hook.join_hook(left.where("false"), right, "k", ["at"], made, "n int, said string").collect() == []
 
 
+def test_join_hook_over_batches_of_many_keys(spark, capsys):
+    """Rows go to the function as Arrow batches; keys that pass over several batches, NaN and null ones, nulls and times in side rows."""
+    rng = random.Random(8)
+    nan, at = float("nan"), datetime.datetime(2024, 2, 29, 12, 30)
+    side = [(k, i, None if i % 5 == 0 else {"t": at, "v": i}, None if i % 7 == 0 else f"s{i}") for i, k in enumerate(rng.choice([*map(float, range(9)), nan, nan, -0.0, None]) for _ in range(300))]
+    base = [(rng.choice([*map(float, range(12)), nan, None]), i) for i in range(150)]
+    left, right = spark.createDataFrame(base, "k double, id int"), spark.createDataFrame(side, "k double, i int, x struct<t: timestamp, v: int>, s string").repartition(5)
+
+    def made(rows):
+        assert all(r.x is None or r.x.t == at and r["x"]["v"] == r.i for r in rows)
+        return {"n": len(rows), "said": [r.s for r in rows], "call": uuid.uuid4().hex}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = hook.join_hook(left, right, "k", ["i"], made, "n int, said array<string>, call string", name="many_keys")
+        found.explain()
+        assert "ArrowEvalPythonUDTF" in capsys.readouterr().out
+        got = found.collect()
+        union = left.selectExpr("k AS __key", "struct(*) AS __base").unionByName(right.where("k IS NOT NULL").selectExpr("k AS __key", "struct(*) AS __side"), allowMissingColumns=True)
+        union.createOrReplaceTempView("many_keys_rows")
+        by_sql = spark.sql("SELECT * FROM many_keys(TABLE(many_keys_rows) PARTITION BY pmod(xxhash64(__key), 5) ORDER BY (__key, __side IS NULL, __side.i))").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    name = lambda k: None if k is None else repr(k + 0.0)
+    want = {name(k): [s for x, _, _, s in side if name(x) == name(k)] if k is not None else [] for k, _ in base}
+    for rows in (got, by_sql):
+        assert sorted(r["id"] for r in rows) == list(range(150))
+        assert all(name(r["k"]) == name(base[r["id"]][0]) and r["said"] == want[name(r["k"])] and r["n"] == len(r["said"]) for r in rows)
+        assert len({(name(r["k"]), r["call"]) for r in rows}) == len(want)  # called once for each key
+
+
 PATTERNS = [r"\bpass(word|phrase)\s*[:=]", r"api[_-]?key\s*[:=]", r"/mnt(?:/|$)", r"docs/internal", r"\bX\b", r"^a.c$", r"colou?r", r"(secret)s?", r"straße|STRASSE", "[0-9]{4}", "kelvin"]
 
 
