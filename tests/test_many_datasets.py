@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,31 @@ def test_pools_on_odd_vectors_equal_a_plain_ranking(spark, monkeypatch):
                 want.setdefault(q, []).append((2 if score is None else 0 if score != score else 1, -score if score is not None and score == score else 0, c, repr(score)))
     got = sorted((r["query_id"], r["rank"], r["candidate_id"], repr(r["score"])) for r in found.collect())
     assert got == sorted((q, i, x[2], x[3]) for q, all_ in want.items() for i, x in enumerate(sorted(all_)[:3], 1))
+
+
+def test_pairs_of_a_pool_are_bounded_in_each_block(spark, monkeypatch):
+    """As many blocks as the pairs need, whatever few bytes their vectors have; the ranking stays that of one block."""
+    assert retrieval.pool_blocks([(30_000, 528), (600_000, 528)], 0, 12) == (6, 19)
+    for sides, pairs in [(((30_000, 528), (600_000, 528)), 360_000_000), (((600_000, 528), (30_000, 528)), 360_000_000), (((1, 24), (10**8, 24)), 10**8), (((10**5, 24), (10**5, 24)), 10**10)]:
+        asked, held = retrieval.pool_blocks(sides, pairs, 12)
+        assert asked <= max(6, sides[0][0]) and held <= max(6, sides[1][0])
+        assert asked * held * retrieval.PAIRS_BLOCK >= pairs
+    rng = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)], "id long, vector array<double>")
+    asked, pairs = vectors.where("id % 5 = 0"), vectors.select(F.col("id").alias("candidate_id")).crossJoin(vectors.where("id % 5 = 0").select(F.col("id").alias("query_id")))
+    ranked = lambda: sorted(map(tuple, retrieval.score_pool(asked, vectors, pairs, 4).select("query_id", "rank", "candidate_id", "score").collect()))
+    whole = ranked()
+    monkeypatch.setattr(retrieval, "PAIRS_BLOCK", 600)
+    assert ranked() == whole and len(whole) == 240
+
+    def counted(k):
+        def run(batches):
+            n = sum(int((b.column("order").to_numpy() % 3 == 2).sum()) for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([n]), pa.array([0]), pa.array([0.0])], names=["dataset", "query_id", "candidate_id", "score"])
+
+        return run
+
+    monkeypatch.setattr(retrieval, "_pool_best", counted)
+    counts = [r["query_id"] for r in retrieval.score_pool(asked, vectors, pairs, 10**6).collect()]
+    assert sum(counts) == 60 * 300 and len(counts) >= 30
+    assert max(counts) <= 4 * 600  # hashing deals unevenly
